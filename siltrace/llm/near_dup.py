@@ -93,6 +93,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= (F.col("nx") + F.col("ny") - shared) * percent).select("x", "y")
 
 
+def _beside_star(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x, y`` with one star ``b`` and different components ``c`` that can reach ``percent``.
+
+    With ``a`` codes of each set in the star's, two sets share at most the smaller ``a`` plus
+    the codes that they share outside of it. So a pair is met either by its sizes, where the
+    star alone could suffice, or by a shared code outside of the star; no other pair can
+    reach the limit. What a family has in common with its star is never joined on.
+    """
+    p = percent
+    star = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    met = rows.join(sets.select(F.col("id").alias("x"), "s"), "x").join(star, "b")
+    known = stored(met.select("b", "x", "c", F.size("s").alias("n"), F.array_except("s", "sb").alias("own")).withColumn("a", F.col("n") - F.size("own")), "near-beside")
+    low, high = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("n") * 100 / p), F.floor(F.col("a") * (100 + p) / p) - F.col("n"))
+    sized = known.where(low <= high).select("b", F.col("x").alias("y"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("a").alias("e"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
+    enough = F.least("a", "e") * (100 + p) >= (F.col("n") + F.col("k")) * p
+    by_size = sized.join(known.drop("own"), ["b", "n"]).where((F.col("c") != F.col("d")) & enough).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    code = known.select("b", "x", "c", "n", "a", F.explode("own").alias("t"))
+    open_codes = code.groupBy("b", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b", "t")
+    code = code.join(open_codes, ["b", "t"])
+    other = code.select("b", "t", F.col("x").alias("y"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("a").alias("e"))
+    alike = F.least("n", "k") * 100 >= F.greatest("n", "k") * p
+    both = code.join(other, ["b", "t"]).where((F.col("x") < F.col("y")) & (F.col("c") != F.col("d")) & alike)
+    outside = both.groupBy("b", "x", "y", "n", "k", "a", "e").agg(F.count("*").alias("o"))
+    by_code = outside.where((F.least("a", "e") + F.col("o")) * (100 + p) >= (F.col("n") + F.col("k")) * p).select("x", "y")
+    return by_size.union(by_code).distinct()
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     named = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
     return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
@@ -109,9 +136,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is the smallest id reachable over links of at least ``percent`` of the union.
 
     Equal sets are merged before the search, so a group of copies costs one row. In each
-    table a row is compared with the table key's smallest id only; then only pairs of rows of
-    one key that still lie in different components are compared, so a large group that its
-    smallest id holds together never becomes all pairs. Every link is confirmed on the whole
+    table a row is compared with the table key's smallest id only. Rows of keys that
+    still hold several components are then compared across components, where an exact bound
+    from the key's smallest id leaves the pair possible, so a large group never becomes all
+    pairs. Every link is confirmed on the whole
     sets of 64-bit shingle codes.
     """
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -138,9 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links.union(_confirmed(apart, sets, percent)), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
     split = _labelled(table, labels, "x", "c")
-    open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("x").alias("x0")).where("c0 < c1").select("key", "x0")
-    rest = stored(split.join(open_keys, "key").where("x > x0").select("key", "x", "c"), "near-rest")
-    cross = rest.alias("p").join(rest.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.x") < F.col("q.x")) & (F.col("p.c") != F.col("q.c"))).select(F.col("p.x").alias("x"), F.col("q.x").alias("y")).distinct()
+    open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("x").alias("b")).where("c0 < c1").select("key", "b")
+    rest = stored(split.join(open_keys, "key").where("x > b").select("b", "x", "c").distinct(), "near-rest")
+    open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
+    cross = _beside_star(rest.join(open_stars, "b"), sets, percent)
     links = stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
     labels = connected_components(links, "x", "y")
 
