@@ -93,13 +93,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= (F.col("nx") + F.col("ny") - shared) * percent).select("x", "y")
 
 
-def _beside_star(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``x, y`` with one star ``b`` and different components ``c`` that can reach ``percent``.
+def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x, y`` with one pivot ``b`` and different components ``c`` that can reach ``percent``.
 
-    With ``a`` codes of each set in the star's, two sets share at most the smaller ``a`` plus
+    With ``a`` codes of each set in the pivot's, two sets share at most the smaller ``a`` plus
     the codes that they share outside of it. So a pair is met either by its sizes, where the
-    star alone could suffice, or by a shared code outside of the star; no other pair can
-    reach the limit. What a family has in common with its star is never joined on.
+    pivot alone could suffice, or by a shared code outside of the pivot; no other pair can
+    reach the limit. The pivot is the smallest id of a key's most common component, so what a
+    family has in common is never joined on.
     """
     p = percent
     star = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -138,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are merged before the search, so a group of copies costs one row. In each
     table a row is compared with the table key's smallest id only. Rows of keys that
     still hold several components are then compared across components, where an exact bound
-    from the key's smallest id leaves the pair possible, so a large group never becomes all
+    from the key's pivot leaves the pair possible, so a large group never becomes all
     pairs. Every link is confirmed on the whole
     sets of 64-bit shingle codes.
     """
@@ -166,10 +167,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links.union(_confirmed(apart, sets, percent)), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
     split = _labelled(table, labels, "x", "c")
-    open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("x").alias("b")).where("c0 < c1").select("key", "b")
-    rest = stored(split.join(open_keys, "key").where("x > b").select("b", "x", "c").distinct(), "near-rest")
+    open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    common = split.join(open_keys, "key").groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("b"))
+    rest = stored(split.join(common, "key").select("b", "x", "c").distinct(), "near-rest")
     open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
-    cross = _beside_star(rest.join(open_stars, "b"), sets, percent)
+    cross = _beside_pivot(rest.join(open_stars, "b"), sets, percent)
     links = stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
     labels = connected_components(links, "x", "y")
 
