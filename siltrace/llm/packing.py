@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict, deque
@@ -35,17 +36,41 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _worker[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _worker[path] = (tokenizer, ends, {})
     return _worker[path]
 
 
+_STEM = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
+
 def _parts(word: str) -> tuple[str, ...]:
-    """Stretches that the vocabulary encodes apart: letters, and one full stop or comma after them."""
-    stem, tail = (word[:-1], word[-1:]) if word[-1:] in (".", ",") else (word, "")
-    if not stem.isalpha():
+    """Stretches that the vocabulary encodes apart: letters, and ASCII signs after them."""
+    m = _STEM.fullmatch(word)
+    if not m or not m[1].isalpha():
         return (word,)
-    stem = stem.lower() if stem.isascii() else stem
-    return (stem, tail) if tail else (stem,)
+    stem = m[1].lower() if m[1].isascii() else m[1]
+    return (stem, m[2]) if m[2] else (stem,)
+
+
+def _encoded(tokenizer, ends: np.ndarray, words: list[str]) -> dict[str, bytes]:
+    """Each word's ids. Words of letters are encoded many at a time and cut where a token ends a word."""
+    plain = [w for w in words if w.isalpha()]
+    out: dict[str, bytes] = {}
+    groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(group):  # else some word became several
+            raw = ids.tobytes()
+            out.update((w, raw[i:j]) for w, i, j in zip(group, [0, *cuts], cuts))
+    rest = [w for w in words if w not in out]
+    for i in range(0, len(rest), 20_000):
+        part = rest[i : i + 20_000]
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+    return out
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
@@ -54,13 +79,10 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     White space separates tokens of this vocabulary, so texts are cut at blanks and line
     ends and each different stretch is encoded once.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, ends, known = _tokenizer(path)
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
     parts = {w: _parts(w) for w in set().union(*split) - known.keys()}
-    fresh = list({p for both in parts.values() for p in both} - known.keys())
-    for i in range(0, len(fresh), 20_000):
-        part = fresh[i : i + 20_000]
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)))
+    known.update(_encoded(tokenizer, ends, list({p for both in parts.values() for p in both} - known.keys())))
     known.update((w, b"".join(known[p] for p in both)) for w, both in parts.items() if len(both) > 1 or both[0] != w)
     out = [b"".join(map(known.__getitem__, words)) for words in split]
     if len(known) > CACHED_WORDS:
