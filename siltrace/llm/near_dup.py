@@ -79,9 +79,25 @@ def _signature(batch: pa.RecordBatch, k: int, m: int, r: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(full_hi), pa.array(full_lo), _lists(np.ascontiguousarray(keys[:, :m]).ravel(), each), _lists(np.ascontiguousarray(keys[:, m:]).ravel(), each)], names=["id", "n", "hi", "lo", "a", "b"])
 
 
-def _whole(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    h, sizes = _sets(batch.column(1), k)
-    return pa.RecordBatch.from_arrays([batch.column(0), _lists(h, sizes)], names=["id", "s"])
+FILTER_BITS = 26
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash of ``id``, in 8 MB whatever the number of ids."""
+    bit = (F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)) + 1).alias("h")
+    parts = ids.select(bit).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for b, m in parts.collect():
+        out[(b - 1) * len(m) : b * len(m)] = np.frombuffer(m, np.uint8)
+    return out
+
+
+def _whole(batch: pa.RecordBatch, k: int, wanted: np.ndarray) -> pa.RecordBatch:
+    """The sets of rows whose bit is set; the exact ids are joined afterwards."""
+    bit = np.asarray(batch.column(2), np.int64)
+    some = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
+    h, sizes = _sets(some.column(1), k)
+    return pa.RecordBatch.from_arrays([some.column(0), _lists(h, sizes)], names=["id", "s"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = table.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("key", "y")
     stars = stored(table.join(first, "key").where("x <> y").select("x", "y").distinct(), "near-stars")
     ids = stars.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = stored(two.join(ids, "id", "left_semi").mapInArrow(in_text_parts(lambda b: _whole(b, shingle), "t"), f"id {kind}, s array<bigint>").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
+    wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    hashed = two.where("id is not null").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
+    whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t"), f"id {kind}, s array<bigint>")
+    sets = stored(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
 
     links = stored(_confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
