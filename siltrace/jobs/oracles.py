@@ -72,13 +72,14 @@ def _degrees(targets: str, name: str = "deg") -> str:
 
 _TARGETS = f"tg AS (SELECT DISTINCT account_id AS node, day AS at, {W} AS w FROM alerts)"
 _M = ("in_degree", "out_degree", "in_weight", "out_weight")
+_MEAN = {m: f"avg({m})" if "degree" in m else f"avg(CAST(round({m} * 100) AS BIGINT)) / 100" for m in _M}
 
 
 def _features(targets: str) -> str:
     return f"""nb AS MATERIALIZED (SELECT DISTINCT t.node, t.at, t.w, e.nbr FROM {targets} t JOIN inc e ON e.node = t.node AND e.day BETWEEN t.at - t.w AND t.at),
 ask AS MATERIALIZED (SELECT node, at, w FROM {targets} UNION SELECT nbr, at, w FROM nb), {_degrees("ask")},
 ft AS MATERIALIZED (SELECT t.node AS account_id, t.at AS day, t.w, {", ".join(f"d.{m}" for m in _M)}, {", ".join(f"x.nbr_{m}_{s}" for m in _M for s in ("mean", "min", "max"))} FROM {targets} t JOIN deg d USING (node, at, w)
-  LEFT JOIN (SELECT nb.node, nb.at, nb.w, {", ".join(f"{f}({m}) AS nbr_{m}_{s}" for m in _M for s, f in (("mean", "avg"), ("min", "min"), ("max", "max")))} FROM nb JOIN deg ON deg.node = nb.nbr AND deg.at = nb.at AND deg.w = nb.w GROUP BY ALL) x USING (node, at, w))"""
+  LEFT JOIN (SELECT nb.node, nb.at, nb.w, {", ".join(f"{_MEAN[m] if s == 'mean' else f'{s}({m})'} AS nbr_{m}_{s}" for m in _M for s in ("mean", "min", "max"))} FROM nb JOIN deg ON deg.node = nb.nbr AND deg.at = nb.at AND deg.w = nb.w GROUP BY ALL) x USING (node, at, w))"""
 
 
 def _walks(bad: str = "illicit", n: int = N_WALKS, steps: int = STEPS) -> str:

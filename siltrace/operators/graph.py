@@ -65,7 +65,8 @@ def degree_features(targets: DataFrame, ledger: DataFrame, max_window: int) -> D
     asked = t.unionByName(near.select(F.col("nbr").alias("node"), "at", "w")).distinct()
     known = degrees(asked, edges, max_window)
     around = near.join(known.withColumnRenamed("node", "nbr"), ["nbr", "at", "w"])
-    stats = around.groupBy("node", "at", "w").agg(*[f(m).alias(f"nbr_{m}_{n}") for m in MEASURES for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+    mean = lambda m: F.avg(m) if "degree" in m else F.avg(cents(m)) / 100  # noqa: E731  exact in any order
+    stats = around.groupBy("node", "at", "w").agg(*[f(m).alias(f"nbr_{m}_{n}") for m in MEASURES for n, f in (("mean", mean), ("min", F.min), ("max", F.max))])
     out = t.join(known, ["node", "at", "w"]).join(stats, ["node", "at", "w"], "left")
     return out.withColumnRenamed("node", "account_id").withColumnRenamed("at", "day")
 

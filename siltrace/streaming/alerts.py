@@ -67,7 +67,7 @@ def spike_alerts(stream: DataFrame, multiplier: float = 5.0, window_days: int =
         told = max(told, first_open - 1)
         by = {d: v for d, v in by.items() if d >= first_open - window_days}
         state.update((list(by), list(by.values()), told))
-        yield pd.DataFrame({"account_id": [key[0]] * len(out), "e": pd.array(out, dtype="int64")})
+        yield pd.DataFrame([(key[0], d) for d in out], columns=["account_id", "e"])
 
     got = rows.groupBy("account_id").applyInPandasWithState(step, "account_id string, e bigint", "days array<bigint>, totals array<bigint>, told bigint", "append", GroupStateTimeout.EventTimeTimeout)
     return got.select("account_id", F.date_from_unix_date(F.col("e").cast("int")).alias("date"), F.lit("sudden_volume_spike").alias("rule_name"))
