@@ -190,8 +190,9 @@ def _machine(positive: list[str], negative: list[str], marks: list[str], toxic:
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.concatenate([kernel(words[i : i + 2000], marks) @ root for i in range(0, len(words), 2000)])
-    x = np.concatenate([features, np.ones((len(words), 1))], 1)
+    x = np.ones((len(words), root.shape[1] + 1))
+    for i in range(0, len(words), 1000):
+        x[i : i + 1000, :-1] = kernel(words[i : i + 1000], marks) @ root
     often = np.array([*(toxic[u] for u in positive), *(clean[u] ** 0.5 for u in negative)])  # documents behind a word
     share = np.where(label > 0, often / often[label > 0].sum(), often / max(1.0, often[label < 0].sum()))
     w = _svm(x, label, share * len(label) * 2)
@@ -202,7 +203,7 @@ def _machine(positive: list[str], negative: list[str], marks: list[str], toxic:
     return Model(weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
 
 
-def fit(docs: list[tuple[str | None, int]], landmarks: int = 256, sample: int = 12_000) -> Model:
+def fit(docs: list[tuple[str | None, int]], landmarks: int = 256, sample: int = 9_000) -> Model:
     """Trains on (text, label) pairs. Without both labels the model says 0 for everything.
 
     Words of toxic sentences are positive where their documents are toxic far more often than
@@ -237,7 +238,7 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = 256, sample: int =
     rare = sorted((w for w in clean), key=hash_of)
     negative = list(dict.fromkeys([*often[: sample // 4], *rare[: sample - sample // 4]]))
     negative = [w for w in negative if w not in set(positive)]
-    marks = [*_spread(positive[:2000], landmarks * 3 // 4), *negative[: landmarks // 4]]
+    marks = [*_spread(positive[:1200], landmarks * 3 // 4), *negative[: landmarks // 4]]
     seen = sorted(set().union(*sets))
     for turn in range(3):
         model = _machine(positive, negative, marks, toxic, clean)
@@ -277,7 +278,7 @@ def held_out(id_col) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6_000, max_chars: int = 40_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000, max_chars: int = 40_000) -> Model:
     """Fits on a hash sample of about ``max_rows`` labelled rows of up to ``max_chars`` characters.
 
     Held-out rows and rows with a null id, text or label are left out. Scoring has neither
