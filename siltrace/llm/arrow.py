@@ -9,12 +9,19 @@ import pyarrow as pa
 from siltrace.llm.words import text_parts
 
 
-def in_text_parts(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs ``make`` over row ranges of bounded text size, so memory follows the text, not the row count."""
+def in_text_parts(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, done: Callable[[], None] | None = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs ``make`` over row ranges of bounded text size, so memory follows the text, not the row count.
+
+    ``done`` is called at the end of a partition, to let go of what the worker has kept.
+    """
 
     def run(batches):
-        for batch in batches:
-            for i, j in text_parts(batch.column(batch.schema.get_field_index(column))):
-                yield make(batch.slice(i, j - i))
+        try:
+            for batch in batches:
+                for i, j in text_parts(batch.column(batch.schema.get_field_index(column))):
+                    yield make(batch.slice(i, j - i))
+        finally:
+            if done:
+                done()
 
     return run

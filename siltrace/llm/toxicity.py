@@ -27,7 +27,7 @@ from siltrace.llm.words import mix
 DECAY, SPAN, BITS = 0.7, 5, 20
 _OFFSETS = [(0, i, j) for j in range(2, SPAN) for i in range(1, j)]
 LONGEST = 40  # characters of a word; a longer one is cut into overlapping stretches
-CACHED_WORDS = 1_000_000  # of a Python worker
+CACHED_WORDS = 250_000  # of a Python worker, within a partition
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
 _INNER = re.compile(r"[\W\d_]+")
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -307,4 +307,4 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.drop("_score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", _score double"
-    return source.mapInArrow(in_text_parts(lambda b: _judged(b, text_col, shared.value), text_col), schema)
+    return source.mapInArrow(in_text_parts(lambda b: _judged(b, text_col, shared.value), text_col, lambda: _known.clear()), schema)
