@@ -373,7 +373,8 @@ def test_ann_recall_ties_and_odd_rows(spark):
         right += len({i for i, _ in got[q]} & set(order))
         total += 20
     assert right / total >= 0.95
-    assert [i for i, _ in got[1000]] == [7, *range(1001, 1020)]
+        if q in (1000, 1850):  # ties among the copies go to the smaller ids
+            assert [i for i, _ in got[q]] == order
     assert ann.nearest(frame.where("false"), F.col("id") % 50 == 0).count() == 0
     few = ann.nearest(frame.where("vec_id < 3"), F.col("id") == 0, k=20).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
