@@ -106,7 +106,9 @@ def units(text: str | None) -> set[str]:
 
 def _spread(words: list[str], most: int, close: float = 0.8) -> list[str]:
     """The first words of which no two are closer than ``close``, up to ``most``."""
-    near, out = kernel(words, words) if words else [], []
+    # in narrow strips: a strip's table of subsequences is dense
+    strips = [kernel(words, words[i : i + 150]) for i in range(0, len(words), 150)]
+    near, out = np.concatenate(strips, 1) if words else np.zeros((0, 0)), []
     for k in range(len(words)):
         if len(out) < most and (near[k, out] < close).all():
             out.append(k)
