@@ -1,9 +1,10 @@
 """Line deduplication over content-defined chunks of lines, in DataFrame functions only.
 
 A hash of each line feeds a rolling hash over the last two lines. A chunk starts where the
-rolling hash is divisible by ``DIVISOR``, and on both sides of a long line, so boundaries
-depend on the lines around them and not on what was inserted further up. A chunk that occurs
-again anywhere is removed after its bytes are compared with the occurrence that stays.
+rolling hash is divisible by ``DIVISOR``, and on both sides of a line of ``OWN_WORDS`` words,
+so boundaries depend on the lines around them and not on what was inserted further up. A chunk
+that occurs again anywhere is removed after its bytes are compared with the occurrence that
+stays, if it has several lines or ``LONG_WORDS`` words, or if a chunk beside it repeats too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIVISOR = 4
+OWN_WORDS = 10
 LONG_WORDS = 30
 
 
@@ -23,10 +25,10 @@ def _words(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def _chunks(text: Column, divisor: int, long_words: int) -> Column:
+def _chunks(text: Column, divisor: int, own_words: int) -> Column:
     """Array of chunks, each joined by line ends; joined again they give the text."""
     lines = F.split(text, "\n", -1)
-    marked = F.transform(lines, lambda x: F.struct(x.alias("t"), _line_hash(x).alias("h"), (_words(x) >= long_words).alias("l")))
+    marked = F.transform(lines, lambda x: F.struct(x.alias("t"), _line_hash(x).alias("h"), (_words(x) >= own_words).alias("l")))
 
     def starts(m: Column) -> Column:
         def at(i: Column) -> Column:
@@ -45,16 +47,17 @@ def _chunks(text: Column, divisor: int, long_words: int) -> Column:
     return F.get(F.transform(F.array(marked), cut), 0)
 
 
-def _counts_as_chunk(chunk: Column, long_words: int) -> Column:
-    """Several lines with a word in them, or one long line."""
-    return (F.contains(chunk, F.lit("\n")) & (F.trim(F.translate(chunk, "\n\r\t", "   ")) != "")) | (_words(chunk) >= long_words)
+def _counts_as_chunk(chunk: Column, own_words: int) -> Column:
+    """Several lines with a word in them, or one line of ``own_words`` words."""
+    return (F.contains(chunk, F.lit("\n")) & (F.trim(F.translate(chunk, "\n\r\t", "   ")) != "")) | (_words(chunk) >= own_words)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, own_words: int = OWN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text_col``, plus ``_n_chunks`` and ``_n_removed``.
 
-    Chunks of several lines, and single lines of at least ``long_words`` words, count across
-    all documents. The occurrence with the smallest id (then the smallest text hash and
+    Chunks of several lines, and single lines of at least ``own_words`` words, count across
+    all documents. A line of fewer than ``long_words`` words goes only together with a
+    repeated chunk before or after it, so a passage goes and a lone repeated line stays. The occurrence with the smallest id (then the smallest text hash and
     position) stays; every other one whose bytes equal it goes, also within a document. A
     chunk that shares only its hash stays. Blank chunks stay. Rows with equal id and text are
     one document, so they keep or lose the same chunks; a null id sorts last. Null texts stay
@@ -67,8 +70,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the key's order is the order of precedence; it is made of the row's content alone
     key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     rows = docs.drop("_n_chunks", "_n_removed").withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)))
-    place = docs.where(F.col(text_col).isNotNull()).select(key.alias("r"), F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)).alias("_key"), _chunks(F.col(text_col), divisor, long_words).alias("c"))
-    hashed = F.transform("c", lambda x, k: F.struct(k.alias("k"), F.when(_counts_as_chunk(x, long_words), F.md5(x.cast("binary"))).alias("h")))
+    place = docs.where(F.col(text_col).isNotNull()).select(key.alias("r"), F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)).alias("_key"), _chunks(F.col(text_col), divisor, own_words).alias("c"))
+    hashed = F.transform("c", lambda x, k: F.struct(k.alias("k"), F.when(_counts_as_chunk(x, own_words), F.md5(x.cast("binary"))).alias("h")))
     spots = place.select("r", "_key", F.explode(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("x")).select("r", "_key", F.col("x.k").alias("k"), F.unhex("x.h").alias("h"))
     # equal rows are one document: the smallest and largest spot of a hash differ if it repeats
     seen = spots.groupBy("h").agg(F.min(F.struct("r", "_key", "k")).alias("first"), F.max(F.struct("r", "_key", "k")).alias("last")).where("first <> last").select("h", F.col("first._key").alias("_key"), F.col("first.k").alias("k"))
@@ -77,15 +80,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     homes = seen.groupBy("_key").agg(F.collect_list(F.struct("h", "k")).alias("own"))
     texts = (
         shuffled.join(homes, "_key")
-        .select("_key", "own", _chunks(F.col("t"), divisor, long_words).alias("c"))
+        .select("_key", "own", _chunks(F.col("t"), divisor, own_words).alias("c"))
         .select("_key", F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["k"].alias("k"), F.get("c", o["k"]).alias("t")))).alias("o"))
         .select(F.col("o.h").alias("h"), F.col("_key").alias("home"), F.col("o.k").alias("at"), F.col("o.t").alias("t"))
         .distinct()
     )
     again = spots.select("_key", "k", "h").distinct().join(texts, "h").where((F.col("_key") != F.col("home")) | (F.col("k") != F.col("at")))
     marks = again.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("again"))
-    joined = rows.join(marks, "_key", "left").withColumn("_c", F.when(F.col(text_col).isNotNull(), _chunks(F.col(text_col), divisor, long_words)))
-    stays = F.filter("_c", lambda x, k: ~F.coalesce(F.element_at("again", k) == x, F.lit(False)))
+    joined = rows.join(marks, "_key", "left").withColumn("_c", F.when(F.col(text_col).isNotNull(), _chunks(F.col(text_col), divisor, own_words)))
+
+    def repeats(k: Column) -> Column:
+        return F.coalesce(F.element_at("again", k) == F.get("_c", k), F.lit(False))
+
+    stays = F.filter("_c", lambda x, k: ~(repeats(k) & (F.contains(x, F.lit("\n")) | (_words(x) >= long_words) | repeats(k - 1) | repeats(k + 1))))
     changed = joined.withColumn("_stays", F.when(F.col("again").isNull(), F.col("_c")).otherwise(stays))
     text = F.when(F.col("again").isNull(), F.col(text_col)).otherwise(F.array_join("_stays", "\n"))
     n, m = F.coalesce(F.size("_c"), F.lit(0)), F.coalesce(F.size("_stays"), F.lit(0))

@@ -104,7 +104,7 @@ FROM p LEFT JOIN g ON p.h = g.h
 
 _OP6 = rf"""
 WITH l AS (
-  SELECT doc_id, i, t, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, len(string_split(t, ' ')) >= {line_dedup.LONG_WORDS} AS long
+  SELECT doc_id, i, t, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, len(string_split(t, ' ')) >= {line_dedup.OWN_WORDS} AS long
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
 ), b AS (
   SELECT *, CASE WHEN i = 1 OR (lag(h) OVER w * 31 + h) % 4294967296 % {line_dedup.DIVISOR} = 0 OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS s
@@ -113,12 +113,15 @@ WITH l AS (
   SELECT doc_id, k, string_agg(t, chr(10) ORDER BY i) AS t, count(*) AS n
   FROM (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b) GROUP BY doc_id, k
 ), d AS (
-  SELECT *, ((n > 1 AND trim(translate(t, chr(10) || chr(13) || chr(9), '   ')) <> '') OR len(string_split(t, ' ')) >= {line_dedup.LONG_WORDS})
-       AND row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1 AS gone
+  SELECT *, ((n > 1 AND trim(translate(t, chr(10) || chr(13) || chr(9), '   ')) <> '') OR len(string_split(t, ' ')) >= {line_dedup.OWN_WORDS})
+       AND row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1 AS again
   FROM c
+), f AS (
+  SELECT *, again AND (n > 1 OR len(string_split(t, ' ')) >= {line_dedup.LONG_WORDS} OR coalesce(lag(again) OVER w, false) OR coalesce(lead(again) OVER w, false)) AS gone
+  FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), e AS (
   SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed
-  FROM d GROUP BY doc_id
+  FROM f GROUP BY doc_id
 )
 SELECT documents.doc_id, e.text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN e USING (doc_id)
 """

@@ -172,31 +172,37 @@ def test_plan_is_close_to_the_bound():
 # line deduplication
 
 
-def brute_lines(rows, divisor=line_dedup.DIVISOR, long_words=line_dedup.LONG_WORDS):
+def brute_lines(rows, divisor=line_dedup.DIVISOR, own_words=line_dedup.OWN_WORDS, long_words=line_dedup.LONG_WORDS):
     h = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-    long = lambda t: len(t.split(" ")) >= long_words
+    own = lambda t: len(t.split(" ")) >= own_words
     seen, out = set(), {}
     for i, text in rows:
         lines, chunks = text.split("\n"), []
         for k, t in enumerate(lines):
-            if k == 0 or (h(lines[k - 1]) * 31 + h(t)) % 4294967296 % divisor == 0 or long(t) or long(lines[k - 1]):
+            if k == 0 or (h(lines[k - 1]) * 31 + h(t)) % 4294967296 % divisor == 0 or own(t) or own(lines[k - 1]):
                 chunks.append([])
             chunks[-1].append(t)
-        kept = []
+        again = [False]
         for c in chunks:
             t = "\n".join(c)
-            counts = (len(c) > 1 and t.translate(str.maketrans("\n\r\t", "   ")).strip(" ")) or long(t)
-            if not counts or t not in seen:
-                kept.append(t)
+            counts = (len(c) > 1 and t.translate(str.maketrans("\n\r\t", "   ")).strip(" ")) or own(t)
+            again.append(bool(counts) and t in seen)
             if counts:
                 seen.add(t)
+        again.append(False)
+        kept = []
+        for k, c in enumerate(chunks, 1):
+            t = "\n".join(c)
+            strong = len(c) > 1 or len(t.split(" ")) >= long_words
+            if not (again[k] and (strong or again[k - 1] or again[k + 1])):
+                kept.append(t)
         out[i] = ("\n".join(kept), len(chunks), len(chunks) - len(kept))
     return out
 
 
 def test_line_dedup(spark):
     rng = random.Random(8)
-    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 8, 45]))) for _ in range(40)]
+    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 8, 15, 25, 45]))) for _ in range(60)]
     shared = [rng.sample(pool, 6) for _ in range(4)]
     texts = ["\n".join(rng.sample(pool, 5) + rng.choice(shared) + [f"own {k}"]) for k in range(60)] + ["", "\n\n\n", "\n\n\n", "solo"]
     got = {r.doc_id: (r.text, r._n_chunks, r._n_removed) for r in line_dedup.line_dedup(docs(spark, texts, "extra")).collect()}
@@ -204,6 +210,14 @@ def test_line_dedup(spark):
     assert sum(n for _, _, n in got.values()) > 40
 
 
+def test_line_dedup_passages_of_short_lines(spark):
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(18))
+    passage = "\n".join(map(line, range(3)))
+    texts = [passage, f"own start\n{passage}\nown end", f"other\n{line(1)}\nlast", f"{line(7)}\n{line(0)}\n{line(8)}"]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "own start\nown end", 2: texts[2], 3: texts[3]}
+
+
 def test_line_dedup_odd_rows(spark):
     passage = "\n".join("some words of a passage " * 10 + str(k) for k in range(3))
     frame = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, None), (3, passage + "\nend")], "doc_id long, text string")
