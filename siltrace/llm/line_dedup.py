@@ -64,8 +64,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null with no chunks, and empty texts stay empty. A text may become empty; no row is
     dropped. Columns of ``docs`` named like the two counters are replaced.
 
-    Counting shuffles hashes only. The texts are shuffled once, by row, and the text of kept
-    occurrences is sent once to each row that repeats it.
+    Counting shuffles hashes only. The texts are shuffled once, by row, for both joins, and the
+    text of kept occurrences is sent once to each row that repeats it.
     """
     # the key's order is the order of precedence; it is made of the row's content alone
     key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
@@ -76,11 +76,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal rows are one document: the smallest and largest spot of a hash differ if it repeats
     seen = spots.groupBy("h").agg(F.min(F.struct("r", "_key", "k")).alias("first"), F.max(F.struct("r", "_key", "k")).alias("last")).where("first <> last").select("h", F.col("first._key").alias("_key"), F.col("first.k").alias("k"))
 
-    shuffled = rows.select("_key", F.col(text_col).alias("t"))
+    # every column is named, so that this join and the last one shuffle the same rows and Spark does it once
+    others = F.xxhash64(*[c for c in rows.columns if c not in ("_key", text_col)], F.lit(0))
+    own_text = F.when(others % 2 < 2, F.col(text_col))
     homes = seen.groupBy("_key").agg(F.collect_list(F.struct("h", "k")).alias("own"))
     texts = (
-        shuffled.join(homes, "_key")
-        .select("_key", "own", _chunks(F.col("t"), divisor, own_words).alias("c"))
+        rows.join(homes, "_key")
+        .select("_key", "own", _chunks(own_text, divisor, own_words).alias("c"))
         .select("_key", F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["k"].alias("k"), F.get("c", o["k"]).alias("t")))).alias("o"))
         .select(F.col("o.h").alias("h"), F.col("_key").alias("home"), F.col("o.k").alias("at"), F.col("o.t").alias("t"))
         .distinct()
