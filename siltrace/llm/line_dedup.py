@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltrace.session import stored
+
 DIVISOR = 4
 OWN_WORDS = 10
 LONG_WORDS = 30
@@ -73,6 +75,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = docs.where(F.col(text_col).isNotNull()).select(key.alias("r"), F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)).alias("_key"), _chunks(F.col(text_col), divisor, own_words).alias("c"))
     hashed = F.transform("c", lambda x, k: F.struct(k.alias("k"), F.when(_counts_as_chunk(x, own_words), F.md5(x.cast("binary"))).alias("h")))
     spots = place.select("r", "_key", F.explode(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("x")).select("r", "_key", F.col("x.k").alias("k"), F.unhex("x.h").alias("h"))
+    spots = stored(spots, "line-spots")  # read twice; making them costs more than reading them
     # equal rows are one document: the smallest and largest spot of a hash differ if it repeats
     seen = spots.groupBy("h").agg(F.min(F.struct("r", "_key", "k")).alias("first"), F.max(F.struct("r", "_key", "k")).alias("last")).where("first <> last").select("h", F.col("first._key").alias("_key"), F.col("first.k").alias("k"))
 
