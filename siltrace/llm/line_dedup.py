@@ -9,6 +9,8 @@ stays, if it has several lines or ``LONG_WORDS`` words, or if a chunk beside it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +66,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunk that shares only its hash stays. Blank chunks stay. Rows with equal id and text are
     one document, so they keep or lose the same chunks; a null id sorts last. Null texts stay
     null with no chunks, and empty texts stay empty. A text may become empty; no row is
-    dropped. Columns of ``docs`` named like the two counters are replaced.
+    dropped. Columns of ``docs`` named like the two counters are replaced, all others kept.
 
     Counting shuffles hashes only. The texts are shuffled once, by row, for both joins, and the
     text of kept occurrences is sent once to each row that repeats it.
     """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    row_key, own_at, again_at, chunks_at, stays_at = map(free, ("_row_key", "_own", "_again", "_chunks", "_stays"))
     # the key's order is the order of precedence; it is made of the row's content alone
     key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    rows = docs.drop("_n_chunks", "_n_removed").withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)))
+    rows = docs.drop("_n_chunks", "_n_removed").withColumn(row_key, F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)))
     place = docs.where(F.col(text_col).isNotNull()).select(key.alias("r"), F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col)).alias("_key"), _chunks(F.col(text_col), divisor, own_words).alias("c"))
     hashed = F.transform("c", lambda x, k: F.struct(k.alias("k"), F.when(_counts_as_chunk(x, own_words), F.md5(x.cast("binary"))).alias("h")))
     spots = place.select("r", "_key", F.explode(F.filter(hashed, lambda x: x["h"].isNotNull())).alias("x")).select("r", "_key", F.col("x.k").alias("k"), F.unhex("x.h").alias("h"))
@@ -79,26 +89,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal rows are one document: the smallest and largest spot of a hash differ if it repeats
     seen = spots.groupBy("h").agg(F.min(F.struct("r", "_key", "k")).alias("first"), F.max(F.struct("r", "_key", "k")).alias("last")).where("first <> last").select("h", F.col("first._key").alias("_key"), F.col("first.k").alias("k"))
 
-    # every column is named, so that this join and the last one shuffle the same rows and Spark does it once
-    others = F.xxhash64(*[c for c in rows.columns if c not in ("_key", text_col)], F.lit(0))
+    # every column that can be hashed is named, so that this join and the last one shuffle the same rows and Spark does it once
+    others = F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if f.name not in (row_key, text_col) and not re.search("map<|variant", f.dataType.simpleString())], F.lit(0))
     own_text = F.when(others % 2 < 2, F.col(text_col))
-    homes = seen.groupBy("_key").agg(F.collect_list(F.struct("h", "k")).alias("own"))
+    homes = seen.groupBy(F.col("_key").alias(row_key)).agg(F.collect_list(F.struct("h", "k")).alias(own_at))
     texts = (
-        rows.join(homes, "_key")
-        .select("_key", "own", _chunks(own_text, divisor, own_words).alias("c"))
+        rows.join(homes, row_key)
+        .select(F.col(row_key).alias("_key"), F.col(own_at).alias("own"), _chunks(own_text, divisor, own_words).alias("c"))
         .select("_key", F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), o["k"].alias("k"), F.get("c", o["k"]).alias("t")))).alias("o"))
         .select(F.col("o.h").alias("h"), F.col("_key").alias("home"), F.col("o.k").alias("at"), F.col("o.t").alias("t"))
         .distinct()
     )
     again = spots.select("_key", "k", "h").distinct().join(texts, "h").where((F.col("_key") != F.col("home")) | (F.col("k") != F.col("at")))
-    marks = again.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias("again"))
-    joined = rows.join(marks, "_key", "left").withColumn("_c", F.when(F.col(text_col).isNotNull(), _chunks(F.col(text_col), divisor, own_words)))
+    marks = again.groupBy(F.col("_key").alias(row_key)).agg(F.map_from_entries(F.collect_list(F.struct("k", "t"))).alias(again_at))
+    joined = rows.join(marks, row_key, "left").withColumn(chunks_at, F.when(F.col(text_col).isNotNull(), _chunks(F.col(text_col), divisor, own_words)))
 
     def repeats(k: Column) -> Column:
-        return F.coalesce(F.element_at("again", k) == F.get("_c", k), F.lit(False))
+        return F.coalesce(F.element_at(again_at, k) == F.get(chunks_at, k), F.lit(False))
 
-    stays = F.filter("_c", lambda x, k: ~(repeats(k) & (F.contains(x, F.lit("\n")) | (_words(x) >= long_words) | repeats(k - 1) | repeats(k + 1))))
-    changed = joined.withColumn("_stays", F.when(F.col("again").isNull(), F.col("_c")).otherwise(stays))
-    text = F.when(F.col("again").isNull(), F.col(text_col)).otherwise(F.array_join("_stays", "\n"))
-    n, m = F.coalesce(F.size("_c"), F.lit(0)), F.coalesce(F.size("_stays"), F.lit(0))
-    return changed.select(*[text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != "_key"], F.greatest(n, F.lit(0)).cast("bigint").alias("_n_chunks"), F.greatest(n - m, F.lit(0)).cast("bigint").alias("_n_removed"))
+    stays = F.filter(chunks_at, lambda x, k: ~(repeats(k) & (F.contains(x, F.lit("\n")) | (_words(x) >= long_words) | repeats(k - 1) | repeats(k + 1))))
+    changed = joined.withColumn(stays_at, F.when(F.col(again_at).isNull(), F.col(chunks_at)).otherwise(stays))
+    text = F.when(F.col(again_at).isNull(), F.col(text_col)).otherwise(F.array_join(stays_at, "\n"))
+    n, m = F.coalesce(F.size(chunks_at), F.lit(0)), F.coalesce(F.size(stays_at), F.lit(0))
+    return changed.select(*[text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != row_key], F.greatest(n, F.lit(0)).cast("bigint").alias("_n_chunks"), F.greatest(n - m, F.lit(0)).cast("bigint").alias("_n_removed"))

@@ -218,6 +218,17 @@ def test_line_dedup_passages_of_short_lines(spark):
     assert got == {0: texts[0], 1: "own start\nown end", 2: texts[2], 3: texts[3]}
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["own", "again", "home", "h", "k", "c", "t", "r", "at", "_key", "_c", "_row_key", "_own", "_again", "_chunks", "_stays"]
+    text = "several words of one line " * 9 + "\n" + "and a second line of words " * 3
+    frame = docs(spark, [text, text]).select("*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    out = line_dedup.line_dedup(frame)
+    assert out.columns == [*frame.columns, "_n_chunks", "_n_removed"]
+    rows = out.collect()
+    assert {r.doc_id: r.text for r in rows} == {0: text, 1: ""}
+    assert all(r[n] == n for r in rows for n in names)
+
+
 def test_line_dedup_odd_rows(spark):
     passage = "\n".join("some words of a passage " * 10 + str(k) for k in range(3))
     frame = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (2, None), (3, passage + "\nend")], "doc_id long, text string")
