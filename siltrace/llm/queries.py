@@ -11,6 +11,7 @@ from siltrace.sources.tables import table
 TOXIC_FROM = 0.3
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+LISTED_HOSTS = ("spam-farm.example.com", "cheap-pills.example.com")  # as the pages have them
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -75,7 +76,13 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     for h in BLOCKED_HOSTS:
         listed = listed | (F.col("host") == h) | F.endswith(F.col("host"), F.lit(f".{h}"))
     blocked = seen.where(listed).select("host").distinct()
-    return url_filter.url_verdicts(pages, RULES, trusted, blocked).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    return url_filter.url_verdicts(pages, RULES, trusted, blocked, seen_only=True).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op9_site_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds from the rules' verdicts both ways, over a graph with every parent domain."""
+    pages = table(spark, sf, "pages")
+    return url_filter.url_verdicts(pages, RULES, *url_filter.rule_seeds(pages, RULES, LISTED_HOSTS)).withColumnRenamed("id", "page_id")
 
 
 def op10_decontam(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +237,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op10_decontam)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op9_site_filter, op10_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:

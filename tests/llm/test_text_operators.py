@@ -377,6 +377,19 @@ def test_distrust_flows_backwards(spark):
     assert got["fine.io"].trust > 0 and got["fine.io"].distrust == 0
 
 
+def test_standing_of_unseen_parents(spark):
+    hosts = ["www.bad.com", "shop.bad.com", "a.b.c.d.e.bad.com", "fine.org", "x.co.uk", "y.co.uk", "1.2.3.4", "9.9.3.4"]
+    frame = spark.createDataFrame([(k, f"http://{h}/p", None) for k, h in enumerate(hosts)] + [(90, "http://www.bad.com/ads/1", None), (91, "http://x.co.uk/ads/1", None), (92, "http://1.2.3.4/ads/1", None)], "page_id long, url string, html string")
+    rules = [("block", h, "/ads/") for h in ("bad.com", "co.uk", "1.2.3.4")] + [("allow", "org", "/")]
+    trusted, blocked = url_filter.rule_seeds(frame, rules, ["d.e.bad.com"])
+    assert {r.host for r in trusted.collect()} == {"fine.org"}
+    assert {r.host for r in blocked.collect()} == {"www.bad.com", "x.co.uk", "1.2.3.4", "a.b.c.d.e.bad.com"}
+    got = {r.host: r.verdict for r in url_filter.url_verdicts(frame, rules, *url_filter.rule_seeds(frame, rules), suffixes=["co.uk"]).where("path = '/p'").collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"www.bad.com", "shop.bad.com", "a.b.c.d.e.bad.com", "x.co.uk", "1.2.3.4"}
+    parents = {r.dst for r in url_filter.host_edges(frame, suffixes=["co.uk"]).collect()} - set(hosts)
+    assert parents == {"bad.com", "e.bad.com", "d.e.bad.com", "c.d.e.bad.com", "b.c.d.e.bad.com"}
+
+
 # nearest neighbours
 
 
