@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that an earlier document holds; ``n_chars`` follows."""
-    out = line_dedup.line_dedup(docs)
+    """Documents without passages and chunks of lines that an earlier document holds; ``n_chars`` follows."""
+    out = line_dedup.full_dedup(docs)
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 

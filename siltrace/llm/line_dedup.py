@@ -5,6 +5,10 @@ rolling hash is divisible by ``DIVISOR``, and on both sides of a line of ``OWN_W
 so boundaries depend on the lines around them and not on what was inserted further up. A chunk
 that occurs again anywhere is removed after its bytes are compared with the occurrence that
 stays, if it has several lines or ``LONG_WORDS`` words, or if a chunk beside it repeats too.
+
+Where chunks begin depends on foreign lines at both ends of a passage, and lone short lines
+are no chunks, so chunks miss passages of short or parted lines. ``passage_dedup`` looks at a
+window of lines from every line on and misses none of over ``PASSAGE_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.session import stored
@@ -19,6 +24,7 @@ from siltrace.session import stored
 DIVISOR = 4
 OWN_WORDS = 10
 LONG_WORDS = 30
+PASSAGE_WORDS = 50
 
 
 def _line_hash(line: Column) -> Column:
@@ -112,3 +118,70 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col(again_at).isNull(), F.col(text_col)).otherwise(F.array_join(stays_at, "\n"))
     n, m = F.coalesce(F.size(chunks_at), F.lit(0)), F.coalesce(F.size(stays_at), F.lit(0))
     return changed.select(*[text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != row_key], F.greatest(n, F.lit(0)).cast("bigint").alias("_n_chunks"), F.greatest(n - m, F.lit(0)).cast("bigint").alias("_n_removed"))
+
+
+def _windows(text: Column, words: int) -> Column:
+    """For each line with a word, ``a, b, h``: the fewest lines from it on with over ``words`` words.
+
+    ``a`` and ``b`` are the first and last line's places, ``h`` is the hash of the lines in
+    between that have a word. Lines with too few words after them have no window.
+    """
+    count = lambda t: F.size(F.filter(F.split(F.translate(t, "\r\t", "  "), " "), lambda x: x != "")).cast("long")
+    marked = F.filter(F.transform(F.split(text, "\n", -1), lambda t, k: F.struct(t.alias("t"), k.alias("k"), count(t).alias("w"))), lambda x: x["w"] > 0)
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
+
+    def cut(m: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            more = lambda a, y: F.when(a["s"] > words, a).otherwise(F.struct((a["s"] + y["w"]).alias("s"), (a["n"] + 1).alias("n")))
+            n = F.aggregate(F.slice(m, i + 1, words + 1), none, more, lambda a: F.when(a["s"] > words, a["n"]))
+            whole = lambda n: F.array_join(F.transform(F.slice(m, i + 1, n), lambda y: y["t"]), "\n")
+            # a one-element array binds the number of lines once for both uses
+            return F.get(F.transform(F.array(n), lambda n: F.when(n.isNotNull(), F.struct(x["k"].alias("a"), F.get(m, i + n - 1)["k"].alias("b"), F.sha2(whole(n).cast("binary"), 256).alias("h")))), 0)
+
+        return F.filter(F.transform(m, at), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(marked), cut), 0)
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` without repeated passages of over ``words`` words, plus ``_n_passage_lines`` removed.
+
+    A passage is a run of whole lines. Blank lines don't count: copies may differ in them, and
+    those inside a passage go with it. All repeats but the one with the smallest id (then the
+    smallest text hash and position) go, also within a document. Windows are equal if their
+    SHA-256 is; their bytes aren't shipped. Equal rows, null ids, null and empty texts, and
+    columns named like the counter are treated as by ``line_dedup``; no row is dropped.
+
+    Hashes and places are shuffled, and the texts once.
+    """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    row_key, runs_at = free("_row_key"), free("_runs")
+    own_key = F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    rows = docs.drop("_n_passage_lines").withColumn(row_key, own_key)
+    spots = docs.where(F.col(text_col).isNotNull()).select(key.alias("r"), own_key.alias("_key"), F.explode(_windows(F.col(text_col), words)).alias("x"))
+    spots = stored(spots.select("r", "_key", "x.a", "x.b", F.unhex("x.h").alias("h")), "passage-spots")
+    seen = spots.groupBy("h").agg(F.min(F.struct("r", "_key", "a")).alias("first"), F.max(F.struct("r", "_key", "a")).alias("last")).where("first <> last").select("h", F.col("first._key").alias("home"), F.col("first.a").alias("at"))
+    again = spots.select("_key", "a", "b", "h").join(seen, "h").where((F.col("_key") != F.col("home")) | (F.col("a") != F.col("at"))).select("_key", "a", "b").distinct()
+    # windows that overlap become one run, so a line is compared with few of them
+    before = W.partitionBy("_key").orderBy("a").rowsBetween(W.unboundedPreceding, -1)
+    starts = again.withColumn("_s", F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("long"))
+    runs = starts.withColumn("_run", F.sum("_s").over(W.partitionBy("_key").orderBy("a").rowsBetween(W.unboundedPreceding, 0))).groupBy("_key", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    marks = runs.groupBy(F.col("_key").alias(row_key)).agg(F.collect_list(F.struct("a", "b")).alias(runs_at))
+    joined = rows.join(marks, row_key, "left")
+    lines = F.split(text_col, "\n", -1)
+    stays = F.filter(lines, lambda t, k: ~F.exists(F.col(runs_at), lambda x: (k >= x["a"]) & (k <= x["b"])))
+    text = F.when(F.col(runs_at).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    gone = F.aggregate(F.coalesce(F.col(runs_at), F.array().cast("array<struct<a:int,b:int>>")), F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"] + 1)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != row_key], gone.alias("_n_passage_lines"))
+
+
+def full_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``passage_dedup``, then ``line_dedup`` for shorter chunks of what is left."""
+    return line_dedup(stored(passage_dedup(docs, id_col, text_col), "passages"), id_col, text_col)

@@ -55,6 +55,12 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("_n_chunks").alias("n_chunks"), F.col("_n_removed").alias("n_removed"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every repeated passage of over 50 words, then repeated chunks."""
+    out = line_dedup.full_dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_n_passage_lines").alias("n_passage_lines"), F.col("_n_chunks").alias("n_chunks"), F.col("_n_removed").alias("n_removed"))
+
+
 def op7_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents"), shingle=2, percent=80).withColumnRenamed("id", "doc_id")
 
@@ -237,7 +243,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op9_site_filter, op10_decontam)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op6_passage_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op9_site_filter, op10_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -238,6 +238,60 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.line_dedup(frame.where("false")).count() == 0
 
 
+def brute_passages(rows, limit=50):
+    """All line-aligned windows of over ``limit`` words that occurred before are taken out."""
+    seen, out = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        full = [(k, len(re.findall(r"[^ \r\t]+", t))) for k, t in enumerate(lines)]
+        full = [(k, w) for k, w in full if w]
+        gone = set()
+        for p in range(len(full)):
+            q, n = p, 0
+            while q < len(full) and n <= limit:
+                n, q = n + full[q][1], q + 1
+            if n > limit:
+                t = tuple(lines[k] for k, _ in full[p:q])
+                if t in seen:
+                    gone |= set(range(full[p][0], full[q - 1][0] + 1))
+                seen.add(t)
+        out[i] = ("\n".join(t for k, t in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(n))
+    pool = [line(rng.choice([0, 1, 2, 5, 9, 20, 60])) for _ in range(300)]
+    shared = [[rng.choice(pool) for _ in range(rng.choice([3, 12, 40]))] for _ in range(12)]
+    texts = ["\n".join([line(4) for _ in range(5)] + rng.choice(shared) + [line(3), ""] + rng.choice(shared)[2:] + [f"own {k}"]) for k in range(50)] + ["", "\n\n", "x y\n" * 120, "\n".join(["a " * 30, "b " * 30] * 4)]
+    got = {r.doc_id: (r.text, r._n_passage_lines) for r in line_dedup.passage_dedup(docs(spark, texts, "extra")).collect()}
+    assert got == brute_passages(list(enumerate(texts)))
+    assert sum(n for _, n in got.values()) > 100
+
+
+def test_parted_and_short_passages_go(spark):
+    line = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    parted = "\n\n".join(line(k, 20) for k in range(3))
+    headed = "\nOf ships\n".join(line(k, 20) for k in range(3, 6))
+    short = "\n".join(line(k, 6) for k in range(10, 20))
+    lone = line(30, 20)
+    around = lambda k, passage: "\n".join([f"before {k} {j}" for j in range(3)] + [passage] + [f"after {k} {j}" for j in range(2)])
+    texts = [around(k, (parted, headed, short, lone)[k % 4]) for k in range(16)]
+    got = {r.doc_id: r.text for r in line_dedup.full_dedup(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        passage = (parted, headed, short, lone)[k % 4]
+        assert got[k] == (t if k < 4 or k % 4 == 3 else t.replace(f"{passage}\n", ""))
+
+
+def test_passages_odd_rows(spark):
+    passage = "\n".join("some words of a passage " * 4 + str(k) for k in range(3))
+    frame = spark.createDataFrame([(1, passage, 7), (1, passage, 7), (None, passage, 7), (2, None, 7), (3, passage + "\nend", 7)], "doc_id long, text string, _row_key int")
+    got = sorted(((r.doc_id, r.text, r._row_key, r._n_passage_lines) for r in line_dedup.passage_dedup(frame).collect()), key=str)
+    assert got == sorted([(1, passage, 7, 0), (1, passage, 7, 0), (None, "", 7, 3), (2, None, 7, 0), (3, "end", 7, 3)], key=str)
+    assert line_dedup.passage_dedup(frame.where("false")).count() == 0
+
+
 # near duplicates
 
 
