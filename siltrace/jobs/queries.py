@@ -650,3 +650,18 @@ def p9_permutation_importance(spark, sf):
     rows = _rows(spark, sf)
     model = ML.train(rows.where("split = 'train'"), FEATURES, "glm")
     return ML.permutation_importance(model, rows.where("split <> 'train'"), FEATURES[:3], repeats=1)
+
+
+def refit_cells(spark, sf, grid: list[int] = ML.WINDOWS, **model) -> DataFrame:
+    """The sweep on all profile and degree columns; degree features are made once for each window."""
+    x = Ledger(spark, sf)
+    profiles = P.profile_features(x.account_day, x.ledger)
+    names = [c for c in profiles.columns if c not in ("account_id", "date", "day", "label")]
+    rows = checkpoint(M.temporal_split(profiles))
+    targets = rows.select("account_id", "day", F.explode(F.array(*map(F.lit, grid))).alias("w"))
+    return ML.window_sweep(rows, checkpoint(G.degree_features(targets, x.ledger, max(grid))), names, grid, **model)
+
+
+@query
+def m14_refit_sweep(spark, sf):
+    return refit_cells(spark, sf)

@@ -22,6 +22,8 @@ RANGES = {
     "forest": {"trees": [50, 500], "depth": [10, 30], "leaf": [1, 10]},
     "boosted": {"depth": [3, 8], "rate": [0.01, 0.3], "leaf": [5, 100], "rounds": [50, 200]},
 }
+#: Days of the published window sweep.
+WINDOWS = [1, 7, 14, 30, 60, 90]
 
 
 def _prepared(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -144,6 +146,25 @@ def ablation(splits: dict[str, DataFrame], sets: dict[str, list[str]], kind: str
     return spark.createDataFrame(out, "name string, recall double")
 
 
+def window_sweep(rows: DataFrame, degrees: DataFrame, profiles: list[str], grid: list[int] = WINDOWS, kind: str = "boosted", params: dict | None = None, target_fpr: float = 0.2) -> DataFrame:
+    """``tws, twl, recall`` on the test split of a model refit with ``params`` for each pair of windows.
+
+    ``degrees`` are the degree features of every account and day once for each window ``w`` of
+    ``grid``. Suspicious ``rows`` (with ``label`` and ``split``) take theirs at ``tws``, the
+    others at ``twl``; ``profiles`` are their other columns to train on.
+    """
+    own = [c for c in degrees.columns if c not in ("account_id", "day", "w")]
+    spark, out = rows.sparkSession, []
+    for tws in grid:
+        for twl in grid:
+            cell = rows.withColumn("w", F.when(F.col("label"), tws).otherwise(twl)).join(degrees, ["account_id", "day", "w"]).persist()
+            model = train(cell.where("split = 'train'"), profiles + own, kind, params)
+            recall = recall_at_fpr(roc_points(scored(model, cell.where("split = 'test'"), profiles + own)), target_fpr).first()
+            out.append((tws, twl, recall[0] if recall else None))
+            cell.unpersist()
+    return spark.createDataFrame(out, "tws int, twl int, recall double")
+
+
 def save(model: PipelineModel, path: str, name: str, features: list[str]) -> None:
     """The model, and its name and columns as a one-row JSON table beside it."""
     model.write().overwrite().save(f"{path}/model")
