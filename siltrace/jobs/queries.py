@@ -306,6 +306,13 @@ def w1_random_walks(spark, sf):
     return hits.withColumn("walk", F.col("walk").cast("bigint"))
 
 
+@query
+def w1_full_walks(spark, sf):
+    """The published 50 walks of up to 20 steps."""
+    x = Ledger(spark, sf)
+    return WK.walk_summary(x.targets, WK.random_walks(x.targets, x.ledger, checkpoint(x.illicit), W), 50)
+
+
 @query
 def w2_w4_walk_features(spark, sf):
     x = Ledger(spark, sf)
@@ -618,7 +625,7 @@ def _rows(spark, sf) -> DataFrame:
 @query
 def m3_m16_stage1_scores(spark, sf):
     rows = _rows(spark, sf)
-    model = ML.stage1_scorer(rows.where("split = 'train'"), FEATURES, rounds=5)
+    model = ML.stage1_scorer(rows.where("split = 'train'"), FEATURES)
     return ML.scored(model, rows.where("split <> 'train'"), FEATURES).select("account_id", "date", "label", "score")
 
 
@@ -649,7 +656,7 @@ def m13_saved_model(spark, sf):
 def p9_permutation_importance(spark, sf):
     rows = _rows(spark, sf)
     model = ML.train(rows.where("split = 'train'"), FEATURES, "glm")
-    return ML.permutation_importance(model, rows.where("split <> 'train'"), FEATURES[:3], repeats=1)
+    return ML.permutation_importance(model, rows.where("split <> 'train'"), FEATURES)
 
 
 def refit_cells(spark, sf, grid: list[int] = ML.WINDOWS, **model) -> DataFrame:
