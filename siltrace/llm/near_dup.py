@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.llm.arrow import in_text_parts
@@ -112,29 +113,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``x, y`` with one pivot ``b`` and different components ``c`` that can reach ``percent``.
 
-    With ``a`` codes of each set in the pivot's, two sets share at most the smaller ``a`` plus
-    the codes that they share outside of it. So a pair is met either by its sizes, where the
-    pivot alone could suffice, or by a shared code outside of the pivot; no other pair can
-    reach the limit. The pivot is the smallest id of a key's most common component, so what a
-    family has in common is never joined on.
+    A prefix join: two sets of n and k codes reach the limit only if they share at least
+    (n + k) * percent / (100 + percent) codes, so with all codes in one order they share a
+    code among the first ``n - ceil(n * percent / 100) + 1`` of each. In the order of a pivot,
+    codes outside of the pivot's set come before those in it, then codes that only one
+    component holds, then rare codes before common ones. Codes of one component take up their places but
+    are never joined on, and what a family has in common comes last, so it is hardly ever a
+    key. Sets whose prefix lies outside of the pivot never spread their other codes. Sizes,
+    places of the shared code and the overlap with the pivot rule out further pairs in the
+    join; no pair that reaches the limit is lost. The pivot is the smallest id of a key's most
+    common component.
     """
     p = percent
     star = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     met = rows.join(sets.select(F.col("id").alias("x"), "s"), "x").join(star, "b")
-    known = stored(met.select("b", "x", "c", F.size("s").alias("n"), F.array_except("s", "sb").alias("own")).withColumn("a", F.col("n") - F.size("own")), "near-beside")
-    low, high = F.ceil(F.col("n") * p / 100), F.least(F.floor(F.col("n") * 100 / p), F.floor(F.col("a") * (100 + p) / p) - F.col("n"))
-    sized = known.where(low <= high).select("b", F.col("x").alias("y"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("a").alias("e"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
-    enough = F.least("a", "e") * (100 + p) >= (F.col("n") + F.col("k")) * p
-    by_size = sized.join(known.drop("own"), ["b", "n"]).where((F.col("c") != F.col("d")) & enough).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    code = known.select("b", "x", "c", "n", "a", F.explode("own").alias("t"))
-    open_codes = code.groupBy("b", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b", "t")
-    code = code.join(open_codes, ["b", "t"])
-    other = code.select("b", "t", F.col("x").alias("y"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("a").alias("e"))
+    known = met.select("b", "x", "c", F.size("s").alias("n"), F.array_except("s", "sb").alias("own"), "s").withColumn("u", F.size("own")).withColumn("m", F.col("n") - F.ceil(F.col("n") * p / 100) + 1)
+    inside = F.when(F.col("u") < F.col("m"), F.array_except("s", "own")).otherwise(F.array().cast("array<bigint>"))
+    tagged = F.concat(F.transform("own", lambda t: F.struct(F.lit(0).alias("g"), t.alias("t"))), F.transform(inside, lambda t: F.struct(F.lit(1).alias("g"), t.alias("t"))))
+    known = stored(known.select("b", "x", "c", "n", "u", "m", tagged.alias("codes")), "near-beside")
+    code = known.select("b", "x", "c", "n", "u", "m", F.explode("codes").alias("e")).select("b", "x", "c", "n", "u", "m", "e.g", "e.t")
+    open_codes = code.groupBy("b", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("many")).where("c0 < c1").select("b", "t", "many")
+    by_set = W.partitionBy("b", "x")
+    placed = code.join(open_codes, ["b", "t"]).withColumn("nth", F.row_number().over(by_set.orderBy("g", "many", "t"))).withColumn("o", F.count_if(F.col("g") == 0).over(by_set)).withColumn("i", F.count("*").over(by_set) - F.col("o"))
+    # places among all codes of the set: those of one component come first on either side of the pivot
+    own_place, inside_place = F.col("u") - F.col("o") + F.col("nth"), F.col("n") - F.col("i") + F.col("nth") - F.col("o")
+    first = placed.withColumn("at", F.when(F.col("g") == 0, own_place).otherwise(inside_place)).where("at <= m").select("b", "t", "x", "c", "n", "u", "at")
+    other = first.select("b", "t", F.col("x").alias("y"), F.col("c").alias("d"), F.col("n").alias("k"), F.col("u").alias("v"), F.col("at").alias("bt"))
+    least = (F.col("n") + F.col("k")) * p
     alike = F.least("n", "k") * 100 >= F.greatest("n", "k") * p
-    both = code.join(other, ["b", "t"]).where((F.col("x") < F.col("y")) & (F.col("c") != F.col("d")) & alike)
-    outside = both.groupBy("b", "x", "y", "n", "k", "a", "e").agg(F.count("*").alias("o"))
-    by_code = outside.where((F.least("a", "e") + F.col("o")) * (100 + p) >= (F.col("n") + F.col("k")) * p).select("x", "y")
-    return by_size.union(by_code).distinct()
+    after = (F.least(F.col("n") - F.col("at"), F.col("k") - F.col("bt")) + 1) * (100 + p) >= least
+    outside = (F.least(F.col("n") - F.col("u"), F.col("k") - F.col("v")) + F.least("u", "v")) * (100 + p) >= least
+    both = first.join(other, ["b", "t"]).where((F.col("x") < F.col("y")) & (F.col("c") != F.col("d")) & alike & after & outside)
+    return both.select("x", "y").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
@@ -154,10 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are merged before the search, so a group of copies costs one row. In each
     table a row is compared with the table key's smallest id only. Rows of keys that
-    still hold several components are then compared across components, where an exact bound
-    from the key's pivot leaves the pair possible, so a large group never becomes all
-    pairs. Every link is confirmed on the whole
-    sets of 64-bit shingle codes.
+    still hold several components are then compared across components by an exact prefix
+    join over rare codes, so what a large group has in common makes no pairs. Every link is
+    confirmed on the whole sets of 64-bit shingle codes.
     """
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = two.schema["id"].dataType.simpleString()

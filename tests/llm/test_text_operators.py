@@ -332,6 +332,20 @@ def test_near_duplicates(spark, k):
     assert got == brute_near(texts, k)
 
 
+def test_near_duplicates_template_family(spark):
+    """A family that shares 70 of 100 codes, and dates that a tenth of it shares, makes no pairs of all."""
+
+    def found(n):
+        rows = spark.range(n).select(F.lit(0).cast("bigint").alias("b"), F.col("id").alias("x"), F.col("id").alias("c"))
+        template = F.sequence(F.lit(1).cast("bigint"), F.lit(70).cast("bigint"))
+        dates = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.col("id") % 10 * 5 + k + 1000)
+        own = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.col("id") * 25 + k + 10_000)
+        twin = F.when(F.col("id") >= 2, F.concat(template, dates, own)).otherwise(F.concat(template, F.sequence(F.lit(500).cast("bigint"), F.lit(529).cast("bigint"))))
+        return near_dup._beside_pivot(rows, spark.range(n).select("id", twin.alias("s")), 80).count()
+
+    assert 1 <= found(100) and found(400) <= 2 * found(200) <= 4 * found(100)
+
+
 def test_near_duplicates_odd_rows(spark):
     frame = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "a  B c d"), (8, None), (9, "")], "doc_id long, text string")
     got = sorted(((r.id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame, shingle=2).collect()), key=str)
