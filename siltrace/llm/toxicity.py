@@ -3,10 +3,12 @@
 The kernel compares two words by the three-character subsequences that they share, each
 weighted by ``DECAY`` to the power of the characters that it spans (at most ``SPAN``), so
 ``idiot``, ``id.iot`` and ``idxiot`` stay close. A Nystroem map from landmark words makes the
-machine linear. Labels belong to documents: a sentence, and so a document, is as toxic as its
-worst word, and the machine learns from the words of labelled sentences. Because the kernel
-has an explicit form, the trained machine folds into one weight per subsequence, and scoring
-a word needs no landmark.
+machine linear. Labels belong to documents, and no label says which sentence is meant, so the
+machine learns from several instances at once: a sentence is as toxic as its worst word, all
+sentences of a document labelled 0 are negative, and of a document labelled 1 the sentences
+that look worst are positive. They are chosen again after each turn of training. Because the
+kernel has an explicit form, the trained machine folds into one weight per subsequence, and
+scoring a word needs no landmark.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ DECAY, SPAN, BITS = 0.7, 5, 20
 _OFFSETS = [(0, i, j) for j in range(2, SPAN) for i in range(1, j)]
 LONGEST = 40  # characters of a word; a longer one is cut into overlapping stretches
 CACHED_WORDS = 250_000  # of a Python worker, within a partition
+WORST = 4  # words of a document that its score looks at
+HARDNESS = 0.5  # of the machine's margin: how much a miss costs
+NO_WORDS = -1.0  # the margin of a word that isn't there, and the least that counts
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’¿¡…–—"
 _INNER = re.compile(r"[\W\d_]+")
 _SPELT = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
@@ -63,15 +68,19 @@ def _norms(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt((np.where(last, total - before, 0) ** 2).sum(1)) + 1e-9
 
 
-def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """The normalised kernel of all pairs; made in blocks by the caller."""
+def kernel(a: list[str], b: list[str], strip: int = 64) -> np.ndarray:
+    """The normalised kernel of all pairs, in strips of ``b`` so that no wide table is made."""
+    if len(b) > strip:
+        return np.concatenate([kernel(a, b[i : i + strip], strip) for i in range(0, len(b), strip)], 1)
+    if not a or not b:
+        return np.zeros((len(a), len(b)))
     (sa, wa), (sb, wb) = _slots(a), _slots(b)
     used = np.unique(sb[wb > 0])
     dense = np.zeros((len(used) + 1, len(b)))
     np.add.at(dense, (np.searchsorted(used, sb), np.arange(len(b))[:, None]), np.where(wb > 0, wb, 0))
     dense = dense[:-1] / _norms(sb, wb)
-    at = np.clip(np.searchsorted(used, sa), 0, max(0, len(used) - 1))
-    hit = np.where((used[at] == sa) & (wa > 0), wa, 0) if len(used) else np.zeros_like(wa)
+    at = np.clip(np.searchsorted(used, sa), 0, len(used) - 1)
+    hit = np.where((used[at] == sa) & (wa > 0), wa, 0)
     out = np.zeros((len(a), len(b)))
     for k in range(sa.shape[1]):
         some = hit[:, k] > 0
@@ -106,9 +115,7 @@ def units(text: str | None) -> set[str]:
 
 def _spread(words: list[str], most: int, close: float = 0.8) -> list[str]:
     """The first words of which no two are closer than ``close``, up to ``most``."""
-    # in narrow strips: a strip's table of subsequences is dense
-    strips = [kernel(words, words[i : i + 150]) for i in range(0, len(words), 150)]
-    near, out = np.concatenate(strips, 1) if words else np.zeros((0, 0)), []
+    near, out = kernel(words, words), []
     for k in range(len(words)):
         if len(out) < most and (near[k, out] < close).all():
             out.append(k)
@@ -117,22 +124,24 @@ def _spread(words: list[str], most: int, close: float = 0.8) -> list[str]:
 
 @dataclass
 class Model:
-    """A trained machine: weights of subsequences, bias, and the logistic of a margin."""
+    """A trained machine: weights of subsequences, bias, and the logistic of the worst margins."""
 
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words))
-        for i in range(0, len(words), 4096):
-            s, w = _slots(words[i : i + 4096])
-            out[i : i + 4096] = (self.weights[s] * w).sum(1) / _norms(s, w) + self.bias
+    def margins(self, words: list[str], norms: np.ndarray | None = None) -> np.ndarray:
+        """Distances from the machine's plane; ``norms`` are the words' lengths, if known."""
+        out = np.empty(len(words), np.float32)
+        for i in range(0, len(words), 1024):
+            s, w = _slots(words[i : i + 1024])
+            out[i : i + 1024] = (self.weights[s] * w).sum(1) / (_norms(s, w) if norms is None else norms[i : i + 1024]) + self.bias
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+    def probability(self, worst: np.ndarray) -> np.ndarray:
+        """Of rows with the margins of the ``WORST`` worst words."""
+        return 1 / (1 + np.exp(-np.clip(np.clip(worst, NO_WORDS, 1) @ self.slopes + self.shift, -50, 50)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -155,39 +164,74 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.nd
     return w
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a lightly penalised logistic fit."""
-    x, b = np.stack([margin, np.ones_like(margin)], 1), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (y - p) - 0.1 * (b - [1.0, 0.0]))
-        b = b + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Non-negative weights and a shift of a lightly penalised logistic fit."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(float)
+    b, used = np.zeros(x.shape[1]), np.ones(x.shape[1], bool)
+    for _ in range(rounds):
+        a = x[:, used]
+        p = 1 / (1 + np.exp(-np.clip(a @ b[used], -50, 50)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(a.shape[1]), a.T @ (y - p) - 0.1 * b[used])
+        b[used] += np.clip(step, -3, 3)
+        wrong = b < 0
+        wrong[-1] = False
+        if wrong.any():  # a worse word never makes a text better
+            b[wrong], used[wrong] = 0, False
+        elif np.abs(step).max() < 1e-8:
             break
-    return max(0.1, float(b[0])), float(b[1])
+    return b[:-1], float(b[-1])
+
 
+def _bags(docs: list[tuple[str | None, int]], marks: int = 8) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Words, each document's words as numbers, and labels. ``docs`` is emptied, to save memory.
 
-def _without_copies(sets: list[set[str]], marks: int = 8) -> list[int]:
-    """Indices of texts that don't share 3 of their ``marks`` least long words with an earlier one,
-    so that copies of one toxic text don't make all of its words look toxic."""
-    owner: dict[str, int] = {}
-    out = []
-    for k, s in enumerate(sets):
-        sketch = heapq.nsmallest(marks, (w for w in s if len(w) >= 8), key=hash_of)
+    A document that shares 3 of its ``marks`` least long words with an earlier one of the same
+    label is left out, so that copies of one toxic text don't make all its words look toxic.
+    """
+    number: dict[str, int] = {}
+    owner: dict[tuple[int, int], int] = {}
+    bags, labels = [], []
+    docs.reverse()
+    while docs:
+        text, label = docs.pop()
+        words = units(text)
+        sketch = [(label, zlib.crc32(w.encode())) for w in heapq.nsmallest(marks, (w for w in words if len(w) >= 8), key=hash_of)]
         shared: dict[int, int] = {}
         for w in sketch:
             if w in owner:
                 shared[owner[w]] = shared.get(owner[w], 0) + 1
-        if max(shared.values(), default=0) < 3:
-            out.append(k)
-            owner.update((w, k) for w in sketch if w not in owner)
-    return out
+        if not words or max(shared.values(), default=0) >= 3:
+            continue
+        for w in sketch:
+            owner.setdefault(w, len(bags))
+        bags.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        labels.append(label)
+    return list(number), bags, np.array(labels, int)
+
+
+def _first_model(words: list[str], toxic: list[np.ndarray], clean: list[np.ndarray]) -> Model:
+    """Weights by how much oftener a subsequence occurs in documents of one label: cautious log odds
+    of holding it in one word at least, or in two, which finds the many forms of one stem."""
 
+    def holders(bags):
+        n = np.full((2, 1 << BITS), 0.5)
+        for bag in bags:
+            s, w = _slots([words[k] for k in bag])
+            each = np.unique((s + (np.arange(len(s), dtype=np.int64)[:, None] << BITS))[w > 0])
+            slots, many = np.unique(each & ((1 << BITS) - 1), return_counts=True)
+            n[0, slots] += 1
+            n[1, slots[many > 1]] += 1
+        return n
 
-def _machine(positive: list[str], negative: list[str], marks: list[str], toxic: dict[str, int], clean: dict[str, int]) -> Model:
+    t, c = holders(toxic), holders(clean)
+    odds = np.log(t / (len(toxic) + 1)) - np.log(c / (len(clean) + 1))
+    sure = np.sign(odds) * np.maximum(0, np.abs(odds) - np.sqrt(1 / t + 1 / c))
+    return Model(np.where(sure[1] > sure[0], sure[1], sure[0]).astype(np.float32), 0.0, np.zeros(WORST), 0.0)
+
+
+def _machine(positive: dict[str, float], negative: dict[str, float], marks: list[str]) -> Model:
     """The machine over the landmarks' subspace, folded into weights of subsequences."""
-    words = positive + negative
+    words = [*positive, *negative]
     label = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
@@ -195,63 +239,70 @@ def _machine(positive: list[str], negative: list[str], marks: list[str], toxic:
     x = np.ones((len(words), root.shape[1] + 1))
     for i in range(0, len(words), 1000):
         x[i : i + 1000, :-1] = kernel(words[i : i + 1000], marks) @ root
-    often = np.array([*(toxic[u] for u in positive), *(clean[u] ** 0.5 for u in negative)])  # documents behind a word
-    share = np.where(label > 0, often / often[label > 0].sum(), often / max(1.0, often[label < 0].sum()))
-    w = _svm(x, label, share * len(label) * 2)
+    often = np.array([*positive.values(), *negative.values()])
+    w = _svm(x, label, np.where(label > 0, often / often[label > 0].sum(), often / often[label < 0].sum()) * len(label) * HARDNESS)
     alpha = root @ w[:-1]
     weights = np.zeros(1 << BITS)
     s, v = _slots(marks)
     np.add.at(weights, s, v * (alpha / _norms(s, v))[:, None])
-    return Model(weights.astype(np.float32), float(w[-1]), 1.0, 0.0)
+    return Model(weights.astype(np.float32), float(w[-1]), np.zeros(WORST), 0.0)
 
 
-def fit(docs: list[tuple[str | None, int]], landmarks: int = 256, sample: int = 9_000) -> Model:
-    """Trains on (text, label) pairs. Without both labels the model says 0 for everything.
+def fit(docs: list[tuple[str | None, int]], landmarks: int = 256, negatives: int = 6_000, witnesses: int = 3, compared: int = 1_000, turns: int = 3) -> Model:
+    """Trains on (text, label) pairs, which are copied. Without both labels it says 0 for everything.
 
-    Words of toxic sentences are positive where their documents are toxic far more often than
-    chance allows for any word of the sample; words of documents labelled 0 are negative, and
-    those that a first machine scores too high are added in two more turns. A logistic fit of
-    each document's worst margin gives probabilities.
+    First each toxic document's worst words are guessed from the subsequences that its label
+    goes with, over all toxic and ``compared`` clean documents. Then in each of ``turns`` the
+    machine is trained on up to ``witnesses`` of the worst words of each toxic document against
+    ``negatives`` clean words (frequent and random ones) and the worst word of each clean
+    document, and the worst words are chosen again. A toxic document that looks no worse than
+    most clean ones is left out of a turn: its label may be wrong. Landmarks are up to ``landmarks`` of
+    these words that are not alike, three quarters of them positive, and as many hard clean
+    ones again. Last, a logistic fit over the documents gives the probability from the margins of
+    the ``WORST`` worst words.
     """
-    y = np.array([int(label) for _, label in docs])
-    blank = Model(np.zeros(1 << BITS, np.float32), -1.0, 1.0, -20.0)
+    words, bags, y = _bags(list(docs))
     if not len(y) or y.min() == y.max():
-        return blank
-    sets = [units(t) for t, _ in docs]
-    fresh = _without_copies(sets)
-    sets, y = [sets[k] for k in fresh], y[fresh]
-    toxic, clean = {}, {}
-    for s, label in zip(sets, y):
-        for w in s:
-            d = toxic if label else clean
-            d[w] = d.get(w, 0) + 1
-    base = y.mean()
-    need = np.log(len(toxic) + 10.0)
-    gain = {}
-    for w, n in toxic.items():
-        m = clean.get(w, 0)
-        p = min(n / (n + m), 0.995)
-        if p > 0.8 and p > base:
-            gain[w] = n * np.log(p / base) + m * np.log((1 - p) / (1 - base))
-    positive = [w for w, g in sorted(gain.items(), key=lambda x: (-x[1], x[0])) if g > need][:4000]
-    if not positive:
-        return blank
-    often = sorted(clean, key=lambda w: (-clean[w], w))
-    rare = sorted((w for w in clean), key=hash_of)
-    negative = list(dict.fromkeys([*often[: sample // 4], *rare[: sample - sample // 4]]))
-    negative = [w for w in negative if w not in set(positive)]
-    marks = [*_spread(positive[:1200], landmarks * 3 // 4), *negative[: landmarks // 4]]
-    seen = sorted(set().union(*sets))
-    for turn in range(3):
-        model = _machine(positive, negative, marks, toxic, clean)
-        margin = dict(zip(seen, model.margins(seen).tolist()))
-        if turn < 2:  # clean words that came out too high join the negatives and the landmarks
-            hard = sorted((w for w in clean if margin[w] > -0.5 and w not in gain), key=lambda w: (-margin[w], w))[: sample // 3]
-            old = set(negative)
-            negative += [w for w in hard if w not in old]
-            marks += [w for w in _spread(hard[:1000], landmarks // 3) if w not in set(marks)]
-    worst = np.array([max((margin[u] for u in s), default=-2.0) for s in sets])
-    model.slope, model.shift = _logistic(worst, y)
+        return Model(np.zeros(1 << BITS, np.float32), -1.0, np.zeros(WORST), -20.0)
+    toxic, clean = [b for b, label in zip(bags, y) if label], [b for b, label in zip(bags, y) if not label]
+    of_toxic, of_clean = (np.bincount(np.concatenate(x), minlength=len(words)) for x in (toxic, clean))
+    norms = np.concatenate([_norms(*_slots(words[i : i + 1024])) for i in range(0, len(words), 1024)]).astype(np.float32)
+    clear = of_toxic > of_clean  # a word that more clean documents hold is no witness
+    known = np.flatnonzero(of_clean)
+    by_hash = known[np.argsort([hash_of(words[k]) for k in known], kind="stable")]
+    often = known[np.argsort(-of_clean[known], kind="stable")]
+    base = list(dict.fromkeys([*often[: negatives // 4].tolist(), *by_hash[: negatives - negatives // 4].tolist()]))
+    base = [k for k in base if not clear[k]]
+    hard: dict[int, int] = {}
+    margin = _first_model(words, toxic, clean[:compared]).margins(words, norms)
+    model = None
+    for turn in range(turns):
+        chosen: dict[int, float] = {}
+        near = float(np.median([margin[b].max() for b in clean]))
+        for bag in toxic:
+            able = bag[clear[bag]]
+            able = able[np.argsort(-margin[able], kind="stable")[:witnesses]]
+            able = able[(margin[able] >= near) & (margin[able] >= near + 0.5 * (margin[able[:1]] - near))] if len(able) else able
+            for k in able.tolist():
+                chosen[k] = chosen.get(k, 0.0) + 1.0 / len(able)
+        if not chosen:
+            break
+        for bag in clean:
+            k = int(bag[margin[bag].argmax()])
+            if k not in chosen:
+                hard[k] = hard.get(k, 0) + 1
+        positive = {words[k]: n for k, n in sorted(chosen.items(), key=lambda x: (-x[1], words[x[0]]))}
+        negative = {words[k]: float(of_clean[k]) ** 0.5 for k in [*base, *hard] if k not in chosen}
+        if not negative:
+            break
+        worst = [words[k] for k in sorted(hard, key=lambda k: (-margin[k], words[k]))[: 4 * landmarks]]
+        marks = [*_spread(list(positive)[: 4 * landmarks], landmarks * 3 // 4), *list(negative)[: landmarks // 4]]
+        marks = list(dict.fromkeys([*marks, *_spread(worst, landmarks)]))
+        model = _machine(positive, negative, marks)
+        margin = model.margins(words, norms)
+    if model is None:
+        return Model(np.zeros(1 << BITS, np.float32), -1.0, np.zeros(WORST), -20.0)
+    model.slopes, model.shift = _logistic(np.clip(np.stack([_worst(margin[b]) for b in bags]), NO_WORDS, 1), y)
     return model
 
 
@@ -260,16 +311,25 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode()) * 2654435761 % 4294967291
 
 
+def _worst(margins: np.ndarray) -> np.ndarray:
+    """The ``WORST`` largest margins, filled up with that of a text without words."""
+    out = np.full(WORST, NO_WORDS, np.float32)
+    top = np.sort(margins)[::-1][:WORST]
+    out[: len(top)] = top
+    return out
+
+
 _known: dict[float, dict[str, float]] = {}
 
 
 def _scores(texts: list[str | None], model: Model) -> list[float]:
-    known = _known.setdefault(hash((model.bias, model.slope, float(model.weights.sum()))), {})
+    known = _known.setdefault(hash((model.bias, model.shift, float(model.weights.sum()))), {})
     sets = [units(t) for t in texts]
     fresh = list(set().union(*sets) - known.keys()) if sets else []
     if fresh:
         known.update(zip(fresh, model.margins(fresh).tolist()))
-    worst = np.array([max(map(known.__getitem__, s), default=-2.0) for s in sets])
+    none = [NO_WORDS] * WORST
+    worst = np.array([(heapq.nlargest(WORST, map(known.__getitem__, s)) + none)[:WORST] for s in sets]).reshape(-1, WORST)
     if len(known) > CACHED_WORDS:
         known.clear()
     return model.probability(worst)
@@ -283,8 +343,10 @@ def held_out(id_col) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000, max_chars: int = 40_000) -> Model:
     """Fits on a hash sample of about ``max_rows`` labelled rows of up to ``max_chars`` characters.
 
-    Held-out rows and rows with a null id, text or label are left out. Scoring has neither
-    bound. The sample is drawn by a hash of the id, so it doesn't depend on partitioning.
+    Held-out rows and rows with a null id, text or label are left out; an id that is labelled
+    twice counts as toxic if one label says so, and rows with one id and several texts are all used.
+    Empty tables give a model that says 0. Scoring has neither bound. The sample is drawn by a
+    hash of the id, so it doesn't depend on partitioning.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out("id"))
     share = min(1.0, max_rows / max(1, named.count()))
@@ -302,9 +364,11 @@ def _judged(batch: pa.RecordBatch, text: str, model: Model) -> pa.RecordBatch:
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_score`` from 0 to 1, without a shuffle; a column of that name is replaced.
 
-    Whole texts are scored: the score is the logistic of the worst word's margin. Null and
-    empty texts and texts without words get the score of a margin of -2. Repeated rows get
-    equal scores.
+    Whole texts are scored, however long: the score is the logistic of the margins of the
+    ``WORST`` worst words. A word of over ``LONGEST`` characters is judged in
+    overlapping stretches of that many. Null and empty texts and texts without words score as
+    if their words had the margin ``NO_WORDS``. Repeated rows get equal scores, an empty table
+    gives no rows, and other columns are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.drop("_score")
