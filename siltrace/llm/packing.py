@@ -11,11 +11,11 @@ rank its place in the plan.
 
 from __future__ import annotations
 
-import math
+import json
 import os
 import re
+import warnings
 import zlib
-from array import array
 from collections import defaultdict, deque
 
 import numpy as np
@@ -25,29 +25,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.llm.arrow import in_text_parts
+from siltrace.llm.words import BLANKS, joined, words
 from siltrace.session import stored
 
-CACHED_WORDS = 1_000_000  # of a Python worker; some 200 bytes each
-_worker: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str):
-    if path not in _worker:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _worker[path] = (tokenizer, ends, {})
-    return _worker[path]
-
-
+CACHED_WORDS = 1_000_000  # of a Python worker; about 40 bytes each
+#: What a vocabulary file must say for its words to be encoded one by one (fixed values).
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEM = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+_workers: dict[str, _Encoder] = {}
 
 
 def _parts(word: str) -> tuple[str, ...]:
-    """Stretches that the vocabulary encodes apart: letters, and ASCII signs after them."""
+    """Stretches that such a vocabulary encodes apart: letters, and ASCII signs after them."""
     m = _STEM.fullmatch(word)
     if not m or not m[1].isalpha():
         return (word,)
@@ -55,54 +45,118 @@ def _parts(word: str) -> tuple[str, ...]:
     return (stem, m[2]) if m[2] else (stem,)
 
 
-def _encoded(tokenizer, ends: np.ndarray, words: list[str]) -> dict[str, bytes]:
-    """Each word's ids. Words of letters are encoded many at a time and cut where a token ends a word."""
-    plain = [w for w in words if w.isalpha()]
-    out: dict[str, bytes] = {}
-    groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-    for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-        ids = np.array(e.ids, "<u4")
-        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        if len(cuts) == len(group):  # else some word became several
-            raw = ids.tobytes()
-            out.update((w, raw[i:j]) for w, i, j in zip(group, [0, *cuts], cuts))
-    rest = [w for w in words if w not in out]
-    for i in range(0, len(rest), 20_000):
-        part = rest[i : i + 20_000]
-        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    return out
+class _Encoder:
+    """Ids of many texts at once.
 
+    Where the vocabulary drops white space, lower-cases and ends words with a mark, each
+    different word between ASCII white space is encoded once: its 64-bit code is looked up in
+    a sorted table that says where its ids lie in one buffer. Any other vocabulary encodes
+    whole texts.
+    """
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    White space separates tokens of this vocabulary, so texts are cut at blanks and line
-    ends and each different stretch is encoded once.
-    """
-    tokenizer, ends, known = _tokenizer(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    parts = {w: _parts(w) for w in set().union(*split) - known.keys()}
-    known.update(_encoded(tokenizer, ends, list({p for both in parts.values() for p in both} - known.keys())))
-    known.update((w, b"".join(known[p] for p in both)) for w, both in parts.items() if len(both) > 1 or both[0] != w)
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        norms, splits = (said.get("normalizer") or {}).get("normalizers"), ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        apart = norms == _WORD_NORMALIZERS and (splits.get("pattern") or {}).get("Regex") == _WORD_SPLIT and splits.get("behavior") == "Removed" and splits.get("invert")
+        spaced = any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in said.get("added_tokens") or [])
+        self.by_word = bool(apart and said["model"].get("end_of_word_suffix") == "</w>" and not spaced)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.at, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used, self.stems = np.zeros(1 << 16, np.uint32), 1, {}
+
+    def _encoded(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Each word's ids. Words of letters are encoded many at a time and cut where a token ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        out: dict[str, np.ndarray] = {}
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(group):  # else some word became several
+                out.update((w, ids[i:j]) for w, i, j in zip(group, [0, *cuts], cuts))
+        rest = [w for w in words if w not in out]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            out.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        return out
+
+    def _learn(self, codes: np.ndarray, words: list[str]) -> None:
+        """Adds words, given by their sorted new codes, to the table."""
+        parts = [_parts(w) for w in words]
+        self.stems.update(self._encoded(list({p for both in parts for p in both} - self.stems.keys())))
+        each = [self.stems[p] for both in parts for p in both]
+        pieces = np.fromiter(map(len, each), np.int64, len(each))
+        of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        many = np.bincount(of, pieces, len(parts)).astype(np.int64)
+        total = int(pieces.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
+        if total:
+            self.flat[self.used : self.used + total] = np.concatenate(each)
+        where = np.searchsorted(self.codes, codes)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(many) - many)
+        self.many = np.insert(self.many, where, many)
+        self.codes = np.insert(self.codes, where, codes)
+        self.used += total
+
+    def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end_id``, and each text's start, with the end as last."""
+        if not self.by_word:
+            own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for ids in own for i in ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        data, text_at = joined(column)
+        codes, starts, ends, first = words(data, text_at, BLANKS)
+        unique, example, which = np.unique(codes, return_index=True, return_inverse=True)
+        if len(self.codes) + len(unique) > CACHED_WORDS:
+            self._forget()
+        place = np.searchsorted(self.codes, unique)
+        new = np.ones(len(unique), bool)
+        inside = place < len(self.codes)
+        new[inside] = self.codes[place[inside]] != unique[inside]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(unique[new], [raw[i:j].decode() for i, j in zip(starts[example[new]].tolist(), ends[example[new]].tolist())])
+            place = np.searchsorted(self.codes, unique)
+        place = place[which]
+        self.flat[0] = end_id  # the end is one more word of each text
+        at, many = np.insert(self.at[place], first[1:], 0), np.insert(self.many[place], first[1:], 1)
+        before = np.concatenate([[0], np.cumsum(many)])
+        ids = self.flat[np.repeat(at - before[:-1], many) + np.arange(before[-1])]
+        return ids, before[first + np.arange(len(first))]
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _workers:
+        _workers[path] = _Encoder(path)
+    return _workers[path]
+
+
+def token_ids(texts: list[str | None], path: str, end_id: int = 0) -> list[np.ndarray]:
+    """Each text's ids and ``end_id``."""
+    ids, at = _encoder(path).ids(pa.array(texts, pa.large_string()), end_id)
+    return [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _pieces(batch: pa.RecordBatch, path: str, capacity: int, end_id: int) -> pa.RecordBatch:
-    end = array("I", [end_id]).tobytes()
-    row, piece, start, length, crc = [], [], [], [], []
-    for k, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path)):
-        ids += end
-        for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-            part = ids[at : at + 4 * capacity]
-            row.append(k)
-            piece.append(p)
-            start.append(at // 4)
-            length.append(len(part) // 4)
-            crc.append(zlib.crc32(part))
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+    ids, at = _encoder(path).ids(batch.column(1), end_id)
+    sizes = np.diff(at)
+    many = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), many)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    start = piece * capacity
+    length = np.minimum(capacity, sizes[row] - start)
+    raw, begin = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 4 * (at[row] + start)
+    crc = [zlib.crc32(raw[i:j]) for i, j in zip(begin.tolist(), (begin + 4 * length).tolist())]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
 
 def _best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
@@ -137,6 +191,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         step, now = inverse @ column, inverse @ d
         ratio = np.where(step > 1e-9, now / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
+    else:
+        warnings.warn(f"configurations were still getting better after {rounds} rounds; the plan may need more sequences", stacklevel=2)
     times = np.floor(np.linalg.solve(basis, d) + 1e-7).astype(np.int64)
     return [(int(times[k]), basis[:, k].astype(np.int64)) for k in np.argsort(-times, kind="stable") if times[k] > 0]
 
@@ -259,7 +315,8 @@ def packed_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of a document.
 
     A document is its token ids and ``end_id``; a null or empty text is ``end_id`` alone. Only
-    a longer document than ``capacity`` is cut. Repeated rows and null ids are packed like any
+    a longer document than ``capacity`` is cut, however long it is. Other columns of ``docs``
+    are not used and may have any name. Repeated rows and null ids are packed like any
     others; an empty table gives no rows. The histogram of lengths (at most ``capacity`` rows)
     is all that reaches the driver, and the plan's size is bounded by ``capacity`` too. The
     documents of one length are ranked in hash buckets whose number follows the input, so no

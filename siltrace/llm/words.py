@@ -45,8 +45,12 @@ def byte_table(separators: bytes) -> np.ndarray:
 
 #: Separators of words made of digits, letters and everything past ASCII.
 ALNUM = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-#: Separators of words between white space.
-SPACE = byte_table(bytes([0x20, *range(0x09, 0x0E)]))
+#: Separators of words between white space; other bytes move up by one, so a NUL is part of a word
+#: (0xFF, which would move to 0, is in no UTF-8 text).
+SPACE = np.where(byte_table(bytes([0x20, *range(0x09, 0x0E)])) == 0, 0, byte_table(b"") + np.uint8(1))
+SPACE[0] = 1
+#: The same without lower-casing.
+BLANKS = np.where(SPACE == 0, 0, np.arange(256, dtype=np.uint8) + np.uint8(1))
 
 
 def text_parts(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:

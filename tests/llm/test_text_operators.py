@@ -122,10 +122,21 @@ def test_warc_running_digest(spark):
 # packing
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_ids_of_odd_texts(name):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    t = Tokenizer.from_file(path)
+    texts = [*ODD, "\x00 a\x00b", "It's we'll I'M 'tis", "e\u0301 \u0130x \ufb01", "a\u00a0b\u2003c\x1cd", "<|endoftext|> a<|startoftext|>b", "\u0663 12345 3.14 ''s", "-- ... !!! a.b.c, (x)", "long " * 100_000, "y" * 20_000]
+    assert [x.tolist() for x in packing.token_ids(texts, path, 5)] == [[*t.encode(x or "", add_special_tokens=False).ids, 5] for x in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing(spark, name):
     rng = random.Random(1)
     texts = [*ODD, *(" ".join(rng.choice(["alpha", "beta.", "Gamma!", "don't", "42", "é"]) for _ in range(rng.choice([3, 40, 900, 1500, 5000]))) for _ in range(120))]
-    path = tokenizer_path()
+    path = tokenizer_path(name)
     got = packing.packed_sequences(docs(spark, texts, "extra"), path).collect()
     from tokenizers import Tokenizer
 
