@@ -27,7 +27,7 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     base_labels = F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"])))
     named = F.transform("matches", lambda m: m["label"])
     stated = F.flatten(F.transform("expressions", lambda e: e["ids"]))
-    score = F.when(F.exists("expressions", lambda e: e["valid"]), 1.0).when(F.size(base) > 0, 0.9).when(F.size("matches") > 0, 0.6).when(F.size("expressions") > 0, 0.3).otherwise(0.0)
+    score = F.when(F.exists("expressions", lambda e: e["tagged"] & e["valid"]), 1.0).when(F.size(base) > 0, 0.9).when(F.size("matches") > 0, 0.6).when(F.size("expressions") > 0, 0.3).otherwise(0.0)
     words = F.transform(base, lambda m: m["word"])
     return found.select(F.col("id").alias("doc_id"), "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"), F.array_join(base_labels, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(named, stated))), ",").alias("labels"), score.alias("score"))
 

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltrace.llm import ann, chat_format, decontam, license_scan, line_dedup, near_dup, packing, toxicity, url_filter, warc
-from siltrace.llm.queries import RULES, tokenizer_path
+from siltrace.llm.queries import RULES, queries, tokenizer_path
 
+SF = "/root/testdata/sf0.001"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -45,7 +46,7 @@ def test_postfix_and_evaluate():
 
 
 def test_license_places(spark):
-    texts = [*ODD, "MIT License. mit, license!", "The GNU general\npublic license; xapache license", "// SPDX-License-Identifier: (MIT OR GPL-2.0)\nrest", "spdx-license-identifier: MIT AND", "cc by cc by"]
+    texts = [*ODD, "MIT License. mit, license!", "The GNU general\npublic license; xapache license", "// SPDX-License-Identifier: (MIT OR GPL-2.0)\nrest", "spdx-license-identifier: AND", "cc by cc by", "SPDX-License-Identifier: MIT This file is part of it", "SPDX-License-Identifier: (MIT).", "mit license " * 50_000]
     got = {r.id: r for r in license_scan.license_scan(docs(spark, texts, "extra")).collect()}
     for k, t in enumerate(texts):
         words = re.findall(ALNUM, low(t))
@@ -54,6 +55,41 @@ def test_license_places(spark):
         assert sorted((m.word, m.label) for m in got[k].matches if m.base) == want
     assert got[10].expressions[0].ids == ["gpl-2.0", "mit"] and got[10].expressions[0].permissive
     assert not got[11].expressions[0].valid
+    assert got[13].expressions[0].ids == got[14].expressions[0].ids == ["mit"]
+    assert license_scan.license_scan(docs(spark, ODD, "extra").where("false")).count() == 0
+
+
+def test_license_expressions_of_notices(spark):
+    want = {
+        "GNU General Public License, version 3.": ("gpl-3.0", False),
+        "the GNU General Public License v2 or (at your option) any later version": ("gpl-2.0+", False),
+        "Licensed under either of Apache License, Version 2.0 or the MIT License.": ("apache-2.0 or mit", True),
+        "Under the GNU Lesser General Public License 2.1 and the BSD license": ("lgpl-2.1 and bsd", False),
+        "Licensed under CC BY-NC 4.0.": ("cc-by-nc-4.0", False),
+        "Creative Commons Attribution ShareAlike 3.0 International": ("cc-by-sa-3.0", False),
+        "MIT License 2024": ("mit", True),
+    }
+    got = {r.id: r.expressions for r in license_scan.license_scan(docs(spark, list(want))).collect()}
+    assert [[(e.expression, e.permissive) for e in got[k] if e.valid] for k in range(len(want))] == [[x] for x in want.values()]
+    apart = docs(spark, ["MIT License. Another part of this work has the Apache License, version 2."])
+    assert [e.expression for e in license_scan.license_scan(apart).first().expressions] == ["mit", "apache-2.0"]
+
+
+def test_license_labels_of_the_query(spark):
+    """Base phrases by a loop over words, and the notices that the tables hold by plain patterns."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries()["op1_license_scan"](spark, SF).collect()}
+    seen = 0
+    for k, text in rows.items():
+        flat = " " + " ".join(re.findall(ALNUM, low(text))) + " "
+        labels = set(got[k].labels.split(",")) - {""}
+        base = {v for p, v in license_scan.BASE_PHRASES.items() if f" {p} " in flat}
+        assert set(got[k].base_labels.split(",")) - {""} == base and base <= labels
+        for pattern, label in ((" gnu general public license version 3 ", "gpl-3.0"), (" apache license version 2 0 ", "apache-2.0"), (" cc by nc 4 0 ", "cc-by-nc-4.0")):
+            stated = pattern in flat
+            seen += stated
+            assert (label in labels) >= stated
+    assert seen
 
 
 # toxicity
