@@ -10,8 +10,6 @@ from siltrace.sources.tables import table
 
 TOXIC_FROM = 0.3
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-BLOCKED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
-LISTED_HOSTS = ("spam-farm.example.com", "cheap-pills.example.com")  # as the pages have them
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,21 +72,13 @@ def op8_chat_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    seen = pages.select(host.alias("host"), url_filter.best_rule(host, path, RULES)[1].alias("verdict")).where("host <> ''")
-    trusted = seen.where("verdict = 'allow'").select("host").distinct()
-    listed = F.lit(False)
-    for h in BLOCKED_HOSTS:
-        listed = listed | (F.col("host") == h) | F.endswith(F.col("host"), F.lit(f".{h}"))
-    blocked = seen.where(listed).select("host").distinct()
-    return url_filter.url_verdicts(pages, RULES, trusted, blocked, seen_only=True).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    return op9_site_filter(spark, sf).drop("trust", "distrust")
 
 
 def op9_site_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeds from the rules' verdicts both ways, over a graph with every parent domain."""
+    """The verdicts of ``op9_url_filter`` with the ranks behind them."""
     pages = table(spark, sf, "pages")
-    return url_filter.url_verdicts(pages, RULES, *url_filter.rule_seeds(pages, RULES, LISTED_HOSTS)).withColumnRenamed("id", "page_id")
+    return url_filter.url_verdicts(pages, RULES, *url_filter.rule_seeds(pages, RULES)).withColumnRenamed("id", "page_id")
 
 
 def op10_decontam(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,8 +174,6 @@ def _op9_sql(rounds: int = 6, damping: float = 0.5, threshold: float = 0.01) ->
     rules = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{k}'" for k, h, p in rules) + " END"
-    listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)
-
     def ranks(name: str, seeds: str, src: str, dst: str) -> str:
         out = f""", {name}s AS MATERIALIZED (SELECT DISTINCT host FROM u WHERE host <> '' AND ({seeds})),
 {name}e AS MATERIALIZED (SELECT {src} AS a, {dst} AS b, n / sum(n) OVER (PARTITION BY {src}) AS w FROM edge),
@@ -209,12 +197,12 @@ WITH raw AS (
 ), h AS MATERIALIZED (
   SELECT host FROM u WHERE host <> '' UNION SELECT b FROM link
 ), up AS (
-  SELECT c.host AS a, p.host AS b FROM (
-    SELECT host, unnest([array_to_string(string_split(host, '.')[k:], '.') FOR k IN [2, 3, 4]]) AS d FROM h) c JOIN h p ON p.host = c.d AND contains(c.d, '.')
+  SELECT host AS a, unnest(list_distinct([d FOR d IN [array_to_string(s[k:], '.') FOR k IN range(2, len(s))] IF regexp_matches(d, '[^.]\\.[^.]')])) AS b
+  FROM (SELECT host, string_split(host, '.') AS s FROM h WHERE NOT regexp_matches(host, '^[0-9.]+(:[0-9]*)?$|^\\[') AND length(host) <= 253)
 ), edge AS MATERIALIZED (
   SELECT a, b, count(*) AS n FROM (SELECT a, b FROM link UNION ALL SELECT a, b FROM up UNION ALL SELECT b, a FROM up) GROUP BY a, b
-){ranks("t", "verdict = 'allow'", "a", "b")}{ranks("d", listed, "b", "a")}
-SELECT page_id, u.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d{rounds}.r, 0) > {threshold} AND coalesce(d{rounds}.r, 0) > coalesce(t{rounds}.r, 0) THEN 'block' ELSE 'allow' END) AS verdict
+){ranks("t", "verdict = 'allow'", "a", "b")}{ranks("d", "verdict = 'block'", "b", "a")}
+SELECT page_id, u.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d{rounds}.r, 0) > {threshold} AND coalesce(d{rounds}.r, 0) - coalesce(t{rounds}.r, 0) > {url_filter.TIE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN t{rounds} ON u.host = t{rounds}.host LEFT JOIN d{rounds} ON u.host = d{rounds}.host
 """
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltrace.session import checkpoint
 
+TIE = 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,7 +43,7 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return rule, verdict
 
 
-def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", seen_only: bool = False, suffixes: Sequence[str] = ()) -> DataFrame:
+def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", suffixes: Sequence[str] = ()) -> DataFrame:
     """``src, dst, n``: links between different hosts.
 
     Links are ``href`` values with a host. A host also gets an edge to each domain above it
@@ -50,8 +51,7 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
     their site where pages link nowhere. Such a domain is a node whether a page or link has
     it or not. ``suffixes`` are domains under which unrelated sites register (``co.uk``) and
     are no nodes. Addresses made of digits, and names of over 253 characters, have no domain
-    above them. ``seen_only`` takes three domains at most, and only those that are the host
-    of a page or link.
+    above them.
     """
     links = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'<>\s]+)"), 1)
     out = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(links).alias("dst")).select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"))
@@ -59,13 +59,9 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
     hosts = pages.select(host_of(F.col(url_col)).alias("h")).union(counted.select("dst")).where("h <> ''").distinct()
     labels = F.split("h", r"\.")
     join = lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")
-    if seen_only:
-        above = F.filter(F.transform(F.sequence(F.lit(2), F.lit(4)), join), lambda d: F.contains(d, F.lit(".")))
-        up = hosts.select(F.col("h").alias("a"), F.explode(above).alias("b")).join(hosts.withColumnRenamed("h", "b"), "b")
-    else:
-        named = ~F.col("h").rlike(r"^[0-9.]+(:[0-9]*)?$|^\[") & (F.length("h") <= 253) & (F.size(labels) > 2)
-        above = F.filter(F.transform(F.sequence(F.lit(2), F.size(labels) - 1), join), lambda d: d.rlike(r"[^.]\.[^.]") & ~d.isin(*suffixes))
-        up = hosts.where(named).select(F.col("h").alias("a"), F.explode(F.array_distinct(above)).alias("b"))
+    named = ~F.col("h").rlike(r"^[0-9.]+(:[0-9]*)?$|^\[") & (F.length("h") <= 253) & (F.size(labels) > 2)
+    above = F.filter(F.transform(F.sequence(F.lit(2), F.size(labels) - 1), join), lambda d: d.rlike(r"[^.]\.[^.]") & ~d.isin(*suffixes))
+    up = hosts.where(named).select(F.col("h").alias("a"), F.explode(F.array_distinct(above)).alias("b"))
     family = up.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*", F.lit(1).cast("bigint").alias("count"))
     return counted.union(family).groupBy("src", "dst").agg(F.sum("count").alias("n"))
 
@@ -101,22 +97,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 6, damping: floa
     return rank
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], trusted: DataFrame, blocked: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.01, seen_only: bool = False, suffixes: Sequence[str] = ()) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], trusted: DataFrame, blocked: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.01, suffixes: Sequence[str] = ()) -> DataFrame:
     """``id, host, path, rule, verdict, trust, distrust`` for each page.
 
     The longest rule that fits decides; else a host is blocked if its distrust is over
     ``threshold`` and over its trust, and allowed otherwise. ``trusted`` and ``blocked`` hold
     the seeds' hosts in a column ``host``. A null url, or one without ``://``, has an empty
     host and path, no rule and no seed, and is allowed. Null pages link nowhere; repeated
-    rows are judged one by one; an empty table gives no rows. ``seen_only`` and ``suffixes``
-    are those of ``host_edges``.
+    rows are judged one by one; an empty table gives no rows, texts of any length are read
+    whole, and other columns are not used. ``suffixes`` are those of ``host_edges``. Distrust
+    within ``TIE`` of trust is no more than it, so the order of sums decides nothing.
     """
-    edges = host_edges(pages, url_col, html_col, seen_only, suffixes)
+    edges = host_edges(pages, url_col, html_col, suffixes)
     trust = propagate(edges, trusted).select("host", F.col("rank").alias("trust"))
     distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), blocked).select("host", F.col("rank").alias("distrust"))
     ranks = trust.join(distrust, "host", "full")
     read = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when((d > threshold) & (d > t), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((d > threshold) & (d - t > TIE), F.lit("block")).otherwise(F.lit("allow"))
     return read.join(ranks, "host", "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), t.alias("trust"), d.alias("distrust"))
