@@ -531,3 +531,18 @@ def test_ann_recall_ties_and_odd_rows(spark):
     assert ann.nearest(frame.where("false"), F.col("id") % 50 == 0).count() == 0
     few = ann.nearest(frame.where("vec_id < 3"), F.col("id") == 0, k=20).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_ann_repeated_ids(spark):
+    """One id with several vectors: each is a candidate and a query; equal rows are one."""
+    v = [(0, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [0.1, 1.0]), (5, [0.1, 1.0]), (7, [0.1, 1.0]), (8, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [1.0, 0.0])]
+    frame = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit("y"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(frame, F.col("id") % 20 == 0, k=20).collect())
+    want = []
+    rows = sorted({(i, tuple(x)) for i, x in v})
+    for q, a in rows:
+        if q % 20 == 0:
+            near = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows if i != q)
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(near, 1)]
+    assert got == sorted(want)
+    assert ann.nearest(frame.where("false"), F.col("id") % 20 == 0).count() == 0
