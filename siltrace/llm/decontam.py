@@ -9,14 +9,18 @@ stretches of text advance side by side, so each step is a few numpy operations.
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.llm.arrow import in_text_parts
 from siltrace.llm.words import ALNUM, joined, mix, words
+from siltrace.session import stored
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 SEGMENT = 256  # end positions that one lane searches
@@ -29,26 +33,29 @@ def _spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int,
 class WuManber:
     """Finds all occurrences of word patterns that share one length.
 
-    ``codes`` holds a row of word codes for each pattern, ``spelled`` its words joined by
-    blanks. Both are distinct.
+    Pattern p is the ``m`` words from ``first[p]`` on in ``codes``, a flat array of word codes;
+    no pattern is copied. Patterns are distinct.
     """
 
-    def __init__(self, codes: np.ndarray, spelled: list[bytes]):
-        self.codes, self.spelled, self.m = codes, spelled, codes.shape[1]
-        self.block = min(2, self.m)
-        self.default = self.m - self.block + 1
-        self.mask = np.uint64((1 << max(10, math.ceil(math.log2(8 * codes.size)))) - 1)
-        self.shift = np.full(int(self.mask) + 1, self.default, np.int32)
-        for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._slots(codes, end), self.m - 1 - end)
-        suffix = self._slots(codes, self.m - 1)
+    def __init__(self, codes: np.ndarray, first: np.ndarray, m: int):
+        self.codes, self.first, self.m = codes, first, m
+        self.block = min(2, m)
+        self.default = m - self.block + 1
+        blocks = np.unique(self._hash(codes, np.unique(first[:, None] + np.arange(self.block - 1, m))))
+        self.mask = np.uint64((1 << max(10, math.ceil(math.log2(8 * len(blocks))))) - 1)
+        self.shift = np.full(int(self.mask) + 1, min(255, self.default), np.uint8)
+        for end in range(self.block - 1, m):
+            np.minimum.at(self.shift, self._slots(codes, first + end), min(255, m - 1 - end))
+        suffix = self._slots(codes, first + m - 1)
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
 
-    def _slots(self, codes: np.ndarray, end) -> np.ndarray:
-        """Table slots of the blocks that end at column ``end`` of ``codes``."""
-        last = codes[..., end]
-        return (mix(last if self.block == 1 else codes[..., end - 1] * _K + last) & self.mask).astype(np.int64)
+    def _hash(self, codes: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(codes[end] if self.block == 1 else codes[end - 1] * _K + codes[end])
+
+    def _slots(self, codes: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Table slots of the blocks that end at words ``end``."""
+        return (self._hash(codes, end) & self.mask).astype(np.int64)
 
     def search(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of candidates; no occurrence spans two texts of ``bounds``."""
@@ -72,45 +79,71 @@ class WuManber:
         pattern = self.order[np.repeat(left, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
         ok = np.ones(len(at), bool)
         for k in range(self.m):  # the other words, nearest to the start first
-            ok[ok] = codes[at[ok] - self.m + 1 + k] == self.codes[pattern[ok], k]
+            ok[ok] = codes[at[ok] - self.m + 1 + k] == self.codes[self.first[pattern[ok]] + k]
         return at[ok] - self.m + 1, pattern[ok]
 
-    def confirmed(self, codes, bounds, low, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """``search``, with the bytes of each candidate compared."""
-        first, pattern = self.search(codes, bounds)
-        same = [_spelled(low, starts, ends, a, self.m) == self.spelled[p] for a, p in zip(first.tolist(), pattern.tolist())]
-        same = np.asarray(same, bool)
-        return first[same], pattern[same]
-
-
-def _searchers(items: list[tuple[str, str]], window: int) -> list[tuple[WuManber, list[list[str]]]]:
-    """For each window length a searcher and the item ids of each of its patterns."""
-    data, at = joined(pa.array([t for _, t in items], pa.large_string()))
-    codes, starts, ends, first = words(data, at, ALNUM)
-    low = ALNUM[data]
-    by: dict[int, dict[bytes, tuple[np.ndarray, set[str]]]] = {}
-    for k, (item, _) in enumerate(items):
-        a, b = int(first[k]), int(first[k + 1])
-        m = min(window, b - a)
-        for i in range(a, b - m + 1) if m else ():
-            by.setdefault(m, {}).setdefault(_spelled(low, starts, ends, i, m), (codes[i : i + m], set()))[1].add(item)
-    return [(WuManber(np.stack([c for c, _ in p.values()]), list(p)), [sorted(x) for _, x in p.values()]) for _, p in sorted(by.items())]
-
 
-def _marked(batch: pa.RecordBatch, searchers, text: str) -> pa.RecordBatch:
+class Patterns:
+    """The windows of one block of items, as flat arrays: searchers by window length, the bytes of
+    the items' words, and the items of each pattern."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        data, at = joined(pa.array([t for _, t in items], pa.large_string()))
+        codes, starts, ends, before = words(data, at, ALNUM)
+        self.low, self.starts, self.ends = ALNUM[data], starts.astype(np.int64), ends.astype(np.int64)
+        self.names = sorted({i for i, _ in items})
+        number = {n: k for k, n in enumerate(self.names)}
+        counts = np.diff(before)
+        lengths = np.minimum(counts, window)
+        self.searchers: list[tuple[WuManber, np.ndarray, np.ndarray]] = []
+        for m in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == m)
+            many = counts[own] - m + 1
+            first = np.repeat(before[:-1][own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            owner = np.repeat(np.array([number[items[k][0]] for k in own], np.int64), many)
+            code = np.full(len(first), m, np.uint64)
+            for k in range(m):
+                code = mix(code * _K + codes[first + k])
+            _, kept, which = np.unique(code, return_index=True, return_inverse=True)
+            same = np.ones(len(first), bool)
+            for k in range(m):
+                same &= codes[first + k] == codes[first[kept][which] + k]
+            # a window that only shares the code of another stays a pattern of its own
+            odd = np.flatnonzero(~same)
+            which[odd] = len(kept) + np.arange(len(odd))
+            kept = np.concatenate([kept, odd])
+            pairs = np.unique(which * len(self.names) + owner)
+            of = np.searchsorted(pairs // len(self.names), np.arange(len(kept) + 1))
+            self.searchers.append((WuManber(codes, first[kept], m), of, pairs % len(self.names)))
+
+    def spelled(self, searcher: WuManber, pattern: int) -> bytes:
+        return _spelled(self.low, self.starts, self.ends, int(searcher.first[pattern]), searcher.m)
+
+    def found(self, codes, bounds, low, starts, ends):
+        """(first word, length, items) of each occurrence, after its bytes are compared."""
+        for searcher, of, owners in self.searchers:
+            first, pattern = searcher.search(codes, bounds)
+            for a, p in zip(first.tolist(), pattern.tolist()):
+                if _spelled(low, starts, ends, a, searcher.m) == self.spelled(searcher, p):
+                    yield a, searcher.m, owners[of[p] : of[p + 1]]
+
+
+def _built(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    rows = rows.sort_values(["i", "t"])
+    return pd.DataFrame({"tables": [pickle.dumps(Patterns(list(zip(rows["i"], rows["t"])), window), protocol=5)]})
+
+
+def _marked(batch: pa.RecordBatch, patterns: Patterns, text: str) -> pa.RecordBatch:
     """Adds this block of patterns' hits to ``_words``, ``_spans`` and ``_items``."""
     data, at = joined(batch.column(batch.schema.get_field_index(text)))
     codes, starts, ends, first = words(data, at, ALNUM)
     low = ALNUM[data]
     hit = np.zeros(len(codes) + 1, np.int64)
-    items: dict[int, set[str]] = {}
-    for searcher, names in searchers:
-        where, pattern = searcher.confirmed(codes, first, low, starts, ends)
-        np.add.at(hit, where, 1)
-        np.add.at(hit, where + searcher.m, -1)
-        doc = np.searchsorted(first, where, "right") - 1
-        for d, p in set(zip(doc.tolist(), pattern.tolist())):
-            items.setdefault(d, set()).update(names[p])
+    items: dict[int, set[int]] = {}
+    for a, m, owners in patterns.found(codes, first, low, starts, ends):
+        hit[a] += 1
+        hit[a + m] -= 1
+        items.setdefault(int(np.searchsorted(first, a, "right")) - 1, set()).update(owners.tolist())
     is_hit = np.cumsum(hit)[:-1] > 0
     before_spans, before_items = (batch.column(batch.schema.get_field_index(x)) for x in ("_spans", "_items"))
     spans, named = [], []
@@ -122,13 +155,13 @@ def _marked(batch: pa.RecordBatch, searchers, text: str) -> pa.RecordBatch:
             for a, b in zip(old[::2], old[1::2]):
                 own[a:b] = True
         spans.append(np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]))).tolist() if own.any() else old)
-        named.append(sorted({*(before_items[d].as_py() or []), *items.get(d, ())}))
+        named.append(sorted({*(before_items[d].as_py() or []), *(patterns.names[k] for k in items.get(d, ()))}))
     columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
     columns |= {"_words": pa.array(np.diff(first).astype(np.int64)), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(named, pa.list_(pa.string()))}
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with ``_words`` long, ``_spans`` array<long> and ``_items`` array<string>.
 
     ``_spans`` alternates the first hit word and the word after the last one of each hit
@@ -138,22 +171,43 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     words. Repeated rows are judged one by one. Columns of ``docs`` that begin with one of
     the three result names are replaced.
 
-    Items are searched for in blocks of ``block_bytes`` of text: the size is summed first, and
-    only one block's tables are sent to executors with each pass, so a benchmark of any size
-    is searched in full. There is no shuffle of documents.
+    Texts and items of any length are searched whole. Items are searched for in blocks of about ``block_bytes`` of text (an item is never
+    parted). Executors build a block's tables as flat arrays, some ten times the text, and one
+    block at a time goes through the driver to the executors; between blocks the documents
+    are written to the shared folder, so no worker holds two. With one block nothing is
+    written, and documents are never shuffled.
     """
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t") + F.lit(64))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     out = docs.drop("_words", "_spans", "_items").select("*", F.lit(0).cast("bigint").alias("_words"), F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).repartition(blocks, "b")
+    tables = dealt.groupBy("b").applyInPandas(lambda rows: _built(rows.drop(columns="b"), window).assign(b=rows["b"].iloc[0]), "tables binary, b bigint")
+    tables = tables if blocks == 1 else stored(tables, "decontam-tables")
+    empty = pickle.dumps(Patterns([], window), protocol=5)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        searchers = docs.sparkSession.sparkContext.broadcast(_searchers([(r.i, r.t) for r in rows], window))
-        mark = in_text_parts(lambda batch, s=searchers: _marked(batch, s.value, text), text)
+        row = tables.where(F.col("b") == b).select("tables").first()
+        sent = docs.sparkSession.sparkContext.broadcast(bytes(row[0]) if row else empty)
+        name = uuid.uuid4().hex
+        mark = in_text_parts(lambda batch, s=sent, n=name: _marked(batch, _opened(s, n), text), text)
         out = out.mapInArrow(mark, out.schema)
+        if b < blocks - 1:
+            out = stored(out, "decontam-pass")
+            sent.unpersist()
     return out
 
 
+_open: dict[str, Patterns] = {}
+
+
+def _opened(sent, name: str) -> Patterns:
+    """The worker's current tables; those of an earlier block are let go."""
+    if name not in _open:
+        _open.clear()
+        _open[name] = pickle.loads(sent.value)
+    return _open[name]
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without any occurring window, columns unchanged."""
     return contamination(docs, items, **options).where(F.size("_items") == 0).select(*docs.columns)
