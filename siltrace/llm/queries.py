@@ -107,26 +107,33 @@ FROM p LEFT JOIN g ON p.h = g.h
 
 _OP6 = rf"""
 WITH l AS (
-  SELECT doc_id, i, t, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, len(string_split(t, ' ')) >= {line_dedup.OWN_WORDS} AS long
+  SELECT doc_id, i, t, len(list_filter(string_split(translate(t, chr(13) || chr(9), '  '), ' '), lambda x: x <> '')) AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
+), m AS (
+  SELECT *, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE w > 0
+), r AS (
+  SELECT *, coalesce((lag(h) OVER o * 31 + h) % 4294967296, 4294967296) AS r FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY j)
 ), b AS (
-  SELECT *, CASE WHEN i = 1 OR (lag(h) OVER w * 31 + h) % 4294967296 % {line_dedup.DIVISOR} = 0 OR long OR lag(long) OVER w THEN 1 ELSE 0 END AS s
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, j = 1 OR (r < lag(r) OVER o AND r <= coalesce(lead(r) OVER o, 4294967296)) AS s FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY j)
+), k AS (
+  SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) AS k FROM b
 ), c AS (
-  SELECT doc_id, k, string_agg(t, chr(10) ORDER BY i) AS t, count(*) AS n
-  FROM (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b) GROUP BY doc_id, k
-), d AS (
-  SELECT *, ((n > 1 AND trim(translate(t, chr(10) || chr(13) || chr(9), '   ')) <> '') OR len(string_split(t, ' ')) >= {line_dedup.OWN_WORDS})
-       AND row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1 AS again
-  FROM c
-), f AS (
-  SELECT *, again AND (n > 1 OR len(string_split(t, ' ')) >= {line_dedup.LONG_WORDS} OR coalesce(lag(again) OVER w, false) OR coalesce(lead(again) OVER w, false)) AS gone
-  FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+  SELECT doc_id, k, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) > 1 AS again
+  FROM (SELECT doc_id, k, string_agg(t, chr(10) ORDER BY j) AS t FROM k GROUP BY doc_id, k HAVING count(*) > 1)
 ), e AS (
-  SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed
-  FROM f GROUP BY doc_id
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, j) > 1 AS again FROM k
+), g AS (
+  SELECT e.doc_id, e.i, e.w, e.k, e.s OR e.j = 1 AS opens, coalesce(c.again, false) AS chunk, e.j - row_number() OVER (PARTITION BY e.doc_id ORDER BY e.j) AS run
+  FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.k = e.k WHERE e.again
+), x AS (
+  SELECT doc_id, min(i) AS a, max(i) AS b, count(DISTINCT k) FILTER (WHERE chunk) AS n FROM g GROUP BY doc_id, run HAVING bool_or(chunk) OR sum(w) > {line_dedup.PASSAGE_WORDS}
+), y AS (
+  SELECT l.doc_id, string_agg(t, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = l.doc_id AND l.i BETWEEN a AND b) GROUP BY l.doc_id
+), z AS (
+  SELECT doc_id, sum(n) AS n, sum(b - a + 1) AS m FROM x GROUP BY doc_id
 )
-SELECT documents.doc_id, e.text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN e USING (doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(y.text, '') END AS text, CAST(coalesce(z.n, 0) AS BIGINT) AS n_chunks, CAST(coalesce(z.m, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 _OP7 = rf"""

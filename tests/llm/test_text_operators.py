@@ -219,31 +219,36 @@ def test_plan_is_close_to_the_bound():
 # line deduplication
 
 
-def brute_lines(rows, divisor=line_dedup.DIVISOR, own_words=line_dedup.OWN_WORDS, long_words=line_dedup.LONG_WORDS):
+def brute_lines(rows, limit=50):
     h = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-    own = lambda t: len(t.split(" ")) >= own_words
+    count = lambda t: len(re.findall(r"[^ \r\t]+", t))
     seen, out = set(), {}
     for i, text in rows:
-        lines, chunks = text.split("\n"), []
-        for k, t in enumerate(lines):
-            if k == 0 or (h(lines[k - 1]) * 31 + h(t)) % 4294967296 % divisor == 0 or own(t) or own(lines[k - 1]):
-                chunks.append([])
-            chunks[-1].append(t)
-        again = [False]
-        for c in chunks:
-            t = "\n".join(c)
-            counts = (len(c) > 1 and t.translate(str.maketrans("\n\r\t", "   ")).strip(" ")) or own(t)
-            again.append(bool(counts) and t in seen)
-            if counts:
+        lines = text.split("\n")
+        full = [k for k, t in enumerate(lines) if count(t)]
+        r = [2**32] + [(h(lines[x]) * 31 + h(lines[y])) % 2**32 for x, y in zip(full, full[1:])] + [2**32]
+        starts = [j for j in range(len(full)) if j == 0 or r[j] < r[j - 1] and r[j] <= r[j + 1]] + [len(full)]
+        again, chunked, n_chunks = set(), {}, 0
+        for x, y in zip(starts, starts[1:]):
+            t = "\n".join(lines[k] for k in full[x:y])
+            if y - x > 1:
+                if t in seen:
+                    chunked[x] = True
                 seen.add(t)
-        again.append(False)
-        kept = []
-        for k, c in enumerate(chunks, 1):
-            t = "\n".join(c)
-            strong = len(c) > 1 or len(t.split(" ")) >= long_words
-            if not (again[k] and (strong or again[k - 1] or again[k + 1])):
-                kept.append(t)
-        out[i] = ("\n".join(kept), len(chunks), len(chunks) - len(kept))
+        for j, k in enumerate(full):
+            if lines[k] in seen:
+                again.add(j)
+            seen.add(lines[k])
+        gone, j = set(), 0
+        while j < len(full):
+            e = j
+            while e in again:
+                e += 1
+            if e > j and (any(x in chunked for x in range(j, e)) or sum(count(lines[full[x]]) for x in range(j, e)) > limit):
+                gone |= set(range(full[j], full[e - 1] + 1))
+                n_chunks += sum(x in chunked for x in range(j, e))
+            j = max(e, j + 1)
+        out[i] = ("\n".join(t for k, t in enumerate(lines) if k not in gone), n_chunks, len(gone))
     return out
 
 
@@ -254,7 +259,23 @@ def test_line_dedup(spark):
     texts = ["\n".join(rng.sample(pool, 5) + rng.choice(shared) + [f"own {k}"]) for k in range(60)] + ["", "\n\n\n", "\n\n\n", "solo"]
     got = {r.doc_id: (r.text, r._n_chunks, r._n_removed) for r in line_dedup.line_dedup(docs(spark, texts, "extra")).collect()}
     assert got == brute_lines(list(enumerate(texts)))
-    assert sum(n for _, _, n in got.values()) > 40
+    assert sum(n for _, n, _ in got.values()) > 20 and sum(n for _, _, n in got.values()) > 100
+
+
+def test_line_dedup_chunks_resist_shifts(spark):
+    """A long passage goes whole wherever it stands, and blank lines between its lines change nothing."""
+    rng = random.Random(3)
+    passage = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(4)) + f" {k}" for k in range(12)]
+    texts = ["\n".join([f"before {k} {j}" for j in range(k)] + ("\n\n" if k % 2 else "\n").join(passage).split("\n") + [f"after {k}"]) for k in range(8)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got[0].text == texts[0]
+    assert all(got[k].text == "\n".join([f"before {k} {j}" for j in range(k)] + [f"after {k}"]) and got[k]._n_chunks for k in range(1, 8))
+
+
+def test_line_dedup_very_long_text(spark):
+    long = "\n".join(f"line {k} of a long text" for k in range(30_000))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, [long, f"own\n{long}\nend", "x " * 200_000])).collect()}
+    assert (got[0].text, got[1].text, got[1]._n_removed, got[2]._n_removed) == (long, "own\nend", 30_000, 0)
 
 
 def test_line_dedup_passages_of_short_lines(spark):
@@ -266,7 +287,7 @@ def test_line_dedup_passages_of_short_lines(spark):
 
 
 def test_line_dedup_keeps_clashing_columns(spark):
-    names = ["own", "again", "home", "h", "k", "c", "t", "r", "at", "_key", "_c", "_row_key", "_own", "_again", "_chunks", "_stays"]
+    names = ["own", "again", "home", "h", "k", "c", "t", "r", "at", "_key", "_c", "_row_key", "_own", "_marks", "_gone", "j", "n", "a", "w", "g", "key"]
     text = "several words of one line " * 9 + "\n" + "and a second line of words " * 3
     frame = docs(spark, [text, text]).select("*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("a"), F.lit(1)).alias("m"))
     out = line_dedup.line_dedup(frame)
@@ -325,10 +346,11 @@ def test_parted_and_short_passages_go(spark):
     lone = line(30, 20)
     around = lambda k, passage: "\n".join([f"before {k} {j}" for j in range(3)] + [passage] + [f"after {k} {j}" for j in range(2)])
     texts = [around(k, (parted, headed, short, lone)[k % 4]) for k in range(16)]
-    got = {r.doc_id: r.text for r in line_dedup.full_dedup(docs(spark, texts)).collect()}
-    for k, t in enumerate(texts):
-        passage = (parted, headed, short, lone)[k % 4]
-        assert got[k] == (t if k < 4 or k % 4 == 3 else t.replace(f"{passage}\n", ""))
+    for dedup in (line_dedup.line_dedup, line_dedup.full_dedup):
+        got = {r.doc_id: r.text for r in dedup(docs(spark, texts)).collect()}
+        for k, t in enumerate(texts):
+            passage = (parted, headed, short, lone)[k % 4]
+            assert got[k] == (t if k < 4 or k % 4 == 3 else t.replace(f"{passage}\n", ""))
 
 
 def test_passages_odd_rows(spark):
