@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from siltrace.jobs.queries import GRID, N_WALKS, SMURF, STEPS, W
+from siltrace.jobs.queries import DELAYS, GRID, N_WALKS, SMURF, STEPS, W
 from siltrace.operators.profiles import ROLES, STATS, WINDOWS
 
 CTES: dict[str, str] = {
@@ -140,6 +140,26 @@ sm AS (SELECT p.at AS collector, b.receiver_id AS destination, p.n AS n_mules, p
   FROM pool p JOIN ledger b ON b.sender_id = p.at AND b.sender_id <> b.receiver_id AND b.sec - p.last BETWEEN 86400 AND 172800 AND b.c * 1000 BETWEEN p.lc * {round(SMURF["forward"][0] * 1000)} AND p.lc * {round(SMURF["forward"][1] * 1000)})"""
 
 
+_FANS = """fm AS (SELECT * FROM ledger WHERE sender_id <> receiver_id),
+lg AS MATERIALIZED (SELECT a.txn_id, a.sender_id AS s, a.receiver_id AS mid, a.sec AS t1, b.receiver_id AS dst FROM fm a JOIN fm b ON b.sender_id = a.receiver_id AND b.sec - a.sec BETWEEN 3600 AND 172800 AND b.c * 1000 BETWEEN a.c * 900 AND a.c * 970 AND b.receiver_id <> a.sender_id),
+fa AS MATERIALIZED (SELECT a.s, a.txn_id AS anchor, l.mid, l.dst FROM (SELECT DISTINCT txn_id, s, t1 FROM lg) a JOIN lg l ON l.s = a.s AND l.t1 BETWEEN a.t1 AND a.t1 + 345600),
+fq AS (SELECT s, anchor FROM fa GROUP BY ALL HAVING count(DISTINCT mid) >= 2 AND count(DISTINCT dst) <= 3)"""
+_FAIR = f"""fg AS MATERIALIZED (SELECT DISTINCT account_id, coalesce(label, false) AS suspicious FROM scored, (SELECT max(day) AS m FROM scored) WHERE NOT coalesce(label, false) OR day > m - {W}),
+tg AS MATERIALIZED (SELECT DISTINCT account_id AS node, (SELECT max(day) FROM scored) AS at FROM fg),
+nbl AS MATERIALIZED (SELECT node, at, list_sort(list(DISTINCT nbr)) AS l FROM (SELECT e.node, d.at, e.nbr FROM inc e JOIN (SELECT DISTINCT at FROM tg) d ON e.day BETWEEN d.at - {W} AND d.at) GROUP BY ALL)"""
+
+
+def _hybrid(delay: int) -> str:
+    return f"h{delay} AS MATERIALIZED (SELECT DISTINCT account_id FROM scored, (SELECT max(date) AS m FROM scored) WHERE (label AND date < m - {delay}) OR (date >= m - {delay} AND score > 0.8))"
+
+
+def _fair(key: str) -> str:
+    """Walks from the fair groups towards the set h<key>, and medians by group in med<key>."""
+    walks = _walks(f"h{key}")
+    text = f"{walks[walks.index('wk AS ('):]}, {_summary()}, med AS (SELECT median(gw_hit_rate) FILTER (WHERE suspicious) AS suspicious, median(gw_hit_rate) FILTER (WHERE NOT suspicious) AS legit FROM gwt JOIN fg USING (account_id))"
+    return re.sub(r"\b(wk|hit|gwt|med)\b", rf"\g<1>{key}", text)
+
+
 def _sweep() -> str:
     cells = []
     for s in GRID:
@@ -205,13 +225,16 @@ def oracle_sql() -> dict[str, str]:
         "w2_w4_walk_features": sql("illicit inc", "SELECT * FROM gwt", f"{_walks()}, {_summary()}", True),
         "w3_illicit_starts": sql("illicit", "SELECT DISTINCT account_id, day, 0 AS gw_min, 0 AS gw_max, 0.0::DOUBLE AS gw_mean, 0.0::DOUBLE AS gw_median, 0.0::DOUBLE AS gw_std, 0.0::DOUBLE AS gw_p25, 0.0::DOUBLE AS gw_p75, 1.0::DOUBLE AS gw_hit_rate, 1::BIGINT AS gw_n_distinct FROM alerts WHERE account_id IN (SELECT account_id FROM illicit)"),
         "w5_delay_aware_walks": sql("scored inc", "SELECT * FROM gwt", f"hy AS MATERIALIZED (SELECT DISTINCT account_id FROM scored, (SELECT max(date) AS m FROM scored) WHERE (label AND date < m - 7) OR (date >= m - 7 AND score > 0.8)), {_walks('hy')}, {_summary('gwd')}", True),
-        "w6_separation": sql("illicit inc", "SELECT *, suspicious - legit AS separation FROM (SELECT median(gw_hit_rate) FILTER (WHERE account_id IN (SELECT account_id FROM illicit)) AS suspicious, median(gw_hit_rate) FILTER (WHERE account_id NOT IN (SELECT account_id FROM illicit)) AS legit FROM gwt)", f"{_walks()}, {_summary()}", True),
-        "w7_by_distance": sql("illicit inc", "SELECT distance, count(*) AS accounts, median(gw_hit_rate) AS median_hit_rate, median(gw_mean) AS median_length FROM (SELECT * FROM gwt JOIN ds USING (account_id) WHERE distance BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY distance ORDER BY md5(account_id), account_id, day) <= 15) GROUP BY 1", f"{_walks()}, {_summary()}, {_BFS}", True),
+        "w6_separation": sql("illicit scored inc", "SELECT h.*, h.suspicious - h.legit AS separation, r.suspicious - r.legit AS reference, (h.suspicious - h.legit) / nullif(r.suspicious - r.legit, 0) AS share FROM med7 h, medt r", f"{_FAIR}, ht AS (SELECT account_id FROM illicit), {_hybrid(7)}, {_fair('t')}, {_fair('7')}", True),
+        "w7_by_distance": sql("illicit inc", "SELECT *, median_hit_rate <= lag(median_hit_rate) OVER (ORDER BY distance) AS falls FROM (SELECT distance, count(*) AS accounts, median(gw_hit_rate) AS median_hit_rate, median(gw_mean) AS median_length FROM (SELECT * FROM (SELECT * FROM gwt QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY day DESC) = 1) JOIN ds USING (account_id) WHERE distance BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY distance ORDER BY md5(account_id), account_id) <= 15) GROUP BY 1)", f"{_walks()}, {_summary()}, {_BFS}", True),
         "y1_recent": sql("scored", f"SELECT {acct}, score FROM scored WHERE date >= (SELECT max(date) - 7 FROM scored)"),
         "y2_pseudo_labels": sql("scored", f"SELECT {acct}, score > 0.25 AS pseudo_label FROM scored WHERE date >= (SELECT max(date) - 7 FROM scored)"),
         "y3_hybrid_set": sql("scored", "SELECT DISTINCT account_id FROM scored, (SELECT max(date) AS m FROM scored) WHERE (label AND date < m - 7) OR (date >= m - 7 AND score > 0.8)"),
         "y4_alignment": sql("scored", "SELECT delay, threshold, count(*) AS n_recent, count(*) FILTER (WHERE score > threshold) AS n_pseudo, count(*) FILTER (WHERE label) AS n_real, count(*) FILTER (WHERE label AND score > threshold) / nullif(count(*) FILTER (WHERE score > threshold), 0) AS precision, count(*) FILTER (WHERE label AND score > threshold) / nullif(count(*) FILTER (WHERE label), 0) AS recall FROM scored, (SELECT max(date) AS m FROM scored), (SELECT unnest([3, 7, 14]) AS delay), (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS threshold) WHERE date >= m - CAST(delay AS INTEGER) GROUP BY ALL"),
-        "y5_hybrid_growth": sql("scored", "SELECT delay, count(DISTINCT account_id) FILTER (WHERE (label AND date < m - CAST(delay AS INTEGER)) OR (date >= m - CAST(delay AS INTEGER) AND score > 0.8)) AS hybrid_size, count(*) FILTER (WHERE label AND date >= m - CAST(delay AS INTEGER)) AS recent_real FROM scored, (SELECT max(date) AS m FROM scored), (SELECT unnest([1, 3, 7, 14]) AS delay) GROUP BY 1"),
+        "y5_hybrid_growth": sql("scored inc", f"""SELECT delay, hybrid_size, recent_real, suspicious, legit, suspicious - legit AS separation FROM (
+          SELECT delay, count(DISTINCT account_id) FILTER (WHERE (label AND date < m - CAST(delay AS INTEGER)) OR (date >= m - CAST(delay AS INTEGER) AND score > 0.8)) AS hybrid_size, count(*) FILTER (WHERE label AND date >= m - CAST(delay AS INTEGER)) AS recent_real
+          FROM scored, (SELECT max(date) AS m FROM scored), (SELECT unnest({DELAYS}) AS delay) GROUP BY 1) JOIN ({" UNION ALL ".join(f"SELECT {d} AS delay, * FROM med{d}" for d in DELAYS)}) USING (delay)""",
+            f"{_FAIR}, {', '.join(f'{_hybrid(d)}, {_fair(str(d))}' for d in DELAYS)}", True),
         "m1_temporal_split": sql("scored", f"SELECT {acct}, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY date, account_id) AS r, round_even(count(*) OVER () * 0.6::DOUBLE, 0) AS a, round_even(count(*) OVER () * 0.1::DOUBLE, 0) AS b FROM scored)"),
         "m2_median_split": sql("scored", "SELECT CASE WHEN day <= (SELECT median(day) FROM scored) THEN 'early' ELSE 'late' END AS part, count(*) AS n, min(day) AS first, max(day) AS last FROM scored GROUP BY 1"),
         "m4_balanced_weights": sql("scored", "SELECT label, (SELECT count(*) FROM scored) / (2 * count(*)) AS weight FROM scored GROUP BY 1"),
@@ -248,11 +271,13 @@ def oracle_sql() -> dict[str, str]:
         "t4_round_trips": sql("ledger", "SELECT array_to_string(txns, ',') AS txns, array_to_string(accs, ',') AS accounts, CAST(n AS INTEGER) AS n_accounts, fc / 100 AS amount_out, bc / 100 AS amount_back FROM rt", f"{_CHAINS}, {_TRIPS}", True),
         "t5_pattern_roles": sql("ledger", """SELECT pattern_type, role, count(DISTINCT p) AS patterns, count(DISTINCT a) AS accounts FROM (
           SELECT 'smurfing' AS pattern_type, last_payment_txn || forward_txn AS p, unnest([collector, destination]) AS a, unnest(['collector', 'destination']) AS role FROM sm
+          UNION ALL SELECT 'smurfing', last_payment_txn || forward_txn, b.sender_id, 'mule' FROM sm JOIN pay a ON a.txn_id = last_payment_txn JOIN pay b ON b.receiver_id = a.receiver_id AND b.sec BETWEEN a.sec - 345600 AND a.sec
+          UNION ALL SELECT 'fan_out_fan_in', anchor, unnest([s, mid, dst]), unnest(['source', 'intermediate', 'destination']) FROM fa JOIN fq USING (s, anchor)
           UNION ALL SELECT 'layering', array_to_string(txns, ','), unnest(accs), unnest([CASE WHEN i = 1 THEN 'origin' WHEN i = len(accs) THEN 'destination' ELSE 'intermediate' END FOR i IN range(1, len(accs) + 1)]) FROM ly
-          UNION ALL SELECT 'round_tripping', array_to_string(txns, ','), unnest(accs), unnest([CASE WHEN i = 1 THEN 'origin' ELSE 'intermediate' END FOR i IN range(1, len(accs) + 1)]) FROM rt) GROUP BY ALL""", f"{_CHAINS}, {_LAYER}, {_TRIPS}, {_SMURF}", True),
+          UNION ALL SELECT 'round_tripping', array_to_string(txns, ','), unnest(accs), unnest([CASE WHEN i = 1 THEN 'origin' ELSE 'intermediate' END FOR i IN range(1, len(accs) + 1)]) FROM rt) GROUP BY ALL""", f"{_CHAINS}, {_LAYER}, {_TRIPS}, {_SMURF}, {_FANS}", True),
         "s1_transaction_alerts": sql("hits", f"SELECT {acct}, rule_name FROM hits WHERE k < 2"),
         "s2_velocity_stream": sql("velocity closed", f"SELECT {acct}, 'high_daily_velocity' AS rule_name FROM velocity WHERE {_CLOSED}"),
         "s3_spike_stream": sql("spike closed", f"SELECT {acct}, 'sudden_volume_spike' AS rule_name FROM spike WHERE {_CLOSED}"),
         "s4_sliding_degrees_stream": sql("inc closed", f"SELECT node AS account_id, at AS day, in_degree, out_degree, in_weight, out_weight FROM deg WHERE CAST(DATE '2024-01-01' + at AS TIMESTAMP) + INTERVAL 1 DAY <= date_trunc('day', (SELECT mark FROM closed))", f"tg AS (SELECT DISTINCT account_id AS node, day AS at, {W} AS w FROM sides), {_degrees('tg')}"),
-        "s5_late_rows": sql("ledger", "SELECT txn_id, false AS late FROM ledger"),
+        "s5_late_rows": sql("ledger", "SELECT txn_id, day < 5 AND ends_with(txn_id, '7') AS late FROM ledger"),
     }

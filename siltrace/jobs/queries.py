@@ -26,6 +26,7 @@ from siltrace.streaming import alerts as S
 W = 7  # days of the graph's window; the events cover 30
 N_WALKS, STEPS = 5, 6
 GRID = [1, 7, 14]
+DELAYS = [1, 7, 14]
 SMURF = {"low": 500.0, "high": 4000.0, "min_mules": 5, "forward": (0.05, 0.95)}
 REGISTRY: dict = {}
 
@@ -336,10 +337,20 @@ def w5_delay_aware_walks(spark, sf):
 
 @query
 def w6_separation(spark, sf):
+    """Walks on the last snapshot towards the hybrid set, against those towards the true labels."""
     x = Ledger(spark, sf)
-    bad = checkpoint(x.illicit)
-    groups = x.accounts.join(bad.withColumn("s", F.lit(True)), "account_id", "left").select("account_id", F.coalesce("s", F.lit(False)).alias("suspicious"))
-    return WK.hit_rate_separation(_walks(x, bad), groups)
+    groups, rates = _fair(x)
+    reference = WK.hit_rate_separation(rates(x.illicit), groups)
+    return WK.share_of_reference(WK.hit_rate_separation(rates(Y.hybrid_illicit(x.scored, 7, 0.8)), groups), reference)
+
+
+def _fair(x: Ledger):
+    """Groups that the last snapshot holds, and a function that walks from them towards a set."""
+    days = checkpoint(x.account_day.select("account_id", F.datediff("date", F.lit(L.BASE_DATE).cast("date")).alias("day"), "label"))
+    groups = checkpoint(WK.fair_groups(days, W))
+    targets = checkpoint(groups.select("account_id").distinct().crossJoin(F.broadcast(days.agg(F.max("day").alias("day")))))
+    ledger = x.ledger
+    return groups, lambda bad: WK.walk_summary(targets, WK.random_walks(targets, ledger, checkpoint(bad.select("account_id").distinct()), W, N_WALKS, STEPS), N_WALKS)
 
 
 @query
@@ -371,7 +382,14 @@ def y4_alignment(spark, sf):
 
 @query
 def y5_hybrid_growth(spark, sf):
-    return Y.hybrid_growth(Ledger(spark, sf).scored, [1, 3, 7, 14], 0.8)
+    x = Ledger(spark, sf)
+    groups, rates = _fair(x)
+    scored = checkpoint(x.scored)
+    out = None
+    for delay in DELAYS:
+        one = WK.hit_rate_separation(rates(Y.hybrid_illicit(scored, delay, 0.8)), groups).withColumn("delay", F.lit(delay))
+        out = one if out is None else out.union(one)
+    return Y.hybrid_growth(scored, DELAYS, 0.8).join(out, "delay")
 
 
 @query
@@ -570,18 +588,22 @@ def t4_round_trips(spark, sf):
 @query
 def t5_pattern_roles(spark, sf):
     x = Ledger(spark, sf).ledger
-    return T.pattern_roles(T.smurfing(x, **SMURF), T.layering(x), T.round_trips(x)).groupBy("pattern_type", "role").agg(F.countDistinct("pattern_id").alias("patterns"), F.countDistinct("account_id").alias("accounts"))
+    smurfs, fans = T.smurfing(x, **SMURF), T.fan_out_fan_in(x, min_intermediates=2)
+    payers = T.mules(x, smurfs, SMURF["low"], SMURF["high"])
+    return T.pattern_roles(smurfs, payers, T.layering(x), T.fan_roles(x, fans), T.round_trips(x)).groupBy("pattern_type", "role").agg(F.countDistinct("pattern_id").alias("patterns"), F.countDistinct("account_id").alias("accounts"))
 
 
-def _stream(spark, sf) -> DataFrame:
-    """The ledger as files that arrive in order of time, some days for each trigger.
+def _stream(spark, sf, held=None) -> DataFrame:
+    """The ledger as files that arrive in order of time, some days for each trigger, but for rows
+    that meet ``held``, which come last.
 
     The source takes files by their time of change, so each stretch of days is written after
     the one before it.
     """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     days = Ledger(spark, sf).days
-    for part in (F.col("day") < 10, F.col("day").between(10, 19), F.col("day") >= 20):
+    held = F.lit(False) if held is None else held
+    for part in (~held & (F.col("day") < 10), ~held & F.col("day").between(10, 19), ~held & (F.col("day") >= 20), held):
         days.where(part).drop("date", "day").coalesce(1).write.mode("append").parquet(at)
         time.sleep(1.1)  # some stores keep whole seconds
     return S.ledger_stream(spark, at, 1)
@@ -609,7 +631,8 @@ def s4_sliding_degrees_stream(spark, sf):
 
 @query
 def s5_late_rows(spark, sf):
-    on_time, late = S.route_late(_stream(spark, sf), 3)
+    """A part of the first five days' rows arrives after all others."""
+    on_time, late = S.route_late(_stream(spark, sf, (F.col("day") < 5) & F.endswith("txn_id", F.lit("7"))), 3)
     return on_time.select("txn_id", F.lit(False).alias("late")).union(late.select("txn_id", F.lit(True).alias("late")))
 
 

@@ -93,11 +93,12 @@ def degree_histogram(degrees_: DataFrame) -> DataFrame:
     return degrees_.where("degree > 0").groupBy("degree").agg(F.count("*").alias("accounts"))
 
 
-def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = 20) -> DataFrame:
+def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = 1000) -> DataFrame:
     """``account_id, distance`` to the nearest of ``targets``, for every account reached.
 
     One search outward from all targets at once over undirected ``sender_id, receiver_id``;
-    it ends when a round reaches nobody new.
+    it ends when a round reaches nobody new, and raises if ``max_hops`` rounds don't suffice.
+    Accounts that no target reaches are not in the result.
     """
     both = checkpoint(edges.select(F.explode(F.array(F.struct(F.col("sender_id").alias("a"), F.col("receiver_id").alias("b")), F.struct(F.col("receiver_id").alias("a"), F.col("sender_id").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     known = checkpoint(targets.select("account_id").distinct().withColumn("distance", F.lit(0)))
@@ -105,9 +106,9 @@ def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = 20) -> D
         edge = known.where(F.col("distance") == hop - 1).select(F.col("account_id").alias("a"))
         new = checkpoint(both.join(edge, "a").select(F.col("b").alias("account_id")).distinct().join(known, "account_id", "left_anti").withColumn("distance", F.lit(hop)))
         if new.isEmpty():
-            break
+            return known
         known = checkpoint(known.unionByName(new))
-    return known
+    raise RuntimeError("some accounts lie farther out; raise max_hops")
 
 
 def sar_components(ledger: DataFrame) -> DataFrame:

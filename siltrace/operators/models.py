@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from siltrace.operators.metrics import balanced_weights, log_loss, recall_at_fpr, roc_points
 
-#: Published search ranges, with Spark's counterparts.
+#: Published search ranges (fixed values), as far as Spark has them. Spark's trees stop at depth 30
+#: where 40 is published; it has no least size of a node that is split (10 to 50), so half of it is
+#: asked of each side; and 200 to 500 leaves become a depth of 8 or 9.
 RANGES = {
-    "glm": {"regularisation": ["l1", "l2"], "c": [0.001, 100.0], "standardise": [True, False]},
-    "forest": {"trees": [50, 500], "depth": [10, 30], "leaf": [1, 10]},
-    "boosted": {"depth": [3, 8], "rate": [0.01, 0.3], "leaf": [5, 100], "rounds": [50, 200]},
+    "glm": {"regularisation": ["l1", "l2"], "c": [0.01, 0.09], "standardise": [True, False]},
+    "forest": {"trees": [100, 200], "depth": [10, 30], "leaf": [5, 25]},
+    "boosted": {"depth": [8, 9], "rate": [0.01, 0.09], "leaf": [100, 200]},
 }
 #: Days of the published window sweep.
 WINDOWS = [1, 7, 14, 30, 60, 90]
@@ -98,6 +100,8 @@ def tune(train_rows: DataFrame, validation: DataFrame, features: list[str], kind
             best = (model, params, recall or 0.0)
         if timeout and time.monotonic() - began > timeout:
             break
+    train_rows.unpersist()
+    validation.unpersist()
     return best
 
 
@@ -119,9 +123,10 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
     spark = rows.sparkSession
     keyed = rows.withColumn("_id", F.xxhash64("account_id", "date")).persist()
     base = log_loss(scored(model, keyed, features)).first()[0]
+    buckets = max(8, keyed.count() // 20_000)  # of about as many rows, whatever the table's size
 
     def placed(salt) -> DataFrame:
-        mixed = keyed.withColumn("_m", F.xxhash64("_id", F.lit(salt))).withColumn("_b", F.pmod("_m", F.lit(64)))
+        mixed = keyed.withColumn("_m", F.xxhash64("_id", F.lit(salt))).withColumn("_b", F.pmod("_m", F.lit(buckets)))
         n = mixed.groupBy("_b").count().select("_b", (F.sum("count").over(W.orderBy("_b")) - F.col("count")).alias("_o"))
         return mixed.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_m", "_id"))).join(F.broadcast(n), "_b").withColumn("_p", F.col("_o") + F.col("_r"))
 
@@ -134,6 +139,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
             shuffled = home.join(other, "_p").withColumn(f, F.col("_v")).drop("_v", "_p")
             rises.append(log_loss(scored(model, shuffled, features)).first()[0] - base)
         out.append((f, float(sum(rises) / len(rises))))
+    home.unpersist()
+    keyed.unpersist()
     return spark.createDataFrame(out, "feature string, importance double")
 
 

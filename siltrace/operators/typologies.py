@@ -69,13 +69,32 @@ def layering(ledger: DataFrame, least: int = 3, most: int = 6, gap: tuple[int, i
 
 def fan_out_fan_in(ledger: DataFrame, min_intermediates: int = 5, max_destinations: int = 3, days: int = 4, gap: tuple[int, int] = (HOUR, 48 * HOUR), ratio: tuple[float, float] = (0.90, 0.97)) -> DataFrame:
     """``source, anchor_txn, n_intermediates, n_destinations, last_ts``: legs within ``days`` of an anchor leg."""
+    got = _fan_legs(ledger, days, gap, ratio).groupBy(F.col("s").alias("source"), "anchor_txn").agg(F.countDistinct("mid").alias("n_intermediates"), F.countDistinct("dst").alias("n_destinations"), F.max("n_ts").alias("last_ts"))
+    return got.where((F.col("n_intermediates") >= min_intermediates) & (F.col("n_destinations") <= max_destinations))
+
+
+def fan_roles(ledger: DataFrame, fans: DataFrame, days: int = 4, gap: tuple[int, int] = (HOUR, 48 * HOUR), ratio: tuple[float, float] = (0.90, 0.97)) -> DataFrame:
+    """``anchor_txn, account_id, role`` of the sources, intermediates and destinations of ``fans``."""
+    legs = _fan_legs(ledger, days, gap, ratio).join(fans.select(F.col("source").alias("s"), "anchor_txn"), ["s", "anchor_txn"])
+    one = lambda c, role: F.struct(F.col(c).alias("account_id"), F.lit(role).alias("role"))
+    return legs.select("anchor_txn", F.explode(F.array(one("s", "source"), one("mid", "intermediate"), one("dst", "destination"))).alias("x")).select("anchor_txn", "x.*").distinct()
+
+
+def mules(ledger: DataFrame, smurfs: DataFrame, low: float = 9000.0, high: float = 9900.0, days: int = 4) -> DataFrame:
+    """``last_payment_txn, forward_txn, account_id``: who paid the collector in the days up to the last payment."""
+    paid = _moves(ledger).where(F.col("c").between(round(low * 100), round(high * 100)))
+    last = smurfs.join(paid.select(F.col("txn_id").alias("last_payment_txn"), F.col("ts").alias("l_ts")), "last_payment_txn").select("last_payment_txn", "forward_txn", F.col("collector").alias("r"), "l_ts", F.floor(F.col("l_ts") / (days * DAY)).alias("_b"))
+    spread = paid.withColumn("_b", F.explode(F.array(F.floor(F.col("ts") / (days * DAY)), F.floor(F.col("ts") / (days * DAY)) + 1)))
+    return last.join(spread, ["r", "_b"]).where((F.col("l_ts") - F.col("ts")).between(0, days * DAY)).select("last_payment_txn", "forward_txn", F.col("s").alias("account_id")).distinct()
+
+
+def _fan_legs(ledger: DataFrame, days: int, gap: tuple[int, int], ratio: tuple[float, float]) -> DataFrame:
+    """Two-hop legs ``s, mid, dst`` for each anchor leg of the same source within ``days``."""
     m = _moves(ledger)
     legs = _next(m, m, "r", "ts", "c", gap[0], gap[1], ratio).where("n_r <> s").select("txn_id", "s", F.col("r").alias("mid"), "ts", F.col("n_r").alias("dst"), "n_ts")
     anchors = legs.select(F.col("txn_id").alias("anchor_txn"), "s", F.col("ts").alias("a_ts")).distinct().withColumn("_b", F.floor(F.col("a_ts") / (days * DAY)))
     near = legs.withColumn("_b", F.explode(F.array(F.floor(F.col("ts") / (days * DAY)), F.floor(F.col("ts") / (days * DAY)) - 1)))
-    met = anchors.join(near, ["s", "_b"]).where((F.col("ts") - F.col("a_ts")).between(0, days * DAY))
-    got = met.groupBy(F.col("s").alias("source"), "anchor_txn").agg(F.countDistinct("mid").alias("n_intermediates"), F.countDistinct("dst").alias("n_destinations"), F.max("n_ts").alias("last_ts"))
-    return got.where((F.col("n_intermediates") >= min_intermediates) & (F.col("n_destinations") <= max_destinations))
+    return anchors.join(near, ["s", "_b"]).where((F.col("ts") - F.col("a_ts")).between(0, days * DAY))
 
 
 def round_trips(ledger: DataFrame, most: int = 4, gap: tuple[int, int] = (HOUR, 48 * HOUR), back_days: tuple[int, int] = (3, 21), ratio: tuple[float, float] = (0.90, 0.97)) -> DataFrame:
@@ -88,11 +107,17 @@ def round_trips(ledger: DataFrame, most: int = 4, gap: tuple[int, int] = (HOUR,
     return out
 
 
-def pattern_roles(smurfs: DataFrame, layers: DataFrame, trips: DataFrame) -> DataFrame:
-    """``pattern_id, pattern_type, account_id, role`` of detected shapes."""
+def pattern_roles(smurfs: DataFrame, payers: DataFrame, layers: DataFrame, fans: DataFrame, trips: DataFrame) -> DataFrame:
+    """``pattern_id, pattern_type, account_id, role`` of detected shapes.
+
+    ``payers`` are the ``mules`` of ``smurfs``; ``fans`` are ``fan_roles``.
+    """
     pid = lambda kind, txns: F.concat(F.lit(f"{kind}_"), F.md5(F.array_join(txns, "|").cast("binary")))
     ends = lambda a: F.transform(a, lambda x, k: F.struct(x.alias("account_id"), F.when(k == 0, "origin").when(k == F.size(a) - 1, "destination").otherwise("intermediate").alias("role")))
     loop = lambda a: F.transform(a, lambda x, k: F.struct(x.alias("account_id"), F.when(k == 0, "origin").otherwise("intermediate").alias("role")))
     s = smurfs.select(pid("smurfing", F.array("last_payment_txn", "forward_txn")).alias("pattern_id"), F.lit("smurfing").alias("pattern_type"), F.explode(F.array(F.struct(F.col("collector").alias("account_id"), F.lit("collector").alias("role")), F.struct(F.col("destination").alias("account_id"), F.lit("destination").alias("role")))).alias("x"))
     rows = s.union(layers.select(pid("layering", F.col("txns")), F.lit("layering"), F.explode(ends(F.col("accounts"))))).union(trips.select(pid("round_tripping", F.col("txns")), F.lit("round_tripping"), F.explode(loop(F.col("accounts")))))
-    return rows.select("pattern_id", "pattern_type", "x.account_id", "x.role").distinct()
+    named = rows.select("pattern_id", "pattern_type", "x.account_id", "x.role")
+    paid = payers.select(pid("smurfing", F.array("last_payment_txn", "forward_txn")), F.lit("smurfing"), "account_id", F.lit("mule"))
+    fanned = fans.select(pid("fan_out_fan_in", F.array("anchor_txn")), F.lit("fan_out_fan_in"), "account_id", "role")
+    return named.union(paid).union(fanned).distinct()

@@ -72,8 +72,25 @@ def hit_rate_separation(features: DataFrame, groups: DataFrame, column: str = "g
     return med.withColumn("separation", F.col("suspicious") - F.col("legit"))
 
 
+def fair_groups(account_days: DataFrame, w: int) -> DataFrame:
+    """``account_id, suspicious``: accounts with a labelled day in the last ``w`` days, which the last
+    snapshot still holds, and accounts with a day without a label; an account can be in both."""
+    last = F.broadcast(account_days.agg(F.max("day").alias("_last")))
+    rows = account_days.select("account_id", "day", F.coalesce("label", F.lit(False)).alias("suspicious")).crossJoin(last)
+    return rows.where(~F.col("suspicious") | (F.col("day") > F.col("_last") - w)).select("account_id", "suspicious").distinct()
+
+
+def share_of_reference(separation: DataFrame, reference: DataFrame) -> DataFrame:
+    """``separation`` with ``reference``, that of the true labels, and the share of it that is left."""
+    one = F.broadcast(reference.select(F.col("separation").alias("reference")))
+    return separation.crossJoin(one).withColumn("share", F.col("separation") / F.nullif("reference", F.lit(0.0)))
+
+
 def by_distance(features: DataFrame, distances: DataFrame, per_distance: int = 15, most: int = 4) -> DataFrame:
-    """Median hit rate and mean length of up to ``per_distance`` accounts at each distance."""
-    rows = features.join(distances.where(F.col("distance").between(1, most)), "account_id")
-    n = F.row_number().over(W.partitionBy("distance").orderBy(F.md5(F.col("account_id").cast("binary")), "account_id", "day"))
-    return rows.withColumn("_n", n).where(F.col("_n") <= per_distance).groupBy("distance").agg(F.count("*").alias("accounts"), F.median("gw_hit_rate").alias("median_hit_rate"), F.median("gw_mean").alias("median_length"))
+    """Median hit rate and mean length of up to ``per_distance`` accounts at each distance, each on
+    its last day, and ``falls``: whether the rate is no higher than at the distance before."""
+    last = features.withColumn("_k", F.row_number().over(W.partitionBy("account_id").orderBy(F.desc("day")))).where("_k = 1")
+    rows = last.join(distances.where(F.col("distance").between(1, most)), "account_id")
+    n = F.row_number().over(W.partitionBy("distance").orderBy(F.md5(F.col("account_id").cast("binary")), "account_id"))
+    got = rows.withColumn("_n", n).where(F.col("_n") <= per_distance).groupBy("distance").agg(F.count("*").alias("accounts"), F.median("gw_hit_rate").alias("median_hit_rate"), F.median("gw_mean").alias("median_length"))
+    return got.withColumn("falls", F.col("median_hit_rate") <= F.lag("median_hit_rate").over(W.orderBy("distance")))  # ``most`` rows

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, one machine) a temporary folder is set as the
-    session's checkpoint folder, so every caller sees the same one.
+    Where that setting is absent and all runs on one machine (tests), a temporary folder is set
+    as the session's checkpoint folder, so every caller sees the same one. On a cluster a folder
+    of the driver's own would lose data, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-shared-"))
     return configured or sc.getCheckpointDir()
