@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltrace.llm import ann, chat_format, decontam, license_scan, line_dedup, near_dup, packing, toxicity, url_filter, warc
+from siltrace.llm import ann, centroids, chat_format, decontam, divergence, license_scan, line_dedup, near_dup, packing, quality, toxicity, url_filter, warc
 from siltrace.sources.tables import table
 
 TOXIC_FROM = 0.3
+GOOD_FROM = 0.3
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -90,6 +91,20 @@ def op10_decontam(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.quality(docs, quality.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", F.coalesce(quality.held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -237,9 +252,68 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 
+def _op11_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Each round as three steps: every vector's nearest centroid, sums of components, new centroids."""
+    gap = "(v[{j}] - c[{j}]) * (v[{j}] - c[{j}])"
+    far = " + ".join(gap.format(j=j) for j in range(1, size + 1))
+    out = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+), c0 AS MATERIALIZED (
+  SELECT n - 1 AS k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) AS n FROM v) WHERE n <= {k}
+)"""
+    for n in range(rounds + 1):
+        out += f""", a{n} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS d, arg_min(k, (d, k)) AS k FROM (SELECT r, vec_id, v, k, {far} AS d FROM v, c{n}) GROUP BY r
+)"""
+        if n < rounds:
+            out += f""", c{n + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m, c) AS c FROM c{n} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM (
+      SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{n}) GROUP BY k, j) GROUP BY k) m ON m.k = c.k
+)"""
+    return out + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+_OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), u AS MATERIALIZED (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS MATERIALIZED (
+  SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), n AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM u GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), t AS (
+  SELECT lang, source, sum(n)::HUGEINT + count(*) AS t FROM n GROUP BY ALL
+), p AS MATERIALIZED (
+  SELECT n.lang, n.source, term, n, 1 + {divergence.UNIT}::HUGEINT * (n + 1) // t AS p FROM n JOIN t ON n.lang = t.lang AND n.source = t.source
+), l AS (
+  SELECT x.lang, term, 1 + {divergence.UNIT}::HUGEINT * (n + 1) // t AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY ALL) x
+  JOIN (SELECT lang, sum(n)::HUGEINT + count(DISTINCT term) AS t FROM n GROUP BY lang) y ON x.lang = y.lang
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op6_passage_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op9_site_filter, op10_decontam)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ann, op3_toxicity, op4_warc, op5_packing, op6_line_dedup, op6_passage_dedup, op7_near_dup, op8_chat_format, op9_url_filter, op9_site_filter, op10_decontam, op11_centroids, op12_divergence, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _OP4, "op6_line_dedup": _OP6, "op7_near_dup": _OP7, "op8_chat_format": _OP8, "op9_url_filter": _op9_sql(), "op10_decontam": _OP10}
+    return {"op4_warc": _OP4, "op6_line_dedup": _OP6, "op7_near_dup": _OP7, "op8_chat_format": _OP8, "op9_url_filter": _op9_sql(), "op10_decontam": _OP10, "op11_centroids": _op11_sql(), "op12_divergence": _OP12}
