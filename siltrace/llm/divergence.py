@@ -1,176 +1,231 @@
 """Source divergence audit by mergeable byte tries.
 
 Each task counts the terms of its documents in one radix trie for each language, whose leaves
-count occurrences by source and documents. Tries are cut by prefix, subtrees of one prefix meet in
-one task and are merged there, and a walk in byte order (which is the order of UTF-8) gives the
-terms that enough documents hold. A second walk streams the sums of pairs of sources and the best
-terms of each source, in the order of ties. All numbers are integers.
+count occurrences and documents by source. A trie is held flat, in the order of its walk: a leaf
+has the number of bytes that it shares with the leaf before it, the rest as its label, and its
+counters; so tries are built, cut and merged by array operations. They are cut by prefix, subtries of
+one prefix meet in one task and are merged there, and the walk in byte order (which is the order of
+UTF-8) gives the terms that enough documents hold. A second walk streams the sums of pairs of
+sources and the best terms of each source, in the order of ties. All numbers are integers.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltrace.llm.words import byte_table, joined, mix, text_parts
 from siltrace.session import stored
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
 UNIT = 1_000_000_000
-PREFIX = 4  # bytes of a term that choose its task
-STRETCH = 1 << 22  # bytes of a text that are looked at together
-BUFFERED = 100_000  # counted terms that wait for the trie
-LEAVES = 150_000  # of a trie, before it is sent on
+PREFIX = 6  # bytes of a term that choose its task
+CUTS = 4  # subtries of a language for each shuffle partition
+ENTRIES = 600_000  # counters that a task holds before it sends them on
 MATRIX = 1 << 20  # cells of counts that are looked at together
 WIDE = 1_000  # sources of a language that a task keeps pairs of
 SHARED = 100_000  # groups that all tasks are told of
 
+#: Separators of terms: all ASCII but letters; A-Z are lower-cased.
+LETTERS = byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
-class Trie:
-    """A radix trie over byte strings; a leaf holds the number of documents and counts by source."""
 
-    __slots__ = ("root", "leaves")
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
-    def __init__(self):
-        self.root, self.leaves = [b"", {}, None], 0  # a node: label, children by first byte, leaf
 
-    def leaf(self, term: bytes) -> list:
-        """The leaf of ``term``, made where it is new."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node, at = child, len(term)
-                break
-            label = child[0]
-            if not term.startswith(label, at):
-                n, most = 1, min(len(label), len(term) - at)
-                while n < most and label[n] == term[at + n]:
-                    n += 1
-                split = node[1][term[at]] = [label[:n], {label[n]: child}, None]
-                child[0], child = label[n:], split
-            node, at = child, at + len(child[0])
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        for source, n in counts.items():
-            leaf[1][source] = leaf[1].get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms in byte order and their leaves."""
-        rest = [(b"", self.root)]
-        while rest:
-            before, node = rest.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            rest.extend((term, node[1][k]) for k in sorted(node[1], reverse=True))
-
-
-def _stretches(data: bytes) -> Iterator[bytes]:
-    """A text in pieces that no term crosses."""
-    at = 0
-    while len(data) - at > STRETCH:
-        end = at + STRETCH
-        m = re.compile(rb"[^a-z\x80-\xff]").search(data, end)
-        end = m.end() if m else len(data)
-        yield data[at:end]
-        at = end
-    yield data[at:]
-
-
-def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-
-_LEAF = (["lang", "prefix", "term", "docs", "sources", "counts"], [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())])
-_KEPT = (["lang", "term", "sources", "counts"], [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())])
-
-
-def _in_batches(rows: Iterator[tuple], shape: tuple, most: int = 10_000) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield _batch(held, *shape)
-            held = []
-    if held:
-        yield _batch(held, *shape)
-
-
-def _counted(batches) -> Iterator[pa.RecordBatch]:
-    """The leaves of the tries of a partition's documents."""
-    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    tries: dict[str, Trie] = {}
-
-    def settle():
-        for (lang, source), (total, docs) in seen.items():
-            trie = tries.setdefault(lang, Trie())
-            for term, n in total.items():
-                leaf = trie.leaf(term)
-                leaf[0] += docs[term]
-                leaf[1][source] = leaf[1].get(source, 0) + n
-        seen.clear()
-
-    def leaves():
-        for lang, trie in tries.items():
-            for term, (docs, counts) in trie.walk():
-                yield lang, term[:PREFIX], term, docs, list(counts), list(counts.values())
-        tries.clear()
-
-    waiting = 0
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if not text.is_valid:
-                continue
-            total, docs = seen.setdefault((lang, source), (Counter(), Counter()))
-            before, own = len(total), None
-            for part in _stretches(text.as_buffer().to_pybytes().lower()):
-                terms = _TERM.findall(part)
-                total.update(terms)
-                own = set(terms) if own is None else own.union(terms)
-            docs.update(own)
-            waiting += len(total) - before
-            if waiting > BUFFERED:
-                settle()
-                waiting = 0
-                if sum(t.leaves for t in tries.values()) > LEAVES:
-                    yield from _in_batches(leaves(), _LEAF)
-    settle()
-    yield from _in_batches(leaves(), _LEAF)
-
-
-def _merged(batches, min_docs: int) -> Iterator[pa.RecordBatch]:
-    """Merged subtries of the prefixes of a partition, whose leaves come sorted; terms of ``min_docs``."""
-
-    def kept():
-        trie, key = Trie(), None
-        for batch in batches:
-            for lang, prefix, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, prefix) != key or trie.leaves > LEAVES and trie.leaf(term)[0] == 0:
-                    yield from done(trie, key)
-                    trie, key = Trie(), (lang, prefix)
-                trie.add(term, docs, dict(zip(sources, counts)))
-        yield from done(trie, key)
+def _bytes(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes and the starts, with the end as last, of large binaries."""
+    at = np.frombuffer(terms.buffers()[1], np.int64, len(terms) + 1, terms.offset * 8)
+    return np.frombuffer(terms.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted different keys, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], [np.add.reduceat(v[order], first) if len(k) else v for v in values]
 
-    def done(trie, key):
-        for term, (docs, counts) in trie.walk():
-            if docs >= min_docs:
-                yield key[0], term.decode(), list(counts), list(counts.values())
 
-    yield from _in_batches(kept(), _KEPT)
+@dataclass
+class Trie:
+    """Different terms in byte order; for each counter its term, source, occurrences and documents.
+
+    Counters are ordered by term and source.
+    """
+
+    terms: pa.Array
+    term: np.ndarray
+    source: np.ndarray
+    count: np.ndarray
+    docs: np.ndarray
+
+    @staticmethod
+    def of(terms: pa.Array, term, source, count, docs) -> Trie:
+        """From terms in any order and repeated, and counters of them."""
+        coded = terms.dictionary_encode()
+        order = np.asarray(pc.sort_indices(coded.dictionary)).astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        width = int(source.max(initial=0)) + 1
+        key, (count, docs) = _summed(place[np.asarray(coded.indices)[term]] * width + source, count, docs)
+        return Trie(coded.dictionary.take(pa.array(order)), *np.divmod(key, width), count, docs)
+
+    @staticmethod
+    def merged(tries: list[Trie]) -> Trie:
+        before = np.cumsum([0, *(len(t.terms) for t in tries)])
+        return Trie.of(pa.concat_arrays([t.terms for t in tries]), *(np.concatenate(x) for x in zip(*((t.term + n, t.source, t.count, t.docs) for t, n in zip(tries, before)))))
+
+    def cut(self, terms: np.ndarray) -> Trie:
+        """The subtrie of some terms, given as numbers in order."""
+        held = np.zeros(len(self.terms), bool)
+        held[terms] = True
+        mine = held[self.term]
+        return Trie(self.terms.take(pa.array(terms)), np.cumsum(held)[self.term[mine]] - 1, self.source[mine], self.count[mine], self.docs[mine])
+
+    def packed(self) -> tuple[bytes, ...]:
+        """Shared bytes, label sizes and labels of the leaves, counters of each, and the counters."""
+        data, at = _bytes(self.terms)
+        size = np.diff(at)
+        shared, same = np.zeros(len(size), np.uint8), np.arange(1, len(size))
+        for j in range(255):
+            same = same[np.minimum(size[same], size[same - 1]) > j]
+            same = same[data[at[same] + j] == data[at[same - 1] + j]]
+            if not len(same):
+                break
+            shared[same] += 1
+        label = size - shared
+        inside = np.arange(label.sum()) - np.repeat(np.cumsum(label) - label, label) + np.repeat(at[:-1] + shared, label)
+        leaf = np.bincount(self.term, minlength=len(size))
+        return tuple(x.tobytes() for x in (shared, label.astype(np.int32), data[inside], leaf.astype(np.int32), self.source.astype(np.int32), self.count, self.docs))
+
+    @staticmethod
+    def unpacked(shared: bytes, label: bytes, labels: bytes, leaf: bytes, source: bytes, count: bytes, docs: bytes) -> Trie:
+        share = np.frombuffer(shared, np.uint8).astype(np.int64)
+        own = np.frombuffer(label, np.int32).astype(np.int64)
+        size = share + own
+        at = np.cumsum(size) - size
+        data = np.empty(size.sum(), np.uint8)
+        data[np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(at + share, own)] = np.frombuffer(labels, np.uint8)
+        for j in range(int(share.max(initial=0))):  # a shared byte is that of the last leaf whose label has it
+            need = np.flatnonzero(share > j)
+            last = np.maximum.accumulate(np.where(share <= j, np.arange(len(share)), 0))
+            data[at[need] + j] = data[at[last[need]] + j]
+        n = np.frombuffer(leaf, np.int32)
+        return Trie(_binaries(data, size), np.repeat(np.arange(len(n)), n), *(np.frombuffer(x, k).astype(np.int64) for x, k in ((source, np.int32), (count, np.int64), (docs, np.int64))))
+
+    def cuts(self, lang: str, n: int) -> np.ndarray:
+        """Which of ``n`` subtries each term belongs to: a hash of the language and the first bytes."""
+        data, at = _bytes(self.terms)
+        code = np.full(len(self.terms), sum(x * 257**k for k, x in enumerate(lang.encode())) % 2**64, np.uint64)
+        for j in range(PREFIX):
+            longer = np.diff(at) > j
+            code[longer] = mix(code[longer] * np.uint64(257) + data[at[:-1][longer] + j])
+        return (mix(code) % np.uint64(n)).astype(np.int64)
+
+
+def counted(column: pa.Array, group: np.ndarray) -> Trie:
+    """The terms of some texts; a text's group stands for the source."""
+    data, at = joined(column)
+    low = LETTERS[data]
+    inside = low != 0
+    begin, last = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = at[:-1] < at[1:]
+    begin[at[:-1][filled]] = inside[at[:-1][filled]]
+    last[at[1:][filled] - 1] = inside[at[1:][filled] - 1]
+    starts = np.flatnonzero(begin)
+    coded = _binaries(low[inside], np.flatnonzero(last) + 1 - starts).dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    doc = np.searchsorted(at, starts, "right") - 1
+    key, (count,) = _summed(doc * width + np.asarray(coded.indices).astype(np.int64), np.ones(len(doc), np.int64))
+    return Trie.of(coded.dictionary, key % width, group[key // width], count, np.ones(len(key), np.int64))
+
+
+_SENT = "cut int, lang string, sources array<string>, shared binary, label binary, labels binary, leaf binary, source binary, count binary, docs binary"
+_KEPT = "lang string, term string, sources array<string>, counts array<bigint>"
+
+
+def _sent(trie: Trie, groups: list[tuple[str, str]], n: int) -> Iterator[pa.RecordBatch]:
+    """The subtries of each language, from a trie over all groups."""
+    langs = np.array([g[0] for g in groups], object)
+    for lang in sorted({g[0] for g in groups}):
+        mine = np.flatnonzero(langs == lang)
+        here = np.isin(trie.source, mine)
+        own = Trie(trie.terms, trie.term[here], np.searchsorted(mine, trie.source[here]), trie.count[here], trie.docs[here])
+        own = own.cut(np.unique(own.term))
+        cut = own.cuts(lang, n)
+        order = np.argsort(cut, kind="stable")
+        ends = np.flatnonzero(np.concatenate([cut[order][1:] != cut[order][:-1], [len(cut) > 0]]))
+        sources = [groups[g][1] for g in mine]
+        # counters by subtrie, so that each is a slice
+        by = np.argsort(cut[own.term], kind="stable")
+        bounds = np.searchsorted(cut[own.term][by], np.arange(n + 1))
+        begin, rows = 0, []
+        for end in (ends + 1).tolist():
+            terms, k = order[begin:end], cut[order[begin]]
+            at = by[bounds[k] : bounds[k + 1]]
+            sub = Trie(own.terms.take(pa.array(terms)), np.searchsorted(terms, own.term[at]), own.source[at], own.count[at], own.docs[at])
+            rows.append((int(k), lang, sources, *sub.packed()))
+            begin = end
+        for i in range(0, len(rows), 64):
+            kinds = [pa.int32(), pa.string(), pa.list_(pa.string())] + [pa.binary()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64]), kinds)], names=[x.split()[0] for x in _SENT.split(", ")])
+
+
+def _counted(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The subtries of a partition's documents, sent on whenever they hold ``ENTRIES`` counters."""
+    numbers: dict[tuple[str, str], int] = {}
+    held: list[Trie] = []
+    most = ENTRIES
+    for batch in batches:
+        group = np.fromiter((numbers.setdefault(g, len(numbers)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), np.int64, batch.num_rows)
+        for i, j in text_parts(batch.column(2)):
+            held.append(counted(batch.column(2).slice(i, j - i), group[i:j]))
+            if sum(len(t.term) for t in held) > most:
+                held = [Trie.merged(held)]
+                most = max(ENTRIES, 2 * len(held[0].term))
+                if len(held[0].term) > ENTRIES:
+                    yield from _sent(held[0], list(numbers), n)
+                    held, most = [], ENTRIES
+    if held:
+        yield from _sent(Trie.merged(held), list(numbers), n)
+
+
+def _merged(batches: Iterable[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Merged subtries of a partition, whose rows come sorted by cut and language; terms of ``min_docs``."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for (_, lang), of in groupby(rows, key=lambda r: (r["cut"], r["lang"])):
+        names: dict[str, int] = {}
+        held: list[Trie] = []
+        most = ENTRIES
+        for r in of:
+            trie = Trie.unpacked(*(r[x] for x in ("shared", "label", "labels", "leaf", "source", "count", "docs")))
+            trie.source = np.array([names.setdefault(s, len(names)) for s in r["sources"]], np.int64)[trie.source]
+            held.append(trie)
+            if sum(len(t.term) for t in held) > most:
+                held = [Trie.merged(held)]
+                most = max(ENTRIES, 2 * len(held[0].term))
+        trie = Trie.merged(held)
+        docs = np.bincount(trie.term, trie.docs, len(trie.terms))
+        trie = trie.cut(np.flatnonzero(docs >= min_docs))
+        at = np.concatenate([[0], np.cumsum(np.bincount(trie.term, minlength=len(trie.terms)))])
+        source = pa.array(list(names), pa.string()).take(pa.array(trie.source))
+        for i in range(0, len(trie.terms), 10_000):
+            here = pa.array((at[i : i + 10_001] - at[i]).astype(np.int32))
+            a, b = int(at[i]), int(at[min(i + 10_000, len(trie.terms))])
+            terms = trie.terms.slice(i, 10_000).cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), terms, pa.ListArray.from_arrays(here, source.slice(a, b - a)), pa.ListArray.from_arrays(here, pa.array(trie.count[a:b]))], names=["lang", "term", "sources", "counts"])
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -204,7 +259,7 @@ def _pair_sums(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 class _Audit:
-    """Pair sums and best terms of one language's stretch of terms in byte order."""
+    """Pair sums and best terms of one language, over stretches of terms in byte order."""
 
     def __init__(self, lang: str, groups: tuple[list[str], list[int], int], top: int):
         self.lang, (self.sources, n, v) = lang, groups
@@ -222,6 +277,7 @@ class _Audit:
     def settle(self) -> None:
         if not self.rows:
             return
+        self.rows.sort(key=lambda r: r[0])  # subtries follow one another by cut; code points sort as UTF-8 does
         counts = np.zeros((len(self.rows), len(self.sources)), np.int64)
         for k, (_, sources, n) in enumerate(self.rows):
             counts[k, [self.column[s] for s in sources]] = n
@@ -232,7 +288,7 @@ class _Audit:
             value = apart(p[at, s], q[at])
             first = np.argsort(-value, kind="stable")[: self.top]
             best += [(-int(value[k]), self.rows[at[k]][0]) for k in first]
-            best.sort(key=lambda x: (x[0], x[1].encode()))
+            best.sort()
             del best[self.top :]
         self.rows.clear()
 
@@ -246,23 +302,33 @@ class _Audit:
                 yield self.lang, source, "term", term, -value
 
 
-_FOUND = (["lang", "source", "part", "item", "value"], [pa.string()] * 4 + [pa.int64()])
-
-
 def _audited(batches, groups: dict, top: int) -> Iterator[pa.RecordBatch]:
     def found():
-        now = None
+        now: dict[str, _Audit] = {}
         for batch in batches:
             for lang, term, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is None or now.lang != lang:
-                    if now:
-                        yield from now.result()
-                    now = _Audit(lang, groups[lang], top)
-                now.add(term, sources, counts)
-        if now:
-            yield from now.result()
+                if lang not in now:
+                    if sum(x.pairs.size for x in now.values()) > MATRIX:
+                        for audit in now.values():
+                            yield from audit.result()
+                        now.clear()
+                    now[lang] = _Audit(lang, groups[lang], top)
+                now[lang].add(term, sources, counts)
+        for audit in now.values():
+            yield from audit.result()
+
+    held = []
+    for row in found():
+        held.append(row)
+        if len(held) == 10_000:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
 
-    yield from _in_batches(found(), _FOUND)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(zip(*rows))], names=["lang", "source", "part", "item", "value"])
 
 
 def _share(count, total):
@@ -302,16 +368,16 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     Null text, language and source are empty. Each row is a document, repeated rows too. A group
     without terms has rows of part ``pair``, a language of one source none; an empty table gives no rows.
-    Texts are looked at whole, in stretches that no term crosses. Other columns are not looked at.
+    Texts are looked at whole. Other columns are not looked at.
 
     A task keeps sums for all pairs of a language's sources, which the result holds too. Languages of more
     than ``wide`` sources, and all if there are more than ``shared`` groups, go by joins instead.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    leaves = rows.mapInArrow(_counted, "lang string, prefix binary, term binary, docs bigint, sources array<string>, counts array<bigint>")
-    met = leaves.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "term")
-    kept = stored(met.mapInArrow(lambda b: _merged(b, min_docs), "lang string, term string, sources array<string>, counts array<bigint>"), "terms")
+    n = CUTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.mapInArrow(lambda b: _counted(b, n), _SENT).repartition("cut").sortWithinPartitions("cut", "lang")
+    kept = stored(met.mapInArrow(lambda b: _merged(b, min_docs), _KEPT), "terms")
 
     cells = kept.select("lang", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("count"))))
     size = kept.groupBy("lang").agg(F.count("*").alias("v"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltrace.llm import divergence as D
@@ -56,44 +58,52 @@ def test_equals_brute_force_on_either_way(spark, seed):
     assert {tuple(r) for r in D.divergence(docs, min_docs=1, top=2).collect()} == _brute(rows, 1, 2)
 
 
-def test_small_tries_and_stretches_change_nothing(spark, monkeypatch):
+def _audit(rows, parts, cuts):
+    """Occurrences by language, term and source, through packed subtries of ``parts`` partitions."""
+    sent = []
+    for k in range(parts):
+        mine = rows[k::parts]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in mine], pa.string()) for i in (1, 2, 0)], names=["l", "s", "t"])
+        sent += [r for b in D._counted([batch.slice(0, 7), batch.slice(7)], cuts) for r in b.to_pylist()]
+    sent.sort(key=lambda r: (r["cut"], r["lang"]))
+    table = pa.RecordBatch.from_pylist(sent)
+    return [r for b in D._merged([table], 1) for r in b.to_pylist()]
+
+
+def test_partitions_cuts_and_small_tries_change_nothing(monkeypatch):
     rows = [(t, lang or "", source or "") for t, lang, source in _rows(3)]
-    from pyspark.sql import functions  # noqa: F401  the functions below run without Spark
-    import pyarrow as pa
-
-    def audit(parts):
-        leaves = []
-        for k in range(parts):
-            mine = rows[k::parts]
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in mine], pa.string()) for i in (1, 2, 0)], names=["l", "s", "t"])
-            for b in D._counted([batch.slice(0, 7), batch.slice(7)]):
-                leaves += zip(*(c.to_pylist() for c in b.columns))
-        leaves.sort(key=lambda r: r[:3])
-        merged = D._merged([D._batch(leaves, *D._LEAF)], 1)
-        return {(r["lang"], r["term"]): dict(zip(r["sources"], r["counts"])) for b in merged for r in b.to_pylist()}
-
-    want = audit(1)
-    monkeypatch.setattr(D, "STRETCH", 40)
-    monkeypatch.setattr(D, "BUFFERED", 5)
-    monkeypatch.setattr(D, "LEAVES", 3)
-    assert audit(4) == want and want[("en", "a")]["s0"] > 3000
-
-
-def test_trie_walks_in_byte_order():
+    plain = lambda found: {(r["lang"], r["term"]): dict(zip(r["sources"], r["counts"])) for r in found}
+    one = _audit(rows, 1, 1)
+    want = plain(one)
+    assert len(want) == len(one) and want[("en", "a")]["s0"] > 3000
+    for lang in {k[0] for k in want}:
+        walk = [r["term"].encode() for r in one if r["lang"] == lang]
+        assert walk == sorted(walk)
+    monkeypatch.setattr(D, "ENTRIES", 3)
+    for parts, cuts in ((4, 1), (5, 16)):
+        got = _audit(rows, parts, cuts)
+        assert plain(got) == want and len(got) == len(want)
+
+
+def test_trie_packs_walks_and_merges():
     rng = random.Random(4)
-    terms = ["".join(rng.choices("abé日", k=rng.randrange(1, 7))).encode() for _ in range(500)]
-    trie = D.Trie()
-    for t in terms:
-        trie.add(t, 1, {"s": 2})
-    walked = list(trie.walk())
-    count = Counter(terms)
-    assert [t for t, _ in walked] == sorted(count)
-    assert all(leaf == [count[t], {"s": 2 * count[t]}] for t, leaf in walked) and trie.leaves == len(count)
+    terms = ["".join(rng.choices("abé日", k=rng.randrange(1, 9))).encode() for _ in range(500)] + [b"a" * 300, b"a" * 299 + b"b", b"a" * 400]
+    source = [rng.randrange(3) for _ in terms]
+    count = Counter(zip(terms, source))
+    whole = D.Trie.of(pa.array(terms, pa.large_binary()), np.arange(len(terms)), np.array(source), np.ones(len(terms), int), np.full(len(terms), 2))
+    halves = [D.Trie.of(pa.array(terms[i:j], pa.large_binary()), np.arange(j - i), np.array(source[i:j]), np.ones(j - i, int), np.full(j - i, 2)) for i, j in ((0, 200), (200, len(terms)))]
+    for trie in (whole, D.Trie.unpacked(*whole.packed()), D.Trie.merged(halves), D.Trie.merged([D.Trie.unpacked(*h.packed()) for h in halves])):
+        walk = trie.terms.to_pylist()
+        assert walk == sorted(set(terms))
+        assert {(walk[t], s): n for t, s, n in zip(trie.term, trie.source, trie.count)} == count
+        assert (trie.docs == 2 * trie.count).all()
+    some = np.arange(0, len(whole.terms), 3)
+    assert whole.cut(some).terms.to_pylist() == whole.terms.to_pylist()[::3]
+    shared = np.frombuffer(whole.packed()[0], np.uint8)
+    assert shared.max() == 255 and len(whole.packed()[2]) < sum(map(len, set(terms)))
 
 
 def test_large_counts_stay_exact():
-    import numpy as np
-
     for count, total in [(0, 1), (0, 5), (9 * 10**13 - 2, 9 * 10**13), (123456789012, 99999999999999)]:
         assert D.share(np.array([count]), np.array([total]))[0] == 1 + 10**9 * (count + 1) // total
 
