@@ -33,16 +33,25 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return per.select("label", (F.sum("n").over(W.partitionBy()) / (2 * F.col("n"))).alias("weight"))
 
 
-def roc_points(scored: DataFrame, buckets: int = 64) -> DataFrame:
+SCORES_A_RANGE = 100_000
+
+
+def roc_points(scored: DataFrame, buckets: int | None = None) -> DataFrame:
     """``score, fpr, tpr`` after each distinct score from the highest down, and the start (null, 0, 0).
 
     Distinct scores are summed in two levels: running sums within ranges of scores, and the
-    totals of the ranges above, so unique scores never meet in one task.
+    totals of the ranges above, so unique scores never meet in one task. Without ``buckets`` there is a
+    range for each ``SCORES_A_RANGE`` distinct scores.
     """
     y = F.col("label")
     per = scored.where("score is not null and label is not null").groupBy("score").agg(F.sum(y.cast("bigint")).alias("p"), F.sum((~y).cast("bigint")).alias("n"))
-    cut = F.broadcast(per.agg(F.percentile_approx("score", F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("_cuts")))
-    part = per.crossJoin(cut).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
+    if buckets is None:
+        buckets = 1 + per.count() // SCORES_A_RANGE
+    if buckets == 1:
+        part = per.withColumn("_b", F.lit(0))
+    else:
+        cut = F.broadcast(per.agg(F.percentile_approx("score", F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("_cuts")))
+        part = per.crossJoin(cut).withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
     sums = part.groupBy("_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     up = W.orderBy(F.desc("_b"))
     above = sums.select("_b", (F.sum("_p").over(up) - F.col("_p")).alias("_ap"), (F.sum("_n").over(up) - F.col("_n")).alias("_an"), F.sum("_p").over(W.partitionBy()).alias("_tp"), F.sum("_n").over(W.partitionBy()).alias("_tn"))
@@ -97,10 +106,16 @@ def split_summary(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("rows"), F.sum(F.col("label").cast("bigint")).alias("positives"))
 
 
-def ablation_table(recalls: DataFrame, baseline: str = "profiles") -> DataFrame:
-    """``name, recall, delta, best``: difference to the baseline's recall, and which is highest."""
+#: Names of the published feature sets that compete for the best; a sixth, profiles+GWd, is for comparison.
+HEADLINE = ("profiles", "profiles+degrees", "profiles+GW", "profiles+degrees+GW", "profiles+degrees+GWd")
+
+
+def ablation_table(recalls: DataFrame, baseline: str = "profiles", headline: tuple[str, ...] = HEADLINE) -> DataFrame:
+    """``name, recall, delta, best``: difference to the baseline's recall, and whether it is the best set:
+    that of ``headline`` with the highest recall, of equal ones the first in that order."""
     base = recalls.where(F.col("name") == baseline).select(F.col("recall").alias("_base"))
-    best = recalls.agg(F.max_by("name", F.struct("recall", "name")).alias("_best"))
+    place = F.array_position(F.array(*map(F.lit, headline)), F.col("name"))
+    best = recalls.where(place > 0).agg(F.max_by("name", F.struct("recall", -place)).alias("_best"))
     return recalls.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(best)).select("name", "recall", (F.col("recall") - F.col("_base")).alias("delta"), (F.col("name") == F.col("_best")).alias("best"))
 
 

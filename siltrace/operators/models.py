@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import random
-import time
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.operators.metrics import balanced_weights, log_loss, recall_at_fpr, roc_points
+from siltrace.operators.together import run_together
+from siltrace.session import stored
 
 #: Published search ranges (fixed values), as far as Spark has them. Spark's trees stop at depth 30
 #: where 40 is published; it has no least size of a node that is split (10 to 50), so half of it is
@@ -24,6 +25,8 @@ RANGES = {
     "forest": {"trees": [100, 200], "depth": [10, 30], "leaf": [5, 25]},
     "boosted": {"depth": [8, 9], "rate": [0.01, 0.09], "leaf": [100, 200]},
 }
+#: Boosting rounds, where none are given (the published trainer's default).
+ROUNDS = 100
 #: Days of the published window sweep.
 WINDOWS = [1, 7, 14, 30, 60, 90]
 
@@ -44,7 +47,7 @@ def _stages(kind: str, features: list[str], params: dict, n: int) -> list:
     if kind == "forest":
         model = RandomForestClassifier(**put, numTrees=params.get("trees", 100), maxDepth=min(30, params.get("depth", 10)), minInstancesPerNode=params.get("leaf", 1), seed=42)
     else:
-        model = GBTClassifier(**put, maxDepth=params.get("depth", 5), stepSize=params.get("rate", 0.1), minInstancesPerNode=params.get("leaf", 20), maxIter=params.get("rounds", 150), seed=42)
+        model = GBTClassifier(**put, maxDepth=params.get("depth", 5), stepSize=params.get("rate", 0.1), minInstancesPerNode=params.get("leaf", 20), maxIter=params.get("rounds", ROUNDS), seed=42)
     return [VectorAssembler(inputCols=features, outputCol="_x"), model]
 
 
@@ -89,20 +92,42 @@ def drawn(kind: str, n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def tune(train_rows: DataFrame, validation: DataFrame, features: list[str], kind: str = "boosted", trials: int = 50, target_fpr: float = 0.2, seed: int = 42, timeout: float | None = None) -> tuple[PipelineModel, dict, float]:
-    """The model, parameters and validation recall of the best of ``trials`` draws."""
+def _recall(model, rows: DataFrame, target_fpr: float) -> float | None:
+    """Recall of a fitted last stage on rows with a vector ``_x``; null without both labels."""
+    found = model.transform(rows).select("label", vector_to_array("probability")[1].alias("score"))
+    got = recall_at_fpr(roc_points(found), target_fpr).first()
+    return got[0] if got else None
+
+
+def _best(spark, fits: list, draws: list[dict], parallel: int, timeout: float | None):
+    """(result, parameters, recall) of the best draw that ended in time; ``fits`` give (result, recall).
+
+    The first of several equal ones counts. If none ends in time, the first draw is fitted without limit.
+    """
+    ended = [(o.value, p) for o, p in zip(run_together(spark, fits, parallel, timeout, "tuning"), draws) if not o.late]
+    if not ended:
+        ended = [(fits[0](), draws[0])]
+    (result, recall), params = max(ended, key=lambda x: x[0][1] or 0.0)
+    return result, params, recall or 0.0
+
+
+def tune(train_rows: DataFrame, validation: DataFrame, features: list[str], kind: str = "boosted", trials: int = 50, target_fpr: float = 0.2, seed: int = 42, timeout: float | None = None, parallel: int = 4) -> tuple[PipelineModel, dict, float]:
+    """The model, parameters and validation recall of the best of ``trials`` draws.
+
+    ``parallel`` fits run at a time; those that run when ``timeout`` seconds are over are cancelled.
+    """
     train_rows, validation = train_rows.persist(), validation.persist()
-    best, began = None, time.monotonic()
-    for params in drawn(kind, trials, seed):
+
+    def fit(params):
         model = train(train_rows, features, kind, params)
-        recall = recall_at_fpr(roc_points(scored(model, validation, features)), target_fpr).first()[0]
-        if best is None or (recall or 0) > best[2]:
-            best = (model, params, recall or 0.0)
-        if timeout and time.monotonic() - began > timeout:
-            break
-    train_rows.unpersist()
-    validation.unpersist()
-    return best
+        return model, recall_at_fpr(roc_points(scored(model, validation, features)), target_fpr).first()[0]
+
+    draws = drawn(kind, trials, seed)
+    try:
+        return _best(train_rows.sparkSession, [lambda p=p: fit(p) for p in draws], draws, parallel, timeout)
+    finally:
+        train_rows.unpersist()
+        validation.unpersist()
 
 
 def importances(model: PipelineModel, features: list[str], spark) -> DataFrame:
@@ -144,35 +169,88 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
     return spark.createDataFrame(out, "feature string, importance double")
 
 
-def ablation(splits: dict[str, DataFrame], sets: dict[str, list[str]], kind: str = "boosted", trials: int = 5, target_fpr: float = 0.2) -> DataFrame:
-    """``name, recall`` on the test split for each named list of columns."""
-    spark, out = splits["train"].sparkSession, []
-    for name, features in sets.items():
-        model, _, _ = tune(splits["train"], splits["validation"], features, kind, trials, target_fpr)
-        out.append((name, recall_at_fpr(roc_points(scored(model, splits["test"], features)), target_fpr).first()[0]))
-    return spark.createDataFrame(out, "name string, recall double")
+def ablation(splits: dict[str, DataFrame], sets: dict[str, list[str]], kind: str = "boosted", trials: int = 5, target_fpr: float = 0.2, timeout: float | None = None, parallel: int = 4) -> DataFrame:
+    """``name, recall`` on the test split for each named list of columns, each tuned by ``trials`` draws.
+
+    Fits of all sets share the ``parallel`` threads and the time limit.
+    """
+    spark, draws = splits["train"].sparkSession, drawn(kind, trials)
+    held = {k: v.persist() for k, v in splits.items()}
+
+    def recall(model, features, split):
+        return recall_at_fpr(roc_points(scored(model, held[split], features)), target_fpr).first()[0]
+
+    def fit(features, params):
+        model = train(held["train"], features, kind, params)
+        return model, recall(model, features, "validation")
+
+    try:
+        fits = [(name, lambda f=f, p=p: fit(f, p)) for name, f in sets.items() for p in draws]
+        ended = run_together(spark, [f for _, f in fits], parallel, timeout, "ablation")
+        best = {}
+        for name in sets:
+            tried = [o.value for (n, _), o in zip(fits, ended) if n == name and not o.late] or [fit(sets[name], draws[0])]
+            best[name] = max(tried, key=lambda x: x[1] or 0.0)[0]
+        out = run_together(spark, [lambda n=n: recall(best[n], sets[n], "test") for n in sets], parallel, name="ablation")
+    finally:
+        for df in held.values():
+            df.unpersist()
+    return spark.createDataFrame([(n, o.value) for n, o in zip(sets, out)], "name string, recall double")
+
+
+def sweep_table(rows: DataFrame, degrees: DataFrame, profiles: list[str]) -> DataFrame:
+    """``label, split, w, _x``: every row's vector once for each window, in a folder for each window and label.
+
+    ``degrees`` are the degree features of every account and day of ``rows`` once for each window ``w``. A pair of
+    windows is read from two of the folders, so no feature is computed or joined twice.
+    """
+    names = profiles + [c for c in degrees.columns if c not in ("account_id", "day", "w")]
+    joined = rows.join(degrees, ["account_id", "day"]).withColumns({c: F.col(c).cast("double") for c in names})
+    x = VectorAssembler(inputCols=names, outputCol="_x").transform(_without_nulls(joined, "boosted", names))
+    return stored(x.select("label", "split", "w", "_x"), "sweep", ["w", "label"])
+
+
+ROWS_A_TASK = 50_000  # of a training set; fewer tasks than that leaves only pay for being started
 
 
-def window_sweep(rows: DataFrame, degrees: DataFrame, profiles: list[str], grid: list[int] = WINDOWS, kind: str = "boosted", params: dict | None = None, target_fpr: float = 0.2) -> DataFrame:
-    """``tws, twl, recall`` on the test split of a model refit with ``params`` for each pair of windows.
+def window_sweep(rows: DataFrame, degrees: DataFrame, profiles: list[str], grid: list[int] = WINDOWS, kind: str = "boosted", params: dict | None = None, target_fpr: float = 0.2, reference: int = 60, trials: int = 30, timeout: float | None = 180, parallel: int = 8, rounds: int = ROUNDS) -> DataFrame:
+    """``tws, twl, recall`` on the test split of a tree model refit for each pair of windows.
 
-    ``degrees`` are the degree features of every account and day once for each window ``w`` of
-    ``grid``. Suspicious ``rows`` (with ``label`` and ``split``) take theirs at ``tws``, the
-    others at ``twl``; ``profiles`` are their other columns to train on.
+    Suspicious ``rows`` (with ``label`` and ``split``) take their degree features at ``tws``, the others at
+    ``twl``. Parameters are tuned once, at the window ``reference`` for both (``trials`` draws, scored on the
+    validation split, those unfinished after ``timeout`` seconds cancelled), unless ``params`` gives
+    them. Then ``parallel`` pairs are fitted at a time.
     """
-    own = [c for c in degrees.columns if c not in ("account_id", "day", "w")]
-    spark, out = rows.sparkSession, []
-    for tws in grid:
-        for twl in grid:
-            cell = rows.withColumn("w", F.when(F.col("label"), tws).otherwise(twl)).join(degrees, ["account_id", "day", "w"]).persist()
-            model = train(cell.where("split = 'train'"), profiles + own, kind, params)
-            recall = recall_at_fpr(roc_points(scored(model, cell.where("split = 'test'"), profiles + own)), target_fpr).first()
-            out.append((tws, twl, recall[0] if recall else None))
-            cell.unpersist()
-    return spark.createDataFrame(out, "tws int, twl int, recall double")
+    spark, table = rows.sparkSession, sweep_table(rows, degrees, profiles)
+    some = table.where((F.col("w") == grid[0]) & (F.col("split") == "train")).groupBy("label").count().collect()
+    n = {r["label"]: r["count"] for r in some}
+    weight = F.when(F.col("label"), sum(n.values()) / (2 * n.get(True, 1))).otherwise(sum(n.values()) / (2 * n.get(False, 1)))
+    parts = max(1, -(-sum(n.values()) // ROWS_A_TASK))
+
+    def cell(tws: int, twl: int, split: str) -> DataFrame:
+        mine = table.where((F.col("label") & (F.col("w") == tws)) | (~F.col("label") & (F.col("w") == twl))).where(F.col("split") == split)
+        return mine.select("label", F.col("label").cast("double").alias("_y"), weight.alias("_weight"), "_x").coalesce(parts)
+
+    def fit(tws: int, twl: int, given: dict, split: str) -> float | None:
+        model = _stages(kind, [], {"rounds": rounds, **given}, 0)[-1].fit(cell(tws, twl, "train"))
+        return _recall(model, cell(tws, twl, split), target_fpr)
+
+    if params is None:
+        draws = drawn(kind, trials)
+        tuned = [lambda p=p: (None, fit(reference, reference, p, "validation")) for p in draws]
+        _, params, _ = _best(spark, tuned, draws, parallel, timeout)
+    pairs = [(tws, twl) for tws in grid for twl in grid]
+    recalls = run_together(spark, [lambda p=p: fit(*p, params, "test") for p in pairs], parallel, name="sweep")
+    return spark.createDataFrame([(*p, o.value) for p, o in zip(pairs, recalls)], "tws int, twl int, recall double")
 
 
 def save(model: PipelineModel, path: str, name: str, features: list[str]) -> None:
     """The model, and its name and columns as a one-row JSON table beside it."""
     model.write().overwrite().save(f"{path}/model")
     SparkSession.active().createDataFrame([(name, json.dumps(features))], "name string, features string").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+
+
+def load(path: str) -> tuple[PipelineModel, str, list[str]]:
+    """What ``save`` wrote: the model, its name and its columns in order."""
+    row = SparkSession.active().read.schema("name string, features string").json(f"{path}/columns").first()
+    return PipelineModel.load(f"{path}/model"), row["name"], json.loads(row["features"])

@@ -30,12 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Prefer this to ``checkpoint`` for wide rows: Parquet is compressed and later reads are
-    column-pruned, while a checkpoint holds raw rows.
+    column-pruned, while a checkpoint holds raw rows. With ``by``, folders of those columns' values
+    let later filters on them skip the rest.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

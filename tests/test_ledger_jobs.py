@@ -167,52 +167,3 @@ def test_empty_ledger(spark):
     assert graph.live_edge_counts(x, 3).count() == 0
     assert typologies.layering(x).count() == 0
     assert L.until(x, "2024-01-02").select(F.col("txn_id")).count() == 0
-
-
-def test_window_sweep_refits_for_each_pair(spark):
-    from siltrace.operators import metrics, models
-
-    # the label is in the degree at window 7 of suspicious rows only
-    rows = [(f"A{k}", k, k % 3 == 0, ("train", "test")[k % 2], float(k % 5)) for k in range(120)]
-    frame = spark.createDataFrame(rows, "account_id string, day int, label boolean, split string, p double")
-    known = [(a, d, w, float(w == 7 and y) + d % 4 / 100) for a, d, y, _, _ in rows for w in (1, 7)]
-    degrees = spark.createDataFrame(known, "account_id string, day int, w int, in_degree double")
-    got = {(r.tws, r.twl): r.recall for r in models.window_sweep(frame, degrees, ["p"], [1, 7], "glm").collect()}
-    assert set(got) == {(1, 1), (1, 7), (7, 1), (7, 7)}
-    assert got[7, 1] == got[7, 7] == 1.0
-    for (tws, twl), recall in got.items():
-        cell = frame.withColumn("w", F.when(F.col("label"), tws).otherwise(twl)).join(degrees, ["account_id", "day", "w"])
-        model = models.train(cell.where("split = 'train'"), ["p", "in_degree"], "glm")
-        assert recall == metrics.recall_at_fpr(metrics.roc_points(models.scored(model, cell.where("split = 'test'"), ["p", "in_degree"])), 0.2).first()[0]
-    assert got[1, 1] < 1.0
-
-
-def test_queries_use_the_operators_full_settings(spark, monkeypatch):
-    from siltrace.jobs import queries as Q
-
-    called = {}
-    empty = spark.createDataFrame([], "account_id string, day int, label boolean, split string")
-    monkeypatch.setattr(Q, "_rows", lambda *_: empty)
-    monkeypatch.setattr(Q.ML, "train", lambda *a: called.setdefault("train", a))
-    monkeypatch.setattr(Q.ML, "permutation_importance", lambda model, rows, features, **k: called.setdefault("p9", (features, k)))
-    monkeypatch.setattr(Q.ML, "scored", lambda model, rows, features: rows.withColumns({"date": F.lit(0), "score": F.lit(0.0)}))
-    Q.m3_m16_stage1_scores(spark, "")
-    assert called.pop("train")[3]["rounds"] == 150
-    Q.p9_permutation_importance(spark, "")
-    assert called["p9"] == (Q.FEATURES, {})
-
-
-def test_full_walks_use_the_published_counts(spark, monkeypatch):
-    from siltrace.jobs import queries as Q
-
-    class Fake:
-        ledger = targets = illicit = spark.range(1)
-
-        def __init__(self, *_):
-            pass
-
-    seen = {}
-    monkeypatch.setattr(Q, "Ledger", Fake)
-    monkeypatch.setattr(Q.WK, "random_walks", lambda t, led, bad, w, n_walks=50, max_steps=20, seed=42: seen.setdefault("walks", (n_walks, max_steps)))
-    monkeypatch.setattr(Q.WK, "walk_summary", lambda t, hits, n: n)
-    assert Q.w1_full_walks(spark, "") == 50 and seen["walks"] == (50, 20)
