@@ -241,14 +241,14 @@ def g1_snapshot(spark, sf):
 @query
 def g2_neighbours(spark, sf):
     x = Ledger(spark, sf)
-    near = G.neighbours(x.targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w"), G.incident(x.ledger), W)
+    near = G.neighbours(x.targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w"), G.incident(x.ledger))
     return near.groupBy("node", "at").agg(F.array_join(F.sort_array(F.collect_set("nbr")), ",").alias("neighbours"))
 
 
 @query
 def g3_g4_degrees(spark, sf):
     x = Ledger(spark, sf)
-    return G.degrees(x.targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w"), G.incident(x.ledger), W)
+    return G.degrees(x.targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w"), G.incident(x.ledger))
 
 
 @query
@@ -259,7 +259,7 @@ def g5_live_edges(spark, sf):
 @query
 def g6_degree_features(spark, sf):
     x = Ledger(spark, sf)
-    return G.degree_features(x.targets, x.ledger, W)
+    return G.degree_features(x.targets, x.ledger)
 
 
 @query
@@ -426,7 +426,7 @@ def m9_roc_auc(spark, sf):
 def m10_assembled(spark, sf):
     x = Ledger(spark, sf)
     bad = checkpoint(x.illicit)
-    got = M.assembled(P.profile_features(x.account_day, x.ledger), G.degree_features(x.targets, x.ledger, W), _walks(x, bad), _walks(x, bad, "gwd"))
+    got = M.assembled(P.profile_features(x.account_day, x.ledger), G.degree_features(x.targets, x.ledger), _walks(x, bad), _walks(x, bad, "gwd"))
     return got.select("account_id", "day", "label", "sent_sum_1w", "received_count_1d", "in_degree", "nbr_in_degree_mean", "gw_hit_rate", "gwd_n_distinct")
 
 
@@ -446,7 +446,7 @@ def _cells(x: Ledger) -> DataFrame:
     edges = checkpoint(G.incident(x.ledger))
     t = checkpoint(x.alerts.select("account_id", F.datediff("date", F.lit(L.BASE_DATE).cast("date")).alias("day"), F.col("any_true_positive").alias("label")))
     at = t.select(F.col("account_id").alias("node"), F.col("day").alias("at"), F.explode(F.array(*map(F.lit, GRID))).alias("w"))
-    known = checkpoint(t.join(G.degrees(at, edges, max(GRID)).withColumnRenamed("node", "account_id").withColumnRenamed("at", "day"), ["account_id", "day"]).select("label", "w", (F.col("in_degree") + F.col("out_degree")).cast("double").alias("score")))
+    known = checkpoint(t.join(G.degrees(at, edges).withColumnRenamed("node", "account_id").withColumnRenamed("at", "day"), ["account_id", "day"]).select("label", "w", (F.col("in_degree") + F.col("out_degree")).cast("double").alias("score")))
     cells = None
     for tws in GRID:
         for twl in GRID:
@@ -550,7 +550,7 @@ def q11_degree_medians(spark, sf):
     x = Ledger(spark, sf)
     role = x.involved.groupBy("account_id").agg(F.min("role").alias("role"))
     grp = x.accounts.join(role, "account_id", "left").select("account_id", F.coalesce("role", F.when(F.col("persona") != "high_volume_merchant", "legit")).alias("grp")).where("grp is not null")
-    return Q.degree_medians(G.degree_features(x.targets, x.ledger, W), grp)
+    return Q.degree_medians(G.degree_features(x.targets, x.ledger), grp)
 
 
 @query
@@ -588,9 +588,10 @@ def t4_round_trips(spark, sf):
 @query
 def t5_pattern_roles(spark, sf):
     x = Ledger(spark, sf).ledger
-    smurfs, fans = T.smurfing(x, **SMURF), T.fan_out_fan_in(x, min_intermediates=2)
+    graph = T.hops(x)  # one for all three shapes that are made of hops
+    smurfs, fans = T.smurfing(x, **SMURF), T.fan_out_fan_in(x, min_intermediates=2, graph=graph)
     payers = T.mules(x, smurfs, SMURF["low"], SMURF["high"])
-    return T.pattern_roles(smurfs, payers, T.layering(x), T.fan_roles(x, fans), T.round_trips(x)).groupBy("pattern_type", "role").agg(F.countDistinct("pattern_id").alias("patterns"), F.countDistinct("account_id").alias("accounts"))
+    return T.pattern_roles(smurfs, payers, T.layering(x, graph=graph), T.fan_roles(x, fans, graph=graph), T.round_trips(x, graph=graph)).groupBy("pattern_type", "role").agg(F.countDistinct("pattern_id").alias("patterns"), F.countDistinct("account_id").alias("accounts"))
 
 
 def _stream(spark, sf, held=None) -> DataFrame:
@@ -641,7 +642,7 @@ FEATURES = ["sent_sum_1d", "sent_count_1w", "received_sum_1d", "received_count_1
 
 def _rows(spark, sf) -> DataFrame:
     x = Ledger(spark, sf)
-    rows = P.profile_features(x.account_day, x.ledger).join(G.degree_features(x.targets, x.ledger, W).drop("w"), ["account_id", "day"])
+    rows = P.profile_features(x.account_day, x.ledger).join(G.degree_features(x.targets, x.ledger).drop("w"), ["account_id", "day"])
     return checkpoint(M.temporal_split(rows.select("account_id", "date", "day", "label", *FEATURES)))
 
 
@@ -663,7 +664,7 @@ def m6_m11_ablation(spark, sf):
     """The six published feature sets with all their columns, each tuned by three draws of the linear model."""
     x = Ledger(spark, sf)
     bad, late = checkpoint(x.illicit), checkpoint(Y.hybrid_illicit(x.scored, 7, 0.8))
-    rows = checkpoint(M.temporal_split(M.assembled(P.profile_features(x.account_day, x.ledger), G.degree_features(x.targets, x.ledger, W), _walks(x, bad), _walks(x, late, "gwd"))))
+    rows = checkpoint(M.temporal_split(M.assembled(P.profile_features(x.account_day, x.ledger), G.degree_features(x.targets, x.ledger), _walks(x, bad), _walks(x, late, "gwd"))))
     kinds = {k: [c for c in rows.columns if c.startswith(k)] for k in (("sent_", "received_"), ("in_", "out_", "nbr_"), ("gw_",), ("gwd_",))}
     profiles, degrees, gw, gwd = kinds.values()
     sets = {"profiles": profiles, "profiles+degrees": profiles + degrees, "profiles+GW": profiles + gw, "profiles+degrees+GW": profiles + degrees + gw, "profiles+degrees+GWd": profiles + degrees + gwd, "profiles+GWd": profiles + gwd}
@@ -693,7 +694,7 @@ def sweep_inputs(spark, sf, grid: list[int]):
     names = [c for c in profiles.columns if c not in ("account_id", "date", "day", "label")]
     rows = checkpoint(M.temporal_split(profiles))
     targets = rows.select("account_id", "day", F.explode(F.array(*map(F.lit, grid))).alias("w"))
-    return rows, checkpoint(G.degree_features(targets, x.ledger, max(grid))), names
+    return rows, checkpoint(G.degree_features(targets, x.ledger)), names
 
 
 @query

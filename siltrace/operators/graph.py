@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.operators.components import connected_components
-from siltrace.session import checkpoint
+from siltrace.session import checkpoint, stored
 from siltrace.sources.ledger import both_sides, cents, normalised, with_days
 
 MEASURES = ("in_degree", "out_degree", "in_weight", "out_weight")
@@ -19,17 +19,35 @@ def incident(ledger: DataFrame) -> DataFrame:
     return sides.groupBy(F.col("account_id").alias("node"), F.col("counterparty").alias("nbr"), (F.col("role") == "sent").alias("out"), "day").agg(F.sum(cents()).alias("c"))
 
 
-def live(targets: DataFrame, edges: DataFrame, max_window: int) -> DataFrame:
-    """Edges of each target ``node, at, w`` that are live at day ``at``.
+def stretches(edges: DataFrame, windows: DataFrame, *by: str) -> DataFrame:
+    """``*by, w, first, last``: the runs of days on which an edge is live, for each window of ``windows``.
 
-    An interval join as an equi-join: days are cut into buckets of ``max_window + 1``, and a
-    target looks into the two buckets at most that its window can touch. A hub's history is
-    spread over buckets.
+    A transfer keeps its edge live from its day to ``w`` days later; runs that touch or overlap are one. The
+    window sees one row for each edge and day.
     """
-    size = max_window + 1
-    b = targets.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("at") / size), F.floor((F.col("at") - F.col("w")) / size)))))
-    e = edges.withColumn("_b", F.floor(F.col("day") / size))
-    return b.join(e, ["node", "_b"]).where((F.col("day") <= F.col("at")) & (F.col("day") >= F.col("at") - F.col("w"))).drop("_b")
+    days = edges.select(*by, "day").distinct().crossJoin(F.broadcast(windows))
+    order = W.partitionBy(*by, "w").orderBy("day")
+    gap = F.coalesce(F.col("day") - F.lag("day").over(order) > F.col("w") + 1, F.lit(True))
+    run = days.withColumn("_gap", gap).withColumn("_run", F.sum(F.col("_gap").cast("int")).over(order))
+    return run.groupBy(*by, "w", "_run").agg(F.min("day").alias("first"), (F.max("day") + F.col("w")).alias("last")).drop("_run")
+
+
+def _windows(targets: DataFrame) -> DataFrame:
+    """The different windows of the targets: whole days, so no more rows than the longest has days."""
+    return targets.select("w").distinct()
+
+
+def neighbours(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct ``node, at, w, nbr`` of targets, either way, by runs of days.
+
+    A run lies in each bucket of ``w + 1`` days that it touches, and a target in one, so a hub's runs
+    meet its targets a bucket at a time, and a pair of them meets once.
+    """
+    b = lambda day: F.floor(F.col(day) / (F.col("w") + 1))
+    asked = edges.join(targets.select("node").distinct(), "node", "left_semi")
+    runs = stretches(asked, _windows(targets), "node", "nbr").withColumn("_b", F.explode(F.sequence(b("first"), b("last"))))
+    met = targets.withColumn("_b", b("at")).join(runs, ["node", "w", "_b"])
+    return met.where(F.col("at").between(F.col("first"), F.col("last"))).select("node", "at", "w", "nbr")
 
 
 def snapshot_edges(ledger: DataFrame, at: DataFrame, w: int) -> DataFrame:
@@ -39,31 +57,41 @@ def snapshot_edges(ledger: DataFrame, at: DataFrame, w: int) -> DataFrame:
     return with_days(ledger).withColumn("_b", F.floor(F.col("day") / size)).join(days, "_b").where((F.col("day") <= F.col("at")) & (F.col("day") >= F.col("at") - w)).select("at", "sender_id", "receiver_id", "day", "amount")
 
 
-def neighbours(targets: DataFrame, edges: DataFrame, max_window: int) -> DataFrame:
-    """Distinct ``node, at, w, nbr``, either way."""
-    return live(targets, edges, max_window).select("node", "at", "w", "nbr").distinct()
-
-
-def degrees(targets: DataFrame, edges: DataFrame, max_window: int) -> DataFrame:
-    """The four measures of each target; 0 without edges. Pairs are summed before nodes."""
-    pair = live(targets, edges, max_window).groupBy("node", "at", "w", "nbr", "out").agg(F.sum("c").alias("c"))
-    of = lambda out, v: F.sum(F.when(F.col("out") == out, v).otherwise(0))
-    got = pair.groupBy("node", "at", "w").agg(of(False, F.lit(1)).alias("in_degree"), of(True, F.lit(1)).alias("out_degree"), (of(False, F.col("c")) / 100).alias("in_weight"), (of(True, F.col("c")) / 100).alias("out_weight"))
-    zero = {m: F.coalesce(m, F.lit(0 if "degree" in m else 0.0)) for m in MEASURES}
-    return targets.join(got, ["node", "at", "w"], "left").withColumns(zero)
+def degrees(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The four measures of each target ``node, at, w``; 0 without edges.
 
-
-def degree_features(targets: DataFrame, ledger: DataFrame, max_window: int) -> DataFrame:
+    A sweep over events instead of a join of targets with days: an edge adds one to a degree when a run of
+    its days begins and takes it off after the run; a day's cents come and go with the window. A node's
+    running sums, over one row for each day on which something changes or is asked, give every
+    target's measures. So the cost follows edges and targets, not targets times days.
+    """
+    asked = edges.join(targets.select("node").distinct(), "node", "left_semi")
+    windows = _windows(targets)
+    runs = stretches(asked, windows, "node", "nbr", "out")
+    none = F.lit(0).cast("bigint")
+    event = lambda day, d, c: F.struct(day.cast("int").alias("at"), d.cast("bigint").alias("d"), c.cast("bigint").alias("c"))
+    came = runs.select("node", "w", "out", F.explode(F.array(event(F.col("first"), F.lit(1), none), event(F.col("last") + 1, F.lit(-1), none))).alias("e"))
+    paid = asked.crossJoin(F.broadcast(windows)).select("node", "w", "out", F.explode(F.array(event(F.col("day"), none, F.col("c")), event(F.col("day") + F.col("w") + 1, none, -F.col("c")))).alias("e"))
+    way = lambda out, v: F.when(F.col("out") == out, F.col(v)).otherwise(none)
+    names = {"in_degree": way(False, "e.d"), "out_degree": way(True, "e.d"), "in_weight": way(False, "e.c"), "out_weight": way(True, "e.c")}
+    changes = came.unionByName(paid).select("node", "w", F.col("e.at").alias("at"), *[v.alias(k) for k, v in names.items()], F.lit(False).alias("_asked"))
+    marks = targets.select("node", "w", F.col("at").cast("int").alias("at"), *[none.alias(k) for k in names], F.lit(True).alias("_asked"))
+    per = changes.unionByName(marks).groupBy("node", "w", "at").agg(*[F.sum(k).alias(k) for k in names], F.max("_asked").alias("_asked"))
+    run = W.partitionBy("node", "w").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    got = per.select("node", "at", "w", "_asked", *[F.sum(k).over(run).alias(k) for k in names]).where("_asked")
+    return got.select("node", "at", "w", "in_degree", "out_degree", (F.col("in_weight") / 100).alias("in_weight"), (F.col("out_weight") / 100).alias("out_weight"))
+
+
+def degree_features(targets: DataFrame, ledger: DataFrame) -> DataFrame:
     """Own measures of ``account_id, day, w``, and mean, min and max over its neighbours' ones.
 
-    Each distinct (node, day) is computed once, however many targets it neighbours; without
-    neighbours the twelve statistics are null.
+    The ledger is read once, into a table of edges and days. Each distinct (node, day) is asked for once, however many
+    targets it neighbours; without neighbours the twelve statistics are null.
     """
-    edges = incident(ledger)
-    t = targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w").distinct()
-    near = neighbours(t, edges, max_window)
-    asked = t.unionByName(near.select(F.col("nbr").alias("node"), "at", "w")).distinct()
-    known = degrees(asked, edges, max_window)
+    edges = stored(incident(ledger), "incident")
+    t = stored(targets.select(F.col("account_id").alias("node"), F.col("day").alias("at"), "w").distinct(), "asked")
+    near = stored(neighbours(t, edges), "near")
+    known = stored(degrees(t.unionByName(near.select(F.col("nbr").alias("node"), "at", "w")).distinct(), edges), "degrees")
     around = near.join(known.withColumnRenamed("node", "nbr"), ["nbr", "at", "w"])
     mean = lambda m: F.avg(m) if "degree" in m else F.avg(cents(m)) / 100  # noqa: E731  exact in any order
     stats = around.groupBy("node", "at", "w").agg(*[f(m).alias(f"nbr_{m}_{n}") for m in MEASURES for n, f in (("mean", mean), ("min", F.min), ("max", F.max))])
@@ -74,7 +102,7 @@ def degree_features(targets: DataFrame, ledger: DataFrame, max_window: int) -> D
 def dual_window_degrees(account_day: DataFrame, ledger: DataFrame, legit: int, suspicious: int) -> DataFrame:
     """``degree_features`` with the window chosen by each row's label."""
     t = account_day.select("account_id", "day", F.when(F.col("label"), suspicious).otherwise(legit).alias("w"))
-    return degree_features(t, ledger, max(legit, suspicious))
+    return degree_features(t, ledger)
 
 
 def live_edge_counts(ledger: DataFrame, w: int) -> DataFrame:

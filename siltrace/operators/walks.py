@@ -34,7 +34,7 @@ def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: i
         need = now.select(F.col("current").alias("node"), F.col("day").alias("at")).distinct()
         if lists is not None:
             need = need.join(lists.select("node", "at"), ["node", "at"], "left_anti")
-        fresh = neighbours(need.withColumn("w", F.lit(w)), edges, w).groupBy("node", "at").agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
+        fresh = neighbours(need.withColumn("w", F.lit(w)), edges).groupBy("node", "at").agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
         lists = checkpoint(fresh if lists is None else lists.unionByName(fresh))
         near = lists.select(F.col("node").alias("current"), F.col("at").alias("day"), "nbrs")
         at = pick(F.size("nbrs"), F.lit(seed), F.col("account_id"), F.col("day"), F.col("walk"), F.lit(step))
