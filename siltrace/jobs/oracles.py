@@ -217,16 +217,19 @@ def oracle_sql() -> dict[str, str]:
         "g6_degree_features": sql("alerts inc", "SELECT * FROM ft", near),
         "g7_dual_window_degrees": sql("alerts inc", "SELECT * FROM ft", f"tg AS (SELECT DISTINCT account_id AS node, day AS at, CASE WHEN any_true_positive THEN 3 ELSE 14 END AS w FROM alerts), {_features('tg')}"),
         "g8_degree_histogram": sql("sides", "SELECT degree, count(*) AS accounts FROM (SELECT account_id, count(DISTINCT counterparty) AS degree FROM sides GROUP BY 1) GROUP BY 1"),
-        "g9_hop_distances": sql("illicit", "SELECT account_id, distance FROM ds", _BFS, True),
+        "g9_hop_distances": sql("illicit", "SELECT account_id, distance FROM (SELECT a AS account_id FROM adj UNION SELECT account_id FROM illicit) LEFT JOIN ds USING (account_id)", _BFS, True),
         "g10_sar_components": sql("sides", "SELECT component, count(*) AS size FROM (SELECT a, min(b) AS component FROM rc GROUP BY a) GROUP BY 1", "rc AS (SELECT account_id AS a, account_id AS b FROM sides WHERE is_sar UNION SELECT rc.a, s.counterparty FROM rc JOIN sides s ON s.account_id = rc.b AND s.is_sar)", True),
         "g11_chain_order": sql("ledger", """SELECT pattern_id, string_agg(a, ',' ORDER BY k, a) AS accounts FROM (SELECT pattern_id, a, min(k) AS k FROM (SELECT pattern_id, receiver_id AS a, n AS k FROM o UNION ALL SELECT pattern_id, sender_id, 0 FROM o WHERE n = 1) GROUP BY ALL) GROUP BY 1""",
             "o AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY timestamp, txn_id) AS n FROM ledger WHERE is_sar)"),
         "w1_random_walks": sql("illicit inc", "SELECT account_id, day, walk, length, hit FROM hit", _walks(), True),
+        "w1_day_walks": sql("illicit inc", "SELECT account_id, day, walk, length, hit FROM hit", _walks(), True),
+        "w1_full_walks": sql("illicit inc", "SELECT * FROM gwt", f"{_walks(n=50, steps=20)}, {_summary(n=50)}", True),
         "w2_w4_walk_features": sql("illicit inc", "SELECT * FROM gwt", f"{_walks()}, {_summary()}", True),
         "w3_illicit_starts": sql("illicit", "SELECT DISTINCT account_id, day, 0 AS gw_min, 0 AS gw_max, 0.0::DOUBLE AS gw_mean, 0.0::DOUBLE AS gw_median, 0.0::DOUBLE AS gw_std, 0.0::DOUBLE AS gw_p25, 0.0::DOUBLE AS gw_p75, 1.0::DOUBLE AS gw_hit_rate, 1::BIGINT AS gw_n_distinct FROM alerts WHERE account_id IN (SELECT account_id FROM illicit)"),
         "w5_delay_aware_walks": sql("scored inc", "SELECT * FROM gwt", f"hy AS MATERIALIZED (SELECT DISTINCT account_id FROM scored, (SELECT max(date) AS m FROM scored) WHERE (label AND date < m - 7) OR (date >= m - 7 AND score > 0.8)), {_walks('hy')}, {_summary('gwd')}", True),
         "w6_separation": sql("illicit scored inc", "SELECT h.*, h.suspicious - h.legit AS separation, r.suspicious - r.legit AS reference, (h.suspicious - h.legit) / nullif(r.suspicious - r.legit, 0) AS share FROM med7 h, medt r", f"{_FAIR}, ht AS (SELECT account_id FROM illicit), {_hybrid(7)}, {_fair('t')}, {_fair('7')}", True),
-        "w7_by_distance": sql("illicit inc", "SELECT *, median_hit_rate <= lag(median_hit_rate) OVER (ORDER BY distance) AS falls FROM (SELECT distance, count(*) AS accounts, median(gw_hit_rate) AS median_hit_rate, median(gw_mean) AS median_length FROM (SELECT * FROM (SELECT * FROM gwt QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY day DESC) = 1) JOIN ds USING (account_id) WHERE distance BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY distance ORDER BY md5(account_id), account_id) <= 15) GROUP BY 1)", f"{_walks()}, {_summary()}, {_BFS}", True),
+        "w7_by_distance": sql("illicit inc", "SELECT *, median_hit_rate <= lag(median_hit_rate) OVER (ORDER BY distance) AS falls FROM (SELECT distance, count(*) AS accounts, median(gw_hit_rate) AS median_hit_rate, median(gw_mean) AS median_length FROM gwt JOIN pk USING (account_id) GROUP BY 1)",
+            f"{_BFS}, pk AS MATERIALIZED (SELECT * FROM ds WHERE distance BETWEEN 1 AND 4 QUALIFY row_number() OVER (PARTITION BY distance ORDER BY md5(account_id), account_id) <= 15), {_walks().replace(_TARGETS, 'tg AS (SELECT account_id AS node, (SELECT max(day) FROM ledger) AS at FROM pk)')}, {_summary()}", True),
         "y1_recent": sql("scored", f"SELECT {acct}, score FROM scored WHERE date >= (SELECT max(date) - 7 FROM scored)"),
         "y2_pseudo_labels": sql("scored", f"SELECT {acct}, score > 0.25 AS pseudo_label FROM scored WHERE date >= (SELECT max(date) - 7 FROM scored)"),
         "y3_hybrid_set": sql("scored", "SELECT DISTINCT account_id FROM scored, (SELECT max(date) AS m FROM scored) WHERE (label AND date < m - 7) OR (date >= m - 7 AND score > 0.8)"),

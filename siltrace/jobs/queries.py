@@ -314,6 +314,13 @@ def w1_full_walks(spark, sf):
     return WK.walk_summary(x.targets, WK.random_walks(x.targets, x.ledger, checkpoint(x.illicit), W), 50)
 
 
+@query
+def w1_day_walks(spark, sf):
+    """The walks of ``w1_random_walks`` by one task for each day's snapshot."""
+    x = Ledger(spark, sf)
+    return WK.day_walks(x.targets, x.ledger, checkpoint(x.illicit), W, N_WALKS, STEPS).withColumn("walk", F.col("walk").cast("bigint"))
+
+
 @query
 def w2_w4_walk_features(spark, sf):
     x = Ledger(spark, sf)
@@ -355,9 +362,12 @@ def _fair(x: Ledger):
 
 @query
 def w7_by_distance(spark, sf):
+    """Distances and walks on the last snapshot, of up to 15 accounts at each distance."""
     x = Ledger(spark, sf)
     bad = checkpoint(x.illicit)
-    return WK.by_distance(_walks(x, bad), G.hop_distances(_last_snapshot(x), bad))
+    chosen = checkpoint(WK.at_distances(G.hop_distances(_last_snapshot(x), bad)))
+    targets = chosen.select("account_id").crossJoin(F.broadcast(_day(x.days).withColumnRenamed("at", "day")))
+    return WK.by_distance(WK.walk_summary(targets, WK.random_walks(targets, x.ledger, bad, W, N_WALKS, STEPS), N_WALKS), chosen)
 
 
 @query

@@ -122,11 +122,11 @@ def degree_histogram(degrees_: DataFrame) -> DataFrame:
 
 
 def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """``account_id, distance`` to the nearest of ``targets``, for every account reached.
+    """``account_id, distance`` to the nearest of ``targets``, for every account of the edges and the targets.
 
     One search outward from all targets at once over undirected ``sender_id, receiver_id``;
     it ends when a round reaches nobody new, and raises if ``max_hops`` rounds don't suffice.
-    Accounts that no target reaches are not in the result.
+    Accounts that no target reaches have a null distance.
     """
     both = checkpoint(edges.select(F.explode(F.array(F.struct(F.col("sender_id").alias("a"), F.col("receiver_id").alias("b")), F.struct(F.col("receiver_id").alias("a"), F.col("sender_id").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     known = checkpoint(targets.select("account_id").distinct().withColumn("distance", F.lit(0)))
@@ -134,7 +134,7 @@ def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = 1000) ->
         edge = known.where(F.col("distance") == hop - 1).select(F.col("account_id").alias("a"))
         new = checkpoint(both.join(edge, "a").select(F.col("b").alias("account_id")).distinct().join(known, "account_id", "left_anti").withColumn("distance", F.lit(hop)))
         if new.isEmpty():
-            return known
+            return both.select(F.col("a").alias("account_id")).where("account_id is not null").union(targets.select("account_id")).distinct().join(known, "account_id", "left")
         known = checkpoint(known.unionByName(new))
     raise RuntimeError("some accounts lie farther out; raise max_hops")
 

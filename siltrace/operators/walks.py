@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltrace.operators.graph import incident, neighbours
-from siltrace.session import checkpoint
+from siltrace.operators.graph import incident, stretches
+from siltrace.session import checkpoint, shared_dir, stored
 
 
 def pick(n: Column, *parts: Column) -> Column:
@@ -16,29 +21,48 @@ def pick(n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % n
 
 
+def _runs(ledger: DataFrame, w: int) -> DataFrame:
+    """The runs of days on which two accounts are neighbours, in each bucket of ``w + 1`` days that they touch."""
+    edges = incident(ledger)
+    one = edges.sparkSession.range(1).select(F.lit(w).alias("w"))
+    return stretches(edges, one, "node", "nbr").withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / (w + 1)), F.floor(F.col("last") / (w + 1)))))
+
+
 def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42) -> DataFrame:
     """``account_id, day, walk, length, hit`` of walks that reach ``illicit``.
 
     Each step goes to one of the sorted distinct neighbours on the snapshot of the target's
     day; a walk ends at an illicit account other than its own, at a dead end, or after
     ``max_steps``. A target that is illicit by ``illicit`` without self-exclusion should be
-    handled by the caller: its own account never counts as a hit here. Neighbour lists are
-    made once for each distinct (account, day) that some walk stands on.
+    handled by the caller: its own account never counts as a hit here.
+
+    Neighbours are numbered rows ``node, at, k, nbr``, and places ``node, at, n`` say how many there are. A
+    step draws a number and joins on all three keys, so walks through a busy account spread over its
+    neighbours and no list travels. Rows are made once for each (account, day) that some walk stands on, and
+    each step only adds its own.
     """
-    edges = checkpoint(incident(ledger))
+    spark = ledger.sparkSession
+    runs = stored(_runs(ledger, w), "walk-runs")
     bad = illicit.select(F.col("account_id").alias("next"), F.lit(True).alias("bad")).distinct()
     t = targets.select("account_id", "day").distinct()
     now = checkpoint(t.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1)))).withColumn("current", F.col("account_id")))
-    lists, done = None, None
+    at = {name: f"{shared_dir(spark)}/walk-{name}-{uuid.uuid4().hex}" for name in ("places", "neighbours")}
+    made = lambda name, schema: spark.read.schema(schema).parquet(at[name])
+    node = f"node {runs.schema['node'].dataType.simpleString()}, at int"
+    done = None
     for step in range(1, max_steps + 1):
         need = now.select(F.col("current").alias("node"), F.col("day").alias("at")).distinct()
-        if lists is not None:
-            need = need.join(lists.select("node", "at"), ["node", "at"], "left_anti")
-        fresh = neighbours(need.withColumn("w", F.lit(w)), edges).groupBy("node", "at").agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
-        lists = checkpoint(fresh if lists is None else lists.unionByName(fresh))
-        near = lists.select(F.col("node").alias("current"), F.col("at").alias("day"), "nbrs")
-        at = pick(F.size("nbrs"), F.lit(seed), F.col("account_id"), F.col("day"), F.col("walk"), F.lit(step))
-        moved = now.join(near, ["current", "day"]).select("account_id", "day", "walk", F.element_at("nbrs", (at + 1).cast("int")).alias("next"))
+        if done is not None:
+            need = need.join(made("places", f"{node}, n bigint"), ["node", "at"], "left_anti")
+        met = need.withColumn("_b", F.floor(F.col("at") / (w + 1))).join(runs, ["node", "_b"]).where(F.col("at").between(F.col("first"), F.col("last")))
+        per = W.partitionBy("node", "at")
+        fresh = stored(met.select("node", "at", (F.row_number().over(per.orderBy("nbr")) - 1).cast("bigint").alias("k"), "nbr"), "walk-fresh")
+        fresh.groupBy("node", "at").agg(F.count("*").alias("n")).write.mode("append").parquet(at["places"])
+        fresh.write.mode("append").parquet(at["neighbours"])
+        drawn = now.join(made("places", f"{node}, n bigint").withColumnsRenamed({"node": "current", "at": "day"}), ["current", "day"])
+        k = pick(F.col("n"), F.lit(seed), F.col("account_id"), F.col("day"), F.col("walk"), F.lit(step))
+        to = made("neighbours", f"{node}, k bigint, nbr {runs.schema['nbr'].dataType.simpleString()}").withColumnsRenamed({"node": "current", "at": "day", "nbr": "next"})
+        moved = drawn.withColumn("k", k).join(to, ["current", "day", "k"]).select("account_id", "day", "walk", "next")
         judged = checkpoint(moved.join(bad, "next", "left").withColumn("hit", F.coalesce(F.col("bad"), F.lit(False)) & (F.col("next") != F.col("account_id"))))
         hits = judged.where("hit").select("account_id", "day", "walk", F.lit(step).alias("length"), F.col("next").alias("hit"))
         done = hits if done is None else done.unionByName(hits)
@@ -48,6 +72,51 @@ def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: i
     return done
 
 
+def _walked(day: int, edges, targets, n_walks: int, max_steps: int, seed: int):
+    """All walks of one day over compressed sparse rows of its snapshot, step by step."""
+    edges = edges.sort_values(["node", "nbr"])
+    names = np.unique(np.concatenate([edges["node"].to_numpy(object), targets["account_id"].to_numpy(object)]))
+    offset = np.searchsorted(edges["node"].to_numpy(object), names)
+    degree = np.append(offset[1:], len(edges)) - offset
+    to = np.searchsorted(names, edges["nbr"].to_numpy(object))  # a neighbour has this one as neighbour, so it is a node
+    bad = edges["bad"].to_numpy(bool)
+    own = np.repeat(np.searchsorted(names, targets["account_id"].to_numpy(object)), n_walks)
+    walk = np.tile(np.arange(n_walks), len(targets))
+    current, out = own.copy(), []
+    for step in range(1, max_steps + 1):
+        some = degree[current] > 0
+        own, walk, current = own[some], walk[some], current[some]
+        if not len(own):
+            break
+        drawn = [int(hashlib.md5(f"{seed}|{a}|{day}|{k}|{step}".encode()).hexdigest()[:8], 16) for a, k in zip(names[own], walk)]
+        edge = offset[current] + np.array(drawn) % degree[current]
+        hit = bad[edge] & (to[edge] != own)
+        out.append(pd.DataFrame({"account_id": names[own[hit]], "day": day, "walk": walk[hit], "length": step, "hit": names[to[edge[hit]]]}))
+        own, walk, current = own[~hit], walk[~hit], to[edge[~hit]]
+    return pd.concat(out) if out else pd.DataFrame({"account_id": [], "day": [], "walk": [], "length": [], "hit": []})
+
+
+def day_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42, largest: int = 2_000_000) -> DataFrame:
+    """The rows of ``random_walks``, by one task for each day that holds the day's whole snapshot.
+
+    For ledgers whose window fits one worker: there it needs no join in each step. A snapshot of over
+    ``largest`` edges, seen from both sides, raises an error before any walk; ``random_walks`` has no such bound.
+    """
+    t = targets.select("account_id", "day").distinct()
+    days = t.select(F.col("day").alias("at")).distinct().withColumn("_b", F.floor(F.col("at") / (w + 1)))
+    live = stored(_runs(ledger, w).join(days, "_b").where(F.col("at").between(F.col("first"), F.col("last"))).select("at", "node", "nbr"), "day-edges")
+    most = live.groupBy("at").count().agg(F.max("count")).first()[0] or 0
+    if most > largest:
+        raise ValueError(f"a day's snapshot has {most} edges, over {largest}; use random_walks")
+    bad = illicit.select(F.col("account_id").alias("nbr"), F.lit(True).alias("bad")).distinct()
+    edges = live.join(bad, "nbr", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+
+    def one(key, left, right):
+        return _walked(int(key[0]), left, right, n_walks, max_steps, seed)
+
+    return edges.groupBy("at").cogroup(t.groupBy("day")).applyInPandas(one, "account_id string, day int, walk int, length int, hit string")
+
+
 def walk_summary(targets: DataFrame, hits: DataFrame, n_walks: int, prefix: str = "gw", start_counts: DataFrame | None = None) -> DataFrame:
     """Nine columns for each target. No hit gives null statistics, rate 0 and no account.
 
@@ -86,11 +155,14 @@ def share_of_reference(separation: DataFrame, reference: DataFrame) -> DataFrame
     return separation.crossJoin(one).withColumn("share", F.col("separation") / F.nullif("reference", F.lit(0.0)))
 
 
-def by_distance(features: DataFrame, distances: DataFrame, per_distance: int = 15, most: int = 4) -> DataFrame:
-    """Median hit rate and mean length of up to ``per_distance`` accounts at each distance, each on
-    its last day, and ``falls``: whether the rate is no higher than at the distance before."""
-    last = features.withColumn("_k", F.row_number().over(W.partitionBy("account_id").orderBy(F.desc("day")))).where("_k = 1")
-    rows = last.join(distances.where(F.col("distance").between(1, most)), "account_id")
+def by_distance(features: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Median hit rate and mean length at each distance of ``chosen`` accounts, walked on the snapshot of their
+    distances, and ``falls``: whether the rate is no higher than at the distance before."""
+    got = features.join(chosen, "account_id").groupBy("distance").agg(F.count("*").alias("accounts"), F.median("gw_hit_rate").alias("median_hit_rate"), F.median("gw_mean").alias("median_length"))
+    return got.withColumn("falls", F.col("median_hit_rate") <= F.lag("median_hit_rate").over(W.orderBy("distance")))  # a row a distance
+
+
+def at_distances(distances: DataFrame, per_distance: int = 15, most: int = 4) -> DataFrame:
+    """``account_id, distance`` of up to ``per_distance`` accounts at each distance from 1 to ``most``, by a hash."""
     n = F.row_number().over(W.partitionBy("distance").orderBy(F.md5(F.col("account_id").cast("binary")), "account_id"))
-    got = rows.withColumn("_n", n).where(F.col("_n") <= per_distance).groupBy("distance").agg(F.count("*").alias("accounts"), F.median("gw_hit_rate").alias("median_hit_rate"), F.median("gw_mean").alias("median_length"))
-    return got.withColumn("falls", F.col("median_hit_rate") <= F.lag("median_hit_rate").over(W.orderBy("distance")))  # ``most`` rows
+    return distances.where(F.col("distance").between(1, most)).withColumn("_n", n).where(F.col("_n") <= per_distance).drop("_n")

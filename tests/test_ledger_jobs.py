@@ -73,14 +73,14 @@ def test_profiles(spark):
 def test_eviction_edges(spark):
     x = make(spark, [("A", "B", 1, 0)])
     t = spark.createDataFrame([("A", 30, 30), ("A", 31, 30)], "node string, at int, w int")
-    got = {r.at: r.out_degree for r in graph.degrees(t, graph.incident(x), 30).collect()}
+    got = {r.at: r.out_degree for r in graph.degrees(t, graph.incident(x)).collect()}
     assert got == {30: 1, 31: 0}
 
 
 def test_neighbour_statistics_are_null_without_neighbours(spark):
     x = make(spark, [("A", "B", 2, 0), ("C", "B", 4, 0)])
     t = spark.createDataFrame([("A", 0, 5), ("Q", 0, 5)], "account_id string, day int, w int")
-    got = {r.account_id: r for r in graph.degree_features(t, x, 5).collect()}
+    got = {r.account_id: r for r in graph.degree_features(t, x).collect()}
     assert got["A"].nbr_in_degree_mean == 2 and got["A"].nbr_in_weight_max == 6.0
     assert got["Q"].out_degree == 0 and got["Q"].nbr_in_degree_mean is None
 
@@ -117,7 +117,7 @@ def test_hop_distance_and_components(spark):
     x = make(spark, [(a, b, 1, 0) for a, b in WALK])
     bad = spark.createDataFrame([("ILLICIT",)], "account_id string")
     got = {r.account_id: r.distance for r in graph.hop_distances(x, bad).collect()}
-    assert got == {"ILLICIT": 0, "T1": 1, "C": 1, "B": 2, "A": 3, "START": 4}
+    assert got == {"ILLICIT": 0, "T1": 1, "C": 1, "B": 2, "A": 3, "START": 4, "D": None, "E": None}
     comp = {r.node: r.component for r in connected_components(x, "sender_id", "receiver_id").collect()}
     assert comp["START"] == comp["T1"] == "A" and comp["E"] == "D"
 
