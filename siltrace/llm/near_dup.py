@@ -47,12 +47,20 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], sizes
 
 
+_HIGH, _LOW = 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3
+
+
+def _code(h: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    """A code of each whole set, which begin at ``at``."""
+    return np.add.reduceat(mix(h ^ np.uint64(salt)), at)
+
+
 def _keys(h: np.ndarray, sizes: np.ndarray, m: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each non-empty set: two codes of the whole set and 2m short keys."""
     at = (np.cumsum(sizes) - sizes)[sizes > 0]
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2 * m), np.uint64)
-    hi, lo = (np.add.reduceat(mix(h ^ np.uint64(c)), at) for c in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+    hi, lo = (_code(h, at, c) for c in (_HIGH, _LOW))
     rng = np.random.default_rng(1789)
     keys = np.empty((len(at), 2 * m), np.uint64)
     for i in range(2 * m):
@@ -81,6 +89,7 @@ def _signature(batch: pa.RecordBatch, k: int, m: int, r: int) -> pa.RecordBatch:
 
 
 FILTER_BITS = 26
+SALTS = 16
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -98,7 +107,10 @@ def _whole(batch: pa.RecordBatch, k: int, wanted: np.ndarray) -> pa.RecordBatch:
     bit = np.asarray(batch.column(2), np.int64)
     some = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
     h, sizes = _sets(some.column(1), k)
-    return pa.RecordBatch.from_arrays([some.column(0), _lists(h, sizes)], names=["id", "s"])
+    code = np.zeros(len(sizes), np.int64)
+    if len(h):
+        code[sizes > 0] = _code(h, (np.cumsum(sizes) - sizes)[sizes > 0], _HIGH).view(np.int64)
+    return pa.RecordBatch.from_arrays([some.column(0), pa.array(code), _lists(h, sizes)], names=["i", "k", "s"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,8 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``shingle`` words, or the whole sequence if it has fewer. Texts without words, null texts
     and rows with a null id are linked with nothing (a null id has a null component and is
     not kept). Rows with equal ids share a component; where their texts differ, each
-    text keeps its own ``n_shingles`` and one of them stands for the id in comparisons. The
-    component is the smallest id reachable over links of at least ``percent`` of the union.
+    text keeps its own ``n_shingles`` and links of its own. The
+    component is the smallest id reachable over links of at least ``percent`` of the union. Texts are looked
+    at whole, however long; other columns are not looked at, and an empty table gives no rows.
 
     Equal sets are merged before the search, so a group of copies costs one row. In each
     table a row is compared with the table key's smallest id only. Rows of keys that
@@ -172,9 +185,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = two.schema["id"].dataType.simpleString()
     found = stored(two.mapInArrow(in_text_parts(lambda b: _signature(b, shingle, m, r), "t"), f"id {kind}, n bigint, hi bigint, lo bigint, a array<bigint>, b array<bigint>"), "near-sig")
     some = found.where("n > 0 and id is not null")
-    classes = some.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"))
-    member = stored(some.join(classes, ["hi", "lo", "n"]).select("id", "rep", F.expr("if(id = rep, a, null) a"), F.expr("if(id = rep, b, null) b")), "near-member")
-    reps = member.where("a is not null").select(F.col("rep").alias("x"), "a", "b")
+    # a class of equal sets is named by its smallest id and the set's code, as one id may hold several sets;
+    # rows meet their class by a salt, so a large group of copies lies in SALTS tasks
+    salted = some.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    part = salted.groupBy("hi", "lo", "n", "salt").agg(F.min("id").alias("i"))
+    classes = stored(part.groupBy("hi", "lo", "n").agg(F.min("i").alias("i"), F.collect_set("salt").alias("salts")).select(F.struct("i", F.col("hi").alias("k")).alias("x"), "hi", "lo", "n", "salts"), "near-classes")
+    spread = classes.select("x", "hi", "lo", "n", F.explode("salts").alias("salt"))
+    member = stored(salted.join(spread, ["hi", "lo", "n", "salt"]).select("id", "x", "salt", F.expr("if(id = x.i, a, null) a"), F.expr("if(id = x.i, b, null) b")), "near-member")
+    reps = member.where("a is not null").select("x", "a", "b")
     # keys of either collection that two rows share; then the rows left with keys of both
     single = reps.select("x", F.explode(F.concat("a", "b")).alias("key"))
     shared = single.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("key")
@@ -184,10 +202,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = table.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("key", "y")
     stars = stored(table.join(first, "key").where("x <> y").select("x", "y").distinct(), "near-stars")
     ids = stars.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids.select("id.i").withColumnRenamed("i", "id")))
     hashed = two.where("id is not null").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
-    whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t"), f"id {kind}, s array<bigint>")
-    sets = stored(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
+    whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t"), f"i {kind}, k bigint, s array<bigint>")
+    sets = stored(whole.select(F.struct("i", "k").alias("id"), "s").join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
 
     links = stored(_confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
@@ -201,9 +219,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
     cross = _beside_pivot(rest.join(open_stars, "b"), sets, percent)
     links = stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
-    labels = connected_components(links, "x", "y")
+    # an id with several sets links their classes
+    own = member.select("id", "x").distinct()
+    several = own.groupBy("id").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("id", "y")
+    labels = connected_components(links.union(own.join(several, "id").select("x", "y").where("x <> y")), "x", "y")
 
-    label = _labelled(member.select("id", F.col("rep").alias("x")), labels, "x", "c").select(F.col("id").alias("_id"), "c").groupBy("_id").agg(F.min("c").alias("c"))
+    of = classes.join(labels.select(F.col("node").alias("x"), F.col("component.i").alias("c")), "x").select("x", "c", F.explode("salts").alias("salt"))
+    label = member.join(of, ["x", "salt"]).select(F.col("id").alias("_id"), "c").union(own.select("id", "x.i")).groupBy("_id").agg(F.min("c").alias("c"))
     out = found.select("id", "n").join(label, F.col("id") == F.col("_id"), "left")
     component = F.coalesce("c", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

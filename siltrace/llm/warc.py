@@ -85,51 +85,72 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     known = source.select("*", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"), F.sha1(body).alias("sha1"), F.when(F.octet_length("html") >= least, F.sha2(body, 256)).alias("same"))
     last = known.where("same is not null").groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("same", "last")
-    marked = known.join(last, "same", "left").select("id", "url", "html", "size", "sha1", F.expr("if(id <=> last, null, last) refers_to"), F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("record"))
+    # only pages that can have equals are shuffled; small ones stay where they are
+    alone = known.where("same is null").withColumn("last", F.lit(None).cast("bigint"))
+    met = known.where("same is not null").join(last, "same", "left").unionByName(alone)
+    marked = met.select("id", "url", "html", "size", "sha1", F.expr("if(id <=> last, null, last) refers_to"), F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("record"))
     return stored(marked.mapInArrow(lambda batches: _written(batches, chunk), ARCHIVE_SCHEMA), "warc")
 
 
+def _fields(lines: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdecimal() else None
+
+
 class _Record:
-    """Reads one record's bytes as they come."""
+    """Reads one record's bytes as they come; ``fields`` stay empty where no head can be read."""
 
     def __init__(self):
-        self.head, self.fields, self.left, self.digest, self.seen = b"", None, 0, hashlib.sha1(), 0
+        self.head, self.fields, self.http, self.left, self.digest, self.seen = b"", {}, {}, None, hashlib.sha1(), 0
+        self.next, self.gap, self.rest = 0, False, b""
 
-    def add(self, data: bytes) -> None:
-        if self.fields is None:
+    def add(self, chunk: int, data: bytes) -> None:
+        self.gap |= chunk != self.next
+        self.next = chunk + 1
+        if self.left is None and not self.gap:
             self.head += data
             if self.head.count(b"\r\n\r\n") < 2:
                 return
             warc, http, data = self.head.split(b"\r\n\r\n", 2)
-            self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in warc.decode().split("\r\n")[1:])}
-            self.http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}
-            self.left = int(self.fields["content-length"]) - len(http) - 4
-        part = data[: self.left]
+            self.head = b""
+            length = _number(_fields(warc).get("content-length"))
+            if warc.startswith(b"WARC/1.1\r\n") and length is not None:
+                self.fields, self.http, self.left = _fields(warc), _fields(http), max(0, length - len(http) - 4)
+            else:
+                self.gap = True
+        part = data if self.left is None else data[: self.left]
+        if self.left is not None:
+            self.left -= len(part)
+            self.rest = (self.rest + data[len(part) :])[:5]
         self.digest.update(part)
-        self.left -= len(part)
         self.seen += len(part)
 
     def row(self) -> tuple:
         def page(name):
-            x = self.fields.get(name, "<urn:page:None>").removeprefix("<urn:page:").removesuffix(">")
-            return None if x == "None" else int(x)
+            x = self.fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
+            return int(x) if x.removeprefix("-").isdecimal() else None
 
-        kind, stated = self.fields["warc-type"], self.fields["warc-payload-digest"].removeprefix("sha1:")
+        kind, stated = self.fields.get("warc-type"), self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        if kind is None:
+            return None, self.seen, None, None, None, False
         read = kind == "response"
-        whole = self.left == 0 and (not read or self.digest.hexdigest() == stated)
-        return page("warc-record-id"), self.seen if read else int(self.http["content-length"]), self.digest.hexdigest() if read else stated, kind, page("warc-refers-to"), whole
+        whole = not self.gap and self.left == 0 and self.rest == b"\r\n\r\n" and (not read or self.digest.hexdigest() == stated)
+        return page("warc-record-id"), self.seen if read else _number(self.http.get("content-length")), self.digest.hexdigest() if read else stated, kind, page("warc-refers-to"), whole
 
 
 def _read(batches):
     now, record = None, None
     for batch in batches:
         out = []
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for key, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if key != now:
                 if record:
                     out.append(record.row())
                 now, record = key, _Record()
-            record.add(data.as_py())
+            record.add(chunk, data.as_py())
         if out:
             yield _records(out)
     if record:
@@ -145,7 +166,9 @@ def read_archives(archive: DataFrame) -> DataFrame:
     """``id, payload_bytes, payload_digest, record_type, refers_to, whole`` of each record.
 
     Sizes and digests of responses are those of the bytes read; a revisit states those of the
-    payload it stands for. ``whole`` is false where bytes are missing or the digest differs.
+    payload it stands for. ``whole`` is false where bytes, a chunk or the end mark are missing or the digest differs.
+    A record whose head is missing or can't be read has the size of its bytes, and null otherwise. An empty
+    archive gives no rows; columns besides those of an archive are not looked at.
     """
-    rows = archive.repartition("record").sortWithinPartitions("record", "chunk").select("record", "data")
+    rows = archive.repartition("record").sortWithinPartitions("record", "chunk").select("record", "chunk", "data")
     return rows.mapInArrow(_read, "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, whole boolean")

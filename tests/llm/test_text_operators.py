@@ -146,6 +146,41 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
 
 
+def test_warc_damaged_archives(spark):
+    rows = [(k, f"u{k}", chr(97 + k) * 9_000 if k < 6 else "f" * 9_000, "x", k) for k in range(8)] + [(8, "u", "\r\n\r\nWARC/1.1\r\n\r\n", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string, chunk int")
+    archive = warc.write_archives(pages, chunk=4096).cache()
+    plain = lambda a: {r.id: r for r in warc.read_archives(a).collect()}
+    sound = plain(archive)
+    assert all(r.whole for r in sound.values()) and set(sound) == set(range(9)) and sound[6].refers_to == 7
+    for gone in ("chunk <> 0", "chunk = 1", "chunk < 1", "chunk < 3", "chunk <> 1"):
+        found = warc.read_archives(archive.where(gone)).collect()
+        assert found and not any(r.whole for r in found if r.record_type != "revisit" and not (gone == "chunk < 3" and r.payload_bytes == 16)), gone
+    headless = warc.read_archives(archive.where("chunk <> 0")).collect()
+    assert len(headless) == 9 and all(r.id is None and r.record_type is None and not r.whole for r in headless)
+    changed = archive.withColumn("data", F.when(F.col("chunk") == 1, F.lit(b"z")).otherwise(F.col("data")))
+    assert not plain(changed)[0].whole and not plain(changed)[8].whole
+    junk = archive.withColumn("data", F.lit(b"\r\n\r\n\r\n\r\n"))
+    assert not any(r.whole for r in warc.read_archives(junk).collect())
+
+
+def test_warc_small_pages_are_not_shuffled(spark):
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, F.lit("small")).alias("html")).repartition(16)
+    spread = warc.write_archives(pages).groupBy("archive").agg(F.countDistinct("record").alias("n")).collect()
+    assert len(spread) > 8 and max(r.n for r in spread) < 40
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a + " more"), (5, a), (5, b), (9, b + " more"), (9, b + " more"), (20, "on its own")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame, shingle=2).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (20, 20, True)}
+    long = " ".join(f"w{k}" for k in range(60_000))
+    tall = spark.createDataFrame([(3, long, "c"), (2, long + " end", "c"), (4, None, "c")], "doc_id long, text string, component_id string")
+    assert {(r.id, r.component_id) for r in near_dup.near_duplicates(tall, shingle=2).collect()} == {(3, 2), (2, 2), (4, 4)}
+
+
 def test_warc_running_digest(spark):
     archive = warc.write_archives(spark.createDataFrame([(1, "u", "abc" * 10_000)], "page_id long, url string, html string"), chunk=1000)
     rows = archive.orderBy("chunk").collect()
