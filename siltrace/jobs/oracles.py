@@ -194,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "r1_large_single_txn": sql("hits", f"SELECT {acct}, rule_name FROM hits WHERE k = 0"),
         "r2_round_amount": sql("hits", f"SELECT {acct}, rule_name FROM hits WHERE k = 1"),
         "r3_high_daily_velocity": sql("hits", f"SELECT {acct}, rule_name FROM hits WHERE k = 2"),
+        "r3_approximate_velocity": sql("sides", "SELECT a.account_id, a.day, count(DISTINCT s.counterparty) AS n FROM (SELECT DISTINCT account_id, day FROM sides) a JOIN sides s ON s.account_id = a.account_id AND s.day BETWEEN a.day - 6 AND a.day GROUP BY ALL HAVING count(DISTINCT s.counterparty) > 20"),
         "r4_sudden_volume_spike": sql("hits", f"SELECT {acct}, rule_name FROM hits WHERE k = 3"),
         "r5_run_rule_engine": sql("alerts", f"SELECT {acct}, array_to_string(triggered_rules, ',') AS triggered_rules, any_true_positive FROM alerts"),
         "r6_sar_account_days": sql("sardays", f"SELECT {acct} FROM sardays"),

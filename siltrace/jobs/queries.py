@@ -159,6 +159,12 @@ def r3_high_daily_velocity(spark, sf):
     return R.high_daily_velocity(Ledger(spark, sf).ledger)
 
 
+@query
+def r3_approximate_velocity(spark, sf):
+    """Over 20 counterparties within a week, from sketches of days; at such counts sketches are still exact."""
+    return R.approximate_velocity(R.counterparty_sketches(Ledger(spark, sf).ledger), 20, 7)
+
+
 @query
 def r4_sudden_volume_spike(spark, sf):
     return R.sudden_volume_spike(Ledger(spark, sf).ledger)

@@ -34,6 +34,27 @@ def high_daily_velocity(ledger: DataFrame, threshold: int = 5) -> DataFrame:
     return _hits(pairs.groupBy("account_id", "date").count().where(F.col("count") > threshold), "high_daily_velocity", "account_id")
 
 
+def counterparty_sketches(ledger: DataFrame, lg: int = 12) -> DataFrame:
+    """``account_id, day, sketch``: a mergeable distinct-count sketch of the day's counterparties, either way.
+
+    Of at most ``2 ** lg`` bytes whatever the count, with a relative error of about ``1.04 / sqrt(2 ** lg)``. Kept
+    as a table, sketches of days answer any longer stretch without the ledger.
+    """
+    sides = both_sides(with_days(ledger)).where("account_id is not null and day is not null")
+    return sides.groupBy("account_id", "day").agg(F.hll_sketch_agg("counterparty", lg).alias("sketch"))
+
+
+def approximate_velocity(sketches: DataFrame, threshold: int = 5, days: int = 1) -> DataFrame:
+    """``account_id, day, n``: active days with over ``threshold`` different counterparties, about, in the ``days`` up to them.
+
+    The opt-in to ``high_daily_velocity`` for counts too large to be kept exactly: a day's sketch goes to each
+    day that looks back on it and sketches are merged there, so a busy account costs one sketch a day.
+    """
+    spread = sketches.select("account_id", "sketch", "day", F.explode(F.sequence(F.col("day"), F.col("day") + days - 1)).alias("at"))
+    met = spread.groupBy("account_id", "at").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"), F.max(F.col("day") == F.col("at")).alias("active"))
+    return met.where(F.col("active") & (F.col("n") > threshold)).select("account_id", F.col("at").alias("day"), "n")
+
+
 def sudden_volume_spike(ledger: DataFrame, multiplier: float = 5.0, window_days: int = 30) -> DataFrame:
     """Days on which an account sends over ``multiplier`` times the mean of its active days before.
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltrace.operators import graph, typologies, walks
+from siltrace.operators import graph, rules, typologies, walks
 from siltrace.sources import ledger as L
 
 T0 = dt.datetime(2024, 1, 1)
@@ -143,3 +143,19 @@ def test_unreached_accounts_have_no_distance(spark):
     edges = _ledger(spark, [("a", "b", 1.0, 0), ("b", "c", 1.0, 0), ("x", "y", 1.0, 0)])
     got = {r.account_id: r.distance for r in graph.hop_distances(edges, spark.createDataFrame([("a",), ("z",)], "account_id string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": 0}
+
+
+def test_sketches_of_days_stay_within_their_error(spark):
+    sizes = {f"H{k}": 400 * 2**k for k in range(7)}
+    rows = None
+    for name, n in sizes.items():  # half of each day's counterparties come again on the next day
+        one = spark.range(n).select(F.concat(F.lit(f"{name}-"), F.col("id") % (n * 3 // 4)).alias("receiver_id"), F.lit(name).alias("sender_id"), F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") * 3 / n) * 86400).alias("timestamp"))
+        rows = one if rows is None else rows.union(one)
+    sketches = rules.counterparty_sketches(rows.withColumn("amount", F.lit(1.0)))
+    exact = {n: size * 3 // 4 for n, size in sizes.items()}
+    got = {r.account_id: r.n for r in rules.approximate_velocity(sketches, 200, 3).where("account_id like 'H_' and day = 2").collect()}
+    assert set(got) == set(exact)
+    assert all(abs(got[k] - n) <= 3 * 1.04 / 64 * n for k, n in exact.items())
+    assert rules.approximate_velocity(sketches, 10**6, 3).count() == 0
+    one = {(r.account_id, r.day) for r in rules.approximate_velocity(sketches, 100, 1).where("account_id like 'H_'").collect()}
+    assert one == {(k, d) for k in sizes for d in range(3)}
