@@ -3,9 +3,9 @@
 The kernel compares two words by the three-character subsequences that they share, each
 weighted by ``DECAY`` to the power of the characters that it spans (at most ``SPAN``), so
 ``idiot``, ``id.iot`` and ``idxiot`` stay close. A Nystroem map from landmark words makes the
-machine linear. Labels belong to documents, and no label says which sentence is meant, so the
-machine learns from several instances at once: a sentence is as toxic as its worst word, all
-sentences of a document labelled 0 are negative, and of a document labelled 1 the sentences
+machine linear. Labels belong to documents, and no label says which words are meant, so the
+machine learns from several instances at once. Its instances are words; texts are not split into
+sentences. All words of a document labelled 0 are negative, and of a document labelled 1 the words
 that look worst are positive. They are chosen again after each turn of training. Because the
 kernel has an explicit form, the trained machine folds into one weight per subsequence, and
 scoring a word needs no landmark.
