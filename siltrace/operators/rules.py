@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,7 +68,54 @@ def sudden_volume_spike(ledger: DataFrame, multiplier: float = 5.0, window_days:
     return _hits(known.where((F.col("n") > 0) & (F.col("total") * F.col("n") > F.col("sum") * multiplier)), "sudden_volume_spike")
 
 
-RULES: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (large_single_txn, round_amount_near_threshold, high_daily_velocity, sudden_volume_spike)}
+@dataclass(frozen=True)
+class RowRule:
+    """A rule on one transfer: its sender gets a hit for each that ``meets`` (over the ledger's columns)."""
+
+    meets: Callable[[], Column]
+
+
+@dataclass(frozen=True)
+class DayRule:
+    """A rule on an account's day, hit at most once.
+
+    ``meets`` may use ``n_sent`` (transfers), ``sent`` (cents), ``n_counterparties`` (either way) and ``day``,
+    and windows over them, by account, that look back.
+    """
+
+    meets: Callable[[], Column]
+
+
+Rule = RowRule | DayRule | Callable[[DataFrame], DataFrame]
+
+
+def above(threshold: float = 9000.0) -> RowRule:
+    """``large_single_txn``, declared."""
+    return RowRule(lambda: F.col("amount") > threshold)
+
+
+def near_threshold(low: float = 8500.0, high: float = 9999.0) -> RowRule:
+    """``round_amount_near_threshold``, declared."""
+    return RowRule(lambda: F.col("amount").between(low, high))
+
+
+def busy(threshold: int = 5) -> DayRule:
+    """``high_daily_velocity``, declared."""
+    return DayRule(lambda: F.col("n_counterparties") > threshold)
+
+
+def spike(multiplier: float = 5.0, window_days: int = 30) -> DayRule:
+    """``sudden_volume_spike``, declared; days without a transfer sent are not active."""
+
+    def meets() -> Column:
+        before = W.partitionBy("account_id").orderBy("day").rangeBetween(-window_days, -1)
+        n = F.count_if(F.col("n_sent") > 0).over(before)
+        return (F.col("n_sent") > 0) & (n > 0) & (F.col("sent") * n > F.sum("sent").over(before) * multiplier)
+
+    return DayRule(meets)
+
+
+RULES: dict[str, Rule] = {"large_single_txn": above(), "round_amount_near_threshold": near_threshold(), "high_daily_velocity": busy(), "sudden_volume_spike": spike()}
 
 
 def sar_account_days(ledger: DataFrame) -> DataFrame:
@@ -75,14 +123,46 @@ def sar_account_days(ledger: DataFrame) -> DataFrame:
     return both_sides(with_days(normalised(ledger)).where("is_sar")).select("account_id", "date").distinct()
 
 
-def run_rule_engine(ledger: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def _account_days(ledger: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """``account_id, date``, hits of each declared rule as ``hits_k`` (by its place) and ``touched``, from one read.
+
+    Transfers are first combined by account, day and counterparty, so a hub's day is spread; then by account and
+    day; windows run over those rows. Counterparties are kept apart only if a day rule asks.
+    """
+    sent = F.col("role") == "sent"
+    rows = {k: r for k, r in enumerate(rules.values()) if isinstance(r, RowRule)}
+    days = {k: r for k, r in enumerate(rules.values()) if isinstance(r, DayRule)}
+    met = with_days(normalised(ledger))
+    met = met.select("sender_id", "receiver_id", "date", "day", "is_sar", cents().alias("cents"), *[r.meets().alias(f"hits_{k}") for k, r in rows.items()])
+    sums = lambda: [F.sum(f"hits_{k}").alias(f"hits_{k}") for k in rows]
+    part = both_sides(met).groupBy("account_id", "date", "day", *(["counterparty"] if days else [])).agg(
+        F.count_if(sent).alias("n_sent"), F.sum(F.when(sent, F.col("cents"))).alias("sent"), F.max("is_sar").alias("touched"),
+        *[F.count_if(sent & F.col(f"hits_{k}")).alias(f"hits_{k}") for k in rows],
+    )
+    if days:
+        part = part.groupBy("account_id", "date", "day").agg(F.sum("n_sent").alias("n_sent"), F.sum("sent").alias("sent"), F.max("touched").alias("touched"), F.count("*").alias("n_counterparties"), *sums())
+    return part.select("account_id", "date", "touched", *[f"hits_{k}" for k in rows], *[F.coalesce(r.meets().cast("bigint"), F.lit(0)).alias(f"hits_{k}") for k, r in days.items()])
+
+
+def run_rule_engine(ledger: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """One alert per account and date: ``triggered_rules`` with repeats in registry order, and
-    whether the account touched a labelled transfer that date. Unsorted."""
-    hits = None
-    for k, (name, rule) in enumerate((rules or RULES).items()):
-        one = rule(ledger).groupBy("account_id", "date").count().select("account_id", "date", F.lit(k).alias("k"), F.lit(name).alias("rule"), F.col("count").cast("int").alias("n"))
-        hits = one if hits is None else hits.unionByName(one)
-    listed = F.array_sort(F.collect_list(F.struct("k", "rule", "n")))
-    alerts = hits.where("account_id is not null and date is not null").groupBy("account_id", "date").agg(F.flatten(F.transform(listed, lambda x: F.array_repeat(x["rule"], x["n"]))).alias("triggered_rules"))
-    true = sar_account_days(ledger).withColumn("_t", F.lit(True))
-    return alerts.join(true, ["account_id", "date"], "left").select("account_id", "date", "triggered_rules", F.coalesce("_t", F.lit(False)).alias("any_true_positive"))
+    whether the account touched a labelled transfer that date. Unsorted.
+
+    All declared rules are one conditional aggregation over one read of the ledger. Rules that are functions from a
+    ledger to hits are evaluated one by one and joined to it.
+    """
+    rules = rules or RULES
+    days = _account_days(ledger, rules).where("account_id is not null and date is not null")
+    free = None
+    for k, rule in enumerate(rules.values()):
+        if not isinstance(rule, (RowRule, DayRule)):
+            one = rule(ledger).groupBy("account_id", "date").count().select("account_id", "date", F.struct(F.lit(k).alias("k"), F.col("count").alias("n")).alias("hit"))
+            free = one if free is None else free.unionByName(one)
+    if free is not None:
+        found = free.groupBy("account_id", "date").agg(F.map_from_entries(F.collect_list("hit")).alias("free"))
+        found = found.where("account_id is not null and date is not null")
+        days = days.join(found, ["account_id", "date"], "full")
+    n = lambda k, r: F.coalesce(F.col(f"hits_{k}") if isinstance(r, (RowRule, DayRule)) else F.try_element_at("free", F.lit(k)), F.lit(0)).cast("int")
+    listed = F.flatten(F.array(*[F.array_repeat(F.lit(name), n(k, r)) for k, (name, r) in enumerate(rules.items())]))
+    alerts = days.select("account_id", "date", listed.alias("triggered_rules"), F.coalesce("touched", F.lit(False)).alias("any_true_positive"))
+    return alerts.where(F.size("triggered_rules") > 0)

@@ -31,9 +31,14 @@ def transaction_alerts(stream: DataFrame) -> DataFrame:
 
 
 def velocity_alerts(stream: DataFrame, threshold: int = 5, delay: str = "1 day") -> DataFrame:
-    """Accounts with over ``threshold`` counterparties on a closed day."""
-    sides = both_sides(stream.withWatermark("timestamp", delay))
-    daily = sides.groupBy(F.window("timestamp", "1 day"), "account_id").agg(F.size(F.collect_set("counterparty")).alias("n"))
+    """Accounts with over ``threshold`` counterparties on a closed day.
+
+    Two aggregations in a row: a day's pairs are made distinct, then counted when the day closes. State is one
+    small row for each pair, spread by pair, so a hub's day meets in one task as partial counts only.
+    """
+    sides = both_sides(stream.withWatermark("timestamp", delay)).where("counterparty is not null")
+    pairs = sides.groupBy(F.window("timestamp", "1 day"), "account_id", "counterparty").agg(F.count("*").alias("n"))
+    daily = pairs.groupBy("window", "account_id").agg(F.count("*").alias("n"))
     return daily.where(F.col("n") > threshold).select("account_id", F.to_date("window.start").alias("date"), F.lit("high_daily_velocity").alias("rule_name"))
 
 
@@ -76,30 +81,23 @@ def spike_alerts(stream: DataFrame, multiplier: float = 5.0, window_days: int =
 def sliding_degrees(stream: DataFrame, w: int, delay: str = "1 day") -> DataFrame:
     """In and out degree and weight of each account at the close of its active days.
 
-    State: cents by day, neighbour and way, of the last ``w + 1`` days.
+    Three aggregations in a row, each fed by the rows that the one before closes: cents by day, neighbour and
+    way; the same over the ``w + 1`` days up to each day; sums by account. State is spread by neighbour and each
+    batch writes what it brings, so an account with many neighbours is no single row of state or task. The second
+    holds up to ``w + 1`` rows for each row of the first.
     """
-    epoch = F.unix_date(F.to_date("timestamp"))
-    rows = both_sides(stream.withWatermark("timestamp", delay)).select("timestamp", "account_id", "counterparty", (F.col("role") == "sent").alias("out"), epoch.alias("e"), cents().alias("c"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days, nbrs, outs, sums, told = state.get if state.exists else ([], [], [], [], -1)
-        by = dict(zip(zip(days, nbrs, outs), sums))
-        for rows_ in batches if not state.hasTimedOut else ():
-            for k, c in zip(zip(rows_["e"].tolist(), rows_["counterparty"].tolist(), rows_["out"].tolist()), rows_["c"].tolist()):
-                by[k] = by.get(k, 0) + c
-        first_open = _closing(state, {d for d, _, _ in by})
-        out = []
-        for d in sorted({x for x, _, _ in by if told < x < first_open}):
-            live = {k: c for k, c in by.items() if d - w <= k[0] <= d}
-            into, away = ({n for _, n, o in live if o == way} for way in (False, True))
-            out.append((key[0], d, len(into), len(away), sum(c for k, c in live.items() if not k[2]) / 100, sum(c for k, c in live.items() if k[2]) / 100))
-        told = max(told, first_open - 1)
-        by = {k: c for k, c in by.items() if k[0] >= first_open - w}
-        state.update(([k[0] for k in by], [k[1] for k in by], [k[2] for k in by], list(by.values()), told))
-        yield pd.DataFrame(out, columns=["account_id", "e", "in_degree", "out_degree", "in_weight", "out_weight"])
-
-    got = rows.groupBy("account_id").applyInPandasWithState(step, "account_id string, e bigint, in_degree bigint, out_degree bigint, in_weight double, out_weight double", "days array<bigint>, nbrs array<string>, outs array<boolean>, sums array<bigint>, told bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return got.select("account_id", (F.col("e") - F.datediff(F.lit(BASE_DATE).cast("date"), F.lit("1970-01-01").cast("date"))).cast("int").alias("day"), "in_degree", "out_degree", "in_weight", "out_weight")
+    sides = both_sides(stream.withWatermark("timestamp", delay)).select("timestamp", "account_id", "counterparty", (F.col("role") == "sent").alias("out"), cents().alias("c"))
+    edge = ["account_id", "counterparty", "out"]
+    daily = sides.groupBy(F.window("timestamp", "1 day"), *edge).agg(F.sum("c").alias("c"))
+    reach = daily.select(F.col("window").alias("closed"), F.col("window.end").alias("until"), *edge, "c")
+    live = reach.groupBy(F.window("closed", f"{w + 1} days", "1 day"), *edge).agg(F.sum("c").alias("c"), F.max("until").alias("until"))
+    weight = lambda out: F.coalesce(F.sum(F.when(F.col("out") == out, F.col("c"))), F.lit(0)) / 100
+    sums = live.groupBy("window", "account_id").agg(
+        F.count_if(~F.col("out")).alias("in_degree"), F.count_if("out").alias("out_degree"),
+        weight(False).alias("in_weight"), weight(True).alias("out_weight"), F.max("until").alias("until"),
+    )
+    day = F.datediff(F.date_sub(F.to_date("window.end"), 1), F.lit(BASE_DATE).cast("date"))
+    return sums.where(F.col("until") == F.col("window.end")).select("account_id", day.alias("day"), "in_degree", "out_degree", "in_weight", "out_weight")
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
