@@ -549,6 +549,18 @@ def test_distrust_flows_backwards(spark):
     assert got["fine.io"].trust > 0 and got["fine.io"].distrust == 0
 
 
+def test_one_blocked_host_in_eighteen_turns_a_site(spark):
+    """The default threshold's meaning; repeated rows, clashing columns and a very long url change nothing."""
+    hosts = [f"{c}{k}.{c}site.io" for c, n in (("a", 17), ("b", 18)) for k in range(n)]
+    rows = [(k, f"http://{h}/{'x' * (50_000 if k == 3 else 1)}", None, 1, 2) for k, h in enumerate(hosts)]
+    frame = spark.createDataFrame([*rows, rows[1]], "page_id long, url string, html string, rank int, src int")
+    bad = spark.createDataFrame([("a0.asite.io",), ("b0.bsite.io",)], "host string")
+    got = url_filter.url_verdicts(frame, [], bad.where("false"), bad).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.host for r in got if r.verdict == "block"} == {h for h in hosts if h[0] == "a"} | {"b0.bsite.io"}
+    assert url_filter.url_verdicts(frame.where("false"), [], bad, bad).count() == 0
+
+
 def test_standing_of_unseen_parents(spark):
     hosts = ["www.bad.com", "shop.bad.com", "a.b.c.d.e.bad.com", "fine.org", "x.co.uk", "y.co.uk", "1.2.3.4", "9.9.3.4"]
     frame = spark.createDataFrame([(k, f"http://{h}/p", None) for k, h in enumerate(hosts)] + [(90, "http://www.bad.com/ads/1", None), (91, "http://x.co.uk/ads/1", None), (92, "http://1.2.3.4/ads/1", None)], "page_id long, url string, html string")
