@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltrace.session import checkpoint, stored
 
 TIE = 1e-9
+SALTS = 16  # tasks that share the pages of one host
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -123,4 +124,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]], truste
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((d > threshold) & (d - t > TIE), F.lit("block")).otherwise(F.lit("allow"))
-    return read.join(ranks, "host", "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), t.alias("trust"), d.alias("distrust"))
+    salted = read.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)))
+    known = ranks.select("host", "trust", "distrust", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return salted.join(known, ["host", "salt"], "left").select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), t.alias("trust"), d.alias("distrust"))
