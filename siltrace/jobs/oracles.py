@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from siltrace.jobs.queries import DELAYS, GRID, N_WALKS, SMURF, STEPS, W
+from siltrace.jobs.queries import DELAYS, GRID, N_WALKS, SMURF, STEPS, THRESHOLDS, W
 from siltrace.operators.profiles import ROLES, STATS, WINDOWS
 
 CTES: dict[str, str] = {
@@ -239,6 +239,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT delay, count(DISTINCT account_id) FILTER (WHERE (label AND date < m - CAST(delay AS INTEGER)) OR (date >= m - CAST(delay AS INTEGER) AND score > 0.8)) AS hybrid_size, count(*) FILTER (WHERE label AND date >= m - CAST(delay AS INTEGER)) AS recent_real
           FROM scored, (SELECT max(date) AS m FROM scored), (SELECT unnest({DELAYS}) AS delay) GROUP BY 1) JOIN ({" UNION ALL ".join(f"SELECT {d} AS delay, * FROM med{d}" for d in DELAYS)}) USING (delay)""",
             f"{_FAIR}, {', '.join(f'{_hybrid(d)}, {_fair(str(d))}' for d in DELAYS)}", True),
+        "y5_degradation": sql("illicit scored inc", """SELECT c.*, c.suspicious - c.legit AS separation, r.suspicious - r.legit AS reference, (c.suspicious - c.legit) / nullif(r.suspicious - r.legit, 0) AS share FROM cells c, cells r WHERE c.delay > 0 AND r.delay = 0""",
+            f"""{_FAIR}, pth AS (SELECT node AS account_id, at AS day, walk, 0 AS step, node AS cur FROM tg, (SELECT unnest(range({N_WALKS})) AS walk)
+  UNION ALL SELECT account_id, day, walk, step + 1, l[CAST(('0x' || substr(md5('42|' || account_id || '|' || day || '|' || walk || '|' || (step + 1)), 1, 8))::BIGINT % len(l) AS BIGINT) + 1] FROM pth JOIN nbl ON nbl.node = cur AND nbl.at = day WHERE step < {STEPS}),
+grid AS (SELECT d.delay, t.threshold FROM (SELECT unnest({DELAYS}) AS delay) d, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) t UNION ALL SELECT 0, 0.0::DOUBLE),
+sets AS (SELECT DISTINCT delay, threshold, account_id FROM scored, (SELECT max(date) AS m FROM scored), grid WHERE delay > 0 AND ((label AND date < m - CAST(delay AS INTEGER)) OR (date >= m - CAST(delay AS INTEGER) AND score > threshold)) UNION ALL SELECT 0, 0.0::DOUBLE, account_id FROM illicit),
+rate AS (SELECT delay, threshold, p.account_id, count(DISTINCT walk) / {N_WALKS} AS rate FROM pth p JOIN sets s ON s.account_id = cur WHERE cur <> p.account_id GROUP BY ALL),
+cells AS MATERIALIZED (SELECT delay, threshold, median(coalesce(rate, 0)) FILTER (WHERE suspicious) AS suspicious, median(coalesce(rate, 0)) FILTER (WHERE NOT suspicious) AS legit FROM (SELECT * FROM grid, fg) LEFT JOIN rate USING (delay, threshold, account_id) GROUP BY ALL)""", True),
         "m1_temporal_split": sql("scored", f"SELECT {acct}, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY date, account_id) AS r, round_even(count(*) OVER () * 0.6::DOUBLE, 0) AS a, round_even(count(*) OVER () * 0.1::DOUBLE, 0) AS b FROM scored)"),
         "m2_median_split": sql("scored", "SELECT CASE WHEN day <= (SELECT median(day) FROM scored) THEN 'early' ELSE 'late' END AS part, count(*) AS n, min(day) AS first, max(day) AS last FROM scored GROUP BY 1"),
         "m4_balanced_weights": sql("scored", "SELECT label, (SELECT count(*) FROM scored) / (2 * count(*)) AS weight FROM scored GROUP BY 1"),

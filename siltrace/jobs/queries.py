@@ -27,6 +27,7 @@ W = 7  # days of the graph's window; the events cover 30
 N_WALKS, STEPS = 5, 6
 GRID = [1, 7, 14]
 DELAYS = [1, 7, 14]
+THRESHOLDS = [0.25, 0.5, 0.75]
 SMURF = {"low": 500.0, "high": 4000.0, "min_mules": 5, "forward": (0.05, 0.95)}
 REGISTRY: dict = {}
 
@@ -408,6 +409,20 @@ def y5_hybrid_growth(spark, sf):
     return Y.hybrid_growth(scored, DELAYS, 0.8).join(out, "delay")
 
 
+@query
+def y5_degradation(spark, sf):
+    """Separation by delay and by threshold of pseudo labels, and its share of that by true labels."""
+    x = Ledger(spark, sf)
+    scored = checkpoint(x.scored)
+    groups = checkpoint(WK.fair_groups(scored, W))
+    targets = checkpoint(groups.select("account_id").distinct().crossJoin(F.broadcast(scored.agg(F.max("day").alias("day")))))
+    steps = WK.random_walks(targets, x.ledger, None, W, N_WALKS, STEPS)
+    true = x.illicit.select(F.lit(0).alias("delay"), F.lit(0.0).alias("threshold"), "account_id")  # the reference, as a cell of its own
+    hits = WK.first_hits(steps, Y.hybrid_sets(scored, DELAYS, THRESHOLDS).union(true), ["delay", "threshold"])
+    cells = checkpoint(WK.separation_grid(hits, groups, [(0, 0.0), *((d, t) for d in DELAYS for t in THRESHOLDS)], N_WALKS))
+    return WK.share_of_reference(cells.where("delay > 0"), cells.where("delay = 0"))
+
+
 @query
 def m1_temporal_split(spark, sf):
     return M.temporal_split(Ledger(spark, sf).scored).select("account_id", "date", "split")

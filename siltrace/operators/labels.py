@@ -24,6 +24,16 @@ def hybrid_illicit(scored: DataFrame, delay_days: int, threshold: float) -> Data
     return with_recent(scored, delay_days).where(real | pseudo).select("account_id").distinct()
 
 
+def hybrid_sets(scored: DataFrame, delays: list[int], thresholds: list[float]) -> DataFrame:
+    """``delay, threshold, account_id``: ``hybrid_illicit`` for each cell of the grid, in one pass."""
+    last = F.broadcast(scored.agg(F.max("date").alias("_last")))
+    grid = F.array(*[F.struct(F.lit(d).alias("delay"), F.lit(float(t)).alias("threshold")) for d in delays for t in thresholds])
+    rows = scored.crossJoin(last).withColumn("g", F.explode(grid)).select("*", "g.*")
+    recent = F.col("date") >= F.date_sub("_last", F.col("delay"))
+    member = (F.coalesce("label", F.lit(False)) & ~recent) | (recent & (F.col("score") > F.col("threshold")))
+    return rows.where(member).select("delay", "threshold", "account_id").distinct()
+
+
 def pseudo_alignment(scored: DataFrame, delays: list[int], thresholds: list[float]) -> DataFrame:
     """How pseudo labels agree with real ones for each delay and threshold of the grid.
 

@@ -28,8 +28,8 @@ def _runs(ledger: DataFrame, w: int) -> DataFrame:
     return stretches(edges, one, "node", "nbr").withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / (w + 1)), F.floor(F.col("last") / (w + 1)))))
 
 
-def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42) -> DataFrame:
-    """``account_id, day, walk, length, hit`` of walks that reach ``illicit``.
+def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame | None, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42) -> DataFrame:
+    """``account_id, day, walk, length, hit`` of walks that reach ``illicit``; with None, of every step of every walk.
 
     Each step goes to one of the sorted distinct neighbours on the snapshot of the target's
     day; a walk ends at an illicit account other than its own, at a dead end, or after
@@ -43,7 +43,7 @@ def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: i
     """
     spark = ledger.sparkSession
     runs = stored(_runs(ledger, w), "walk-runs")
-    bad = illicit.select(F.col("account_id").alias("next"), F.lit(True).alias("bad")).distinct()
+    bad = None if illicit is None else illicit.select(F.col("account_id").alias("next"), F.lit(True).alias("bad")).distinct()
     t = targets.select("account_id", "day").distinct()
     now = checkpoint(t.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1)))).withColumn("current", F.col("account_id")))
     at = {name: f"{shared_dir(spark)}/walk-{name}-{uuid.uuid4().hex}" for name in ("places", "neighbours")}
@@ -63,8 +63,9 @@ def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: i
         k = pick(F.col("n"), F.lit(seed), F.col("account_id"), F.col("day"), F.col("walk"), F.lit(step))
         to = made("neighbours", f"{node}, k bigint, nbr {runs.schema['nbr'].dataType.simpleString()}").withColumnsRenamed({"node": "current", "at": "day", "nbr": "next"})
         moved = drawn.withColumn("k", k).join(to, ["current", "day", "k"]).select("account_id", "day", "walk", "next")
-        judged = checkpoint(moved.join(bad, "next", "left").withColumn("hit", F.coalesce(F.col("bad"), F.lit(False)) & (F.col("next") != F.col("account_id"))))
-        hits = judged.where("hit").select("account_id", "day", "walk", F.lit(step).alias("length"), F.col("next").alias("hit"))
+        ends = moved.withColumn("hit", F.lit(False)) if bad is None else moved.join(bad, "next", "left").withColumn("hit", F.coalesce(F.col("bad"), F.lit(False)) & (F.col("next") != F.col("account_id")))
+        judged = checkpoint(ends)
+        hits = (judged if bad is None else judged.where("hit")).select("account_id", "day", "walk", F.lit(step).alias("length"), F.col("next").alias("hit"))
         done = hits if done is None else done.unionByName(hits)
         now = judged.where("not hit").select("account_id", "day", "walk", F.col("next").alias("current"))
         if now.isEmpty():
@@ -141,6 +142,29 @@ def hit_rate_separation(features: DataFrame, groups: DataFrame, column: str = "g
     return med.withColumn("separation", F.col("suspicious") - F.col("legit"))
 
 
+def first_hits(steps: DataFrame, sets: DataFrame, key: list[str]) -> DataFrame:
+    """``*key, account_id, day, walk, length, hit``: where walks first meet each of many sets (``*key, account_id``).
+
+    ``steps`` are those of ``random_walks`` without a set. Draws don't depend on the set, so the walks are made
+    once and the rows are those that ``random_walks`` gives for each set.
+    """
+    met = steps.join(sets.select(*key, F.col("account_id").alias("hit")).distinct(), "hit").where(F.col("hit") != F.col("account_id"))
+    return met.groupBy(*key, "account_id", "day", "walk").agg(F.min("length").alias("length"), F.min_by("hit", "length").alias("hit"))
+
+
+def separation_grid(hits: DataFrame, groups: DataFrame, grid: list[tuple[int, float]], n_walks: int) -> DataFrame:
+    """``delay, threshold, suspicious, legit, separation``: medians of the hit rate in each cell of ``grid``.
+
+    ``hits`` are ``first_hits`` by delay and threshold, of one day for each account; accounts of ``groups`` that
+    no walk of a cell reaches from count as 0 there.
+    """
+    cells = F.array(*[F.struct(F.lit(d).alias("delay"), F.lit(float(t)).alias("threshold")) for d, t in grid])
+    rate = hits.groupBy("delay", "threshold", "account_id").agg((F.count("*") / n_walks).alias("rate"))
+    rows = groups.withColumn("g", F.explode(cells)).select("account_id", "suspicious", "g.*").join(rate, ["delay", "threshold", "account_id"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    med = rows.groupBy("delay", "threshold").agg(F.median(F.when(F.col("suspicious"), F.col("rate"))).alias("suspicious"), F.median(F.when(~F.col("suspicious"), F.col("rate"))).alias("legit"))
+    return med.withColumn("separation", F.col("suspicious") - F.col("legit"))
+
+
 def fair_groups(account_days: DataFrame, w: int) -> DataFrame:
     """``account_id, suspicious``: accounts with a labelled day in the last ``w`` days, which the last
     snapshot still holds, and accounts with a day without a label; an account can be in both."""
