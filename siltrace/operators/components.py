@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.session import checkpoint
+from siltrace.session import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,15 +31,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``node, component``: the least node reachable, for every node of ``edges``.
 
     Null ends, self links and repeated links are ignored (a node known only from a self link
-    is its own component). Each round halves path lengths and is checkpointed to the shared
-    folder, so lost executors repeat one round at most. An empty input gives no rows.
+    is its own component). Each round halves path lengths and is stored in the shared folder,
+    in place of the one before, so lost executors repeat one round at most. An empty input gives no rows.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    now = checkpoint(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-round")
     before = None
     for _ in range(max_rounds):
-        now = checkpoint(_star(_star(now, True), False))
+        last, now = now, stored(_star(_star(now, True), False), "component-round")
+        discard(last)
         # a star forest no longer changes: its size and the sum over edges stay the same
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:

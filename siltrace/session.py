@@ -40,3 +40,16 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made, once no plan that is still to run reads them.
+
+    A lost executor's work is made again from stored tables, so whatever was derived from a table
+    has to be stored itself before the table goes.
+    """
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
