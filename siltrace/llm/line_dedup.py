@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltrace.session import stored
+from siltrace.session import discard, stored
 
 PASSAGE_WORDS = 50
 _TOP = 1 << 32
@@ -131,6 +131,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spots = stored(place.select("r", F.explode(hashed).alias("x")).select("r", "x.*"), "line-spots")  # read twice; making them costs more than reading them
     many = spots.groupBy("h", "g").count().where("count > 1").drop("count")
     some = stored(spots.join(many, ["h", "g"]), "line-some")
+    discard(spots)
     # equal rows are one document: the smallest and largest spot of a hash differ if it repeats
     spot = F.struct("r", "k")
     seen = stored(some.groupBy("h", "g").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("h", "g", F.col("first.r.key").alias("home"), F.col("first.k").alias("at")), "line-seen")
@@ -138,6 +139,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = some.select(F.col("r.key").alias("key"), "k", "j", "n", "a", "w", "h", "g").join(seen, ["h", "g"]).where((F.col("key") != F.col("home")) | (F.col("k") != F.col("at"))).drop("home", "at")
     listed = repeated.distinct().groupBy("key").agg(F.max("n").alias("most"), F.sum("w").alias("all"), F.collect_list(F.struct("k", "j", "n", "a", "w", "h", "g")).alias("e"))
     wanted = stored(listed.where((F.col("most") > 1) | (F.col("all") > words)).select("key", F.explode("e").alias("x")).select("key", "x.*"), "line-wanted")
+    discard(some)
 
     # every column that can be hashed is named in the condition, which always holds: it keeps
     # this branch from reading fewer columns than the last join, so Spark shuffles the rows once

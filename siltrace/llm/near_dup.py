@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siltrace.llm.arrow import in_text_parts
 from siltrace.llm.words import SPACE, joined, mix, words
 from siltrace.operators.components import connected_components
-from siltrace.session import stored
+from siltrace.session import discard, stored
 
 _K = np.uint64(0xA0761D6478BD642F)
 
@@ -210,15 +210,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
     apart = _labelled(_labelled(stars, labels, "x", "cx"), labels, "y", "cy").where("cx <> cy").select("x", "y")
-    links = stored(links.union(_confirmed(apart, sets, percent)), "near-links")
+    old, links = (links, labels), stored(links.union(_confirmed(apart, sets, percent)), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
+    discard(*old)
     split = _labelled(table, labels, "x", "c")
     open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     common = split.join(open_keys, "key").groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("b"))
     rest = stored(split.join(common, "key").select("b", "x", "c").distinct(), "near-rest")
     open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
     cross = _beside_pivot(rest.join(open_stars, "b"), sets, percent)
-    links = stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
+    old, links = links, stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
+    discard(old, labels, rest, stars, sets, kept)
     # an id with several sets links their classes
     own = member.select("id", "x").distinct()
     several = own.groupBy("id").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("id", "y")
