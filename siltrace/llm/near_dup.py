@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltrace.llm.arrow import in_text_parts
+from siltrace.llm.arrow import SMALL, in_text_parts
 from siltrace.llm.words import SPACE, joined, mix, words
 from siltrace.operators.components import connected_components
-from siltrace.session import discard, stored
+from siltrace.session import discard, small_batches, stored
 
 _K = np.uint64(0xA0761D6478BD642F)
 
@@ -164,6 +164,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> Data
     return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("x"), F.col("component").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 12, r: int = 3) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -181,9 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join over rare codes, so what a large group has in common makes no pairs. Every link is
     confirmed on the whole sets of 64-bit shingle codes.
     """
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = two.schema["id"].dataType.simpleString()
-    found = stored(two.mapInArrow(in_text_parts(lambda b: _signature(b, shingle, m, r), "t"), f"id {kind}, n bigint, hi bigint, lo bigint, a array<bigint>, b array<bigint>"), "near-sig")
+    found = stored(two.mapInArrow(in_text_parts(lambda b: _signature(b, shingle, m, r), "t", most=SMALL), f"id {kind}, n bigint, hi bigint, lo bigint, a array<bigint>, b array<bigint>"), "near-sig")
     some = found.where("n > 0 and id is not null")
     # a class of equal sets is named by its smallest id and the set's code, as one id may hold several sets;
     # rows meet their class by a salt, so a large group of copies lies in SALTS tasks
@@ -204,13 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = stars.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids.select("id.i").withColumnRenamed("i", "id")))
     hashed = two.where("id is not null").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
-    whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t"), f"i {kind}, k bigint, s array<bigint>")
+    whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t", most=SMALL), f"i {kind}, k bigint, s array<bigint>")
     sets = stored(whole.select(F.struct("i", "k").alias("id"), "s").join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
+    wanted.destroy()
 
     links = stored(_confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
     apart = _labelled(_labelled(stars, labels, "x", "cx"), labels, "y", "cy").where("cx <> cy").select("x", "y")
-    old, links = (links, labels), stored(links.union(_confirmed(apart, sets, percent)), "near-links")
+    # components so far are stars, so rounds are only spent on what the new links join
+    old, links = (links, labels), stored(_as_links(labels).union(_confirmed(apart, sets, percent)), "near-links")
     labels = stored(connected_components(links, "x", "y"), "near-labels")
     discard(*old)
     split = _labelled(table, labels, "x", "c")
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = stored(split.join(common, "key").select("b", "x", "c").distinct(), "near-rest")
     open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
     cross = _beside_pivot(rest.join(open_stars, "b"), sets, percent)
-    old, links = links, stored(links.union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
+    old, links = links, stored(_as_links(labels).union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
     discard(old, labels, rest, stars, sets, kept)
     # an id with several sets links their classes
     own = member.select("id", "x").distinct()

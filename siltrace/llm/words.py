@@ -16,7 +16,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-BLOCK = 1 << 21  # bytes that are coded at once
+BLOCK = 1 << 19  # bytes that are coded at once
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -53,7 +53,7 @@ SPACE[0] = 1
 BLANKS = np.where(SPACE == 0, 0, np.arange(256, dtype=np.uint8) + np.uint8(1))
 
 
-def text_parts(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+def text_parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text each; a longer text is a range of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     start, total = 0, 0

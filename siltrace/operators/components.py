@@ -27,26 +27,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars already: every child has one parent, and no parent is a child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``node, component``: the least node reachable, for every node of ``edges``.
 
     Null ends, self links and repeated links are ignored (a node known only from a self link
     is its own component). Each round halves path lengths and is stored in the shared folder,
-    in place of the one before, so lost executors repeat one round at most. An empty input gives no rows.
+    in place of the one before, so lost executors repeat one round at most. Links that are stars already need
+    no round, so components that are known can be given as links beside new ones. An empty input gives no rows.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = stored(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-round")
-    before = None
-    for _ in range(max_rounds):
-        last, now = now, stored(_star(_star(now, True), False), "component-round")
+    rounds = 0
+    while not _settled(now):
+        if rounds == max_rounds:
+            raise RuntimeError("components did not settle; raise max_rounds")
+        last, now, rounds = now, stored(_star(_star(now, True), False), "component-round"), rounds + 1
         discard(last)
-        # a star forest no longer changes: its size and the sum over edges stay the same
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

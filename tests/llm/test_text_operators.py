@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,20 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in near_dup.deduplicated(frame, shingle=2).collect()) == [0, 5, 5, 8, 9]
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    """A worker holds a bounded piece of its task's texts, whatever the rows of a batch."""
+    from siltrace.session import ARROW_BYTES
+
+    near_dup.near_duplicates(docs(spark, ["a b c"])).count()
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t"))
+    sizes = lambda: [r.n for r in wide.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()]
+    assert sum(sizes()) >= 20_000_000 and max(sizes()) <= 6_000_000
+    spark.conf.set(ARROW_BYTES, "1m")
+    near_dup.near_duplicates(docs(spark, ["a b c"]))
+    assert spark.conf.get(ARROW_BYTES) == "1m"
+    spark.conf.unset(ARROW_BYTES)
+
+
 def test_pivot_bound_loses_no_pair(spark):
     rng = random.Random(3)
     base = list(range(100))

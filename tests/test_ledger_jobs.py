@@ -129,6 +129,20 @@ def test_components_of_a_long_path_and_odd_edges(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_known_components_need_no_round(spark, monkeypatch):
+    from siltrace.operators import components
+    from siltrace.session import stored
+
+    tables = []
+    monkeypatch.setattr(components, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    stars = [(k, k % 3) for k in range(30)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(stars, "src long, dst long")).collect()}
+    assert got == {k: k % 3 for k in range(30)} and len(tables) == 1
+    chain = [(k, k + 1) for k in range(40)] + [(50, 60), (60, 50), (70, 70)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) | {50: 50, 60: 50, 70: 70}
+
+
 def test_roc_ties(spark):
     rows = spark.createDataFrame([(True, 0.9), (False, 0.9), (True, 0.5), (False, 0.1), (False, 0.1)], "label boolean, score double")
     pts = {(r.score, round(r.fpr, 6), round(r.tpr, 6)) for r in metrics.roc_points(rows).collect()}
