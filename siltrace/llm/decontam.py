@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.arrow import in_text_parts
+from siltrace.llm.arrow import SMALL, in_text_parts
 from siltrace.llm.words import ALNUM, joined, mix, words
-from siltrace.session import stored
+from siltrace.session import small_batches, stored
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 SEGMENT = 256  # end positions that one lane searches
@@ -180,6 +180,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t") + F.lit(64))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    small_batches(docs.sparkSession)
     out = docs.drop("_words", "_spans", "_items").select("*", F.lit(0).cast("bigint").alias("_words"), F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).repartition(blocks, "b")
     tables = dealt.groupBy("b").applyInPandas(lambda rows: _built(rows.drop(columns="b"), window).assign(b=rows["b"].iloc[0]), "tables binary, b bigint")
@@ -189,7 +190,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         row = tables.where(F.col("b") == b).select("tables").first()
         sent = docs.sparkSession.sparkContext.broadcast(bytes(row[0]) if row else empty)
         name = uuid.uuid4().hex
-        mark = in_text_parts(lambda batch, s=sent, n=name: _marked(batch, _opened(s, n), text), text)
+        mark = in_text_parts(lambda batch, s=sent, n=name: _marked(batch, _opened(s, n), text), text, most=SMALL)
         out = out.mapInArrow(mark, out.schema)
         if b < blocks - 1:
             out = stored(out, "decontam-pass")

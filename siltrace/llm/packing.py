@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltrace.llm.arrow import in_text_parts
+from siltrace.llm.arrow import SMALL, in_text_parts
 from siltrace.llm.words import BLANKS, joined, words
-from siltrace.session import stored
+from siltrace.session import small_batches, stored
 
-CACHED_WORDS = 1_000_000  # of a Python worker; about 40 bytes each
+CACHED_WORDS = 400_000  # of a Python worker; over 200 bytes each with their stems
 #: What a vocabulary file must say for its words to be encoded one by one (fixed values).
 _WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -322,9 +322,10 @@ def packed_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     documents of one length are ranked in hash buckets whose number follows the input, so no
     task holds all of a common length.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    pieces = stored(source.mapInArrow(in_text_parts(lambda b: _pieces(b, path, capacity, end_id), "t"), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"), "pack-pieces")
+    pieces = stored(source.mapInArrow(in_text_parts(lambda b: _pieces(b, path, capacity, end_id), "t", most=SMALL), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"), "pack-pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     places = pieces.sparkSession.sparkContext.broadcast(_places(plan(histogram, capacity)))
     buckets = max(64, sum(histogram.values()) // 20_000)

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltrace.llm.arrow import in_text_parts
+from siltrace.llm.arrow import SMALL, in_text_parts
 from siltrace.llm.words import mix
+from siltrace.session import small_batches
 
 DECAY, SPAN, BITS = 0.7, 5, 20
 _OFFSETS = [(0, i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -370,7 +371,8 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     if their words had the margin ``NO_WORDS``. Repeated rows get equal scores, an empty table
     gives no rows, and other columns are kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.drop("_score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", _score double"
-    return source.mapInArrow(in_text_parts(lambda b: _judged(b, text_col, shared.value), text_col, lambda: _known.clear()), schema)
+    return source.mapInArrow(in_text_parts(lambda b: _judged(b, text_col, shared.value), text_col, lambda: _known.clear(), SMALL), schema)
