@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltrace.llm.near_dup import FILTER_BITS, _bitmap
 from siltrace.session import stored
 
 CHUNK = 1 << 16
@@ -52,6 +54,14 @@ def _parts(row: dict, payload: pa.Scalar, size: int):
     yield b"\r\n\r\n", digest.hexdigest()
 
 
+def _dealt(batches, bits, marked: bool):
+    """The rows whose bit is set (``marked``) or not; rows without a bit count as not set."""
+    for batch in batches:
+        bit = np.asarray(batch.column(batch.schema.get_field_index("bit")).fill_null(-1), np.int64)
+        there = (bit >= 0) & ((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1)
+        yield batch.filter(pa.array(there == marked))
+
+
 def _written(batches, size: int):
     for batch in batches:
         columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
@@ -78,18 +88,27 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     The payload is the text in UTF-8 (null: empty). Of records with equal payloads of at least
     ``least`` bytes, those with the largest id are responses and the others revisit it;
-    smaller payloads are all responses. Where every equal row's id is null, all are responses.
+    smaller payloads are all responses. Only rows whose payload's digest may be a repeated one, by a
+    bitmap of 8 MB, are shuffled to meet it; all others are written where they are read. Where every equal row's id is null, all are responses.
     Repeated rows get a record each. An empty table gives an empty archive.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     known = source.select("*", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"), F.sha1(body).alias("sha1"), F.when(F.octet_length("html") >= least, F.sha2(body, 256)).alias("same"))
-    last = known.where("same is not null").groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("same", "last")
-    # only pages that can have equals are shuffled; small ones stay where they are
-    alone = known.where("same is null").withColumn("last", F.lit(None).cast("bigint"))
-    met = known.where("same is not null").join(last, "same", "left").unionByName(alone)
-    marked = met.select("id", "url", "html", "size", "sha1", F.expr("if(id <=> last, null, last) refers_to"), F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("record"))
-    return stored(marked.mapInArrow(lambda batches: _written(batches, chunk), ARCHIVE_SCHEMA), "warc")
+    big = known.where("same is not null").select("same", "id")
+    last = stored(big.groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("same", "last"), "warc-repeated")
+    dealt = known.withColumn("bit", F.pmod(F.when(F.col("same").isNotNull(), F.xxhash64("same")), F.lit(1 << FILTER_BITS)))
+    bits = pages.sparkSession.sparkContext.broadcast(_bitmap(last.select(F.col("same").alias("id"))))
+
+    def written(rows: DataFrame, refers_to, k: int, deal=lambda batches: batches) -> DataFrame:
+        # the two parts of an archive get even and odd numbers
+        numbered = rows.select("id", "url", "html", "size", "sha1", refers_to.alias("refers_to"), (F.spark_partition_id() * 2 + k).alias("archive"), (F.monotonically_increasing_id() * 2 + k).alias("record"), *(["bit"] if k == 0 else []))
+        return numbered.mapInArrow(lambda batches: _written(deal(batches), chunk), ARCHIVE_SCHEMA)
+
+    alone = written(dealt, F.lit(None).cast("bigint"), 0, lambda batches: _dealt(batches, bits, False))
+    maybe = dealt.mapInArrow(lambda batches: _dealt(batches, bits, True), dealt.schema)
+    met = written(maybe.join(last, "same", "left"), F.expr("if(id <=> last, null, last)"), 1)
+    return stored(alone.unionByName(met), "warc")
 
 
 def _fields(lines: bytes) -> dict[str, str]:

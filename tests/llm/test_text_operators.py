@@ -171,6 +171,17 @@ def test_warc_small_pages_are_not_shuffled(spark):
     assert len(spread) > 8 and max(r.n for r in spread) < 40
 
 
+def test_warc_only_repeated_payloads_are_shuffled(spark):
+    """Pages without equals stay in the partition that read them, as small ones do."""
+    html = F.when(F.col("id") % 50 == 0, F.repeat(F.lit("r"), 2000)).otherwise(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 2000)))
+    pages = spark.range(0, 400, 1, 16).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    archive = warc.write_archives(pages)
+    spread = archive.groupBy("archive").agg(F.countDistinct("record").alias("n")).collect()
+    assert len(spread) >= 16 and max(r.n for r in spread) <= 25 and sum(r.n for r in spread) == 400
+    got = {r.id: (r.record_type, r.refers_to) for r in warc.read_archives(archive).collect()}
+    assert got == {k: ("revisit", 350) if k % 50 == 0 and k < 350 else ("response", None) for k in range(400)}
+
+
 def test_near_duplicates_of_ids_with_several_texts(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(1, a + " more"), (5, a), (5, b), (9, b + " more"), (9, b + " more"), (20, "on its own")]
