@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltrace.llm.near_dup import FILTER_BITS, _bitmap
-from siltrace.session import stored
+from siltrace.session import small_batches, stored
 
 CHUNK = 1 << 16
 ARCHIVE_SCHEMA = "archive int, record bigint, chunk int, data binary, running string"
@@ -92,6 +92,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     bitmap of 8 MB, are shuffled to meet it; all others are written where they are read. Where every equal row's id is null, all are responses.
     Repeated rows get a record each. An empty table gives an empty archive.
     """
+    small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     known = source.select("*", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"), F.sha1(body).alias("sha1"), F.when(F.octet_length("html") >= least, F.sha2(body, 256)).alias("same"))
@@ -189,5 +190,6 @@ def read_archives(archive: DataFrame) -> DataFrame:
     A record whose head is missing or can't be read has the size of its bytes, and null otherwise. An empty
     archive gives no rows; columns besides those of an archive are not looked at.
     """
+    small_batches(archive.sparkSession)
     rows = archive.repartition("record").sortWithinPartitions("record", "chunk").select("record", "chunk", "data")
     return rows.mapInArrow(_read, "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, whole boolean")
