@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import warnings
 import zlib
 from collections import defaultdict, deque
@@ -25,88 +26,171 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltrace.llm.arrow import SMALL, in_text_parts
-from siltrace.llm.words import BLANKS, joined, words
+from siltrace.llm.words import BLANKS, joined, spans, word_codes
 from siltrace.session import small_batches, stored
 
-CACHED_WORDS = 400_000  # of a Python worker; over 200 bytes each with their stems
+KNOWN = 1_000_000  # words and parts of words whose ids a Python worker keeps, about 60 bytes each
+CACHED_STEMS = 200_000  # of a Python worker, of words that are not cut in bulk; over 200 bytes each
 #: What a vocabulary file must say for its words to be encoded one by one (fixed values).
 _WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEM = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+_IN_WORD = re.compile(r"[^\W\d_]*[!-/:-@\[-`{-~]*")  # an added token that may lie in letters and signs after them
 _workers: dict[str, _Encoder] = {}
 
 
+def _two_byte_letters() -> np.ndarray:
+    """The lower case of letters of two bytes in UTF-8, where that is one such letter and both are normal; else 0."""
+    low = np.zeros(1 << 11, np.int64)
+    for c in map(chr, range(0x80, 1 << 11)):
+        x = c.lower()
+        if c.isalpha() and len(x) == 1 and 0x80 <= ord(x) < 1 << 11 and x.lower() == x and unicodedata.is_normalized("NFC", c) and unicodedata.is_normalized("NFC", x):
+            low[ord(c)] = ord(x)
+    return low
+
+
+_LOW = _two_byte_letters()
+_BYTES = np.arange(256)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LETTER = _UPPER | (_BYTES >= 97) & (_BYTES <= 122)
+_SIGN = (_BYTES > 32) & (_BYTES < 127) & ~_LETTER & ~((_BYTES >= 48) & (_BYTES <= 57))
+
+
 def _parts(word: str) -> tuple[str, ...]:
-    """Stretches that such a vocabulary encodes apart: letters, and ASCII signs after them."""
+    """Stretches that such a vocabulary encodes apart: letters, and ASCII signs after them.
+
+    Letters that become others and a mark when normalised stay with their signs, as the mark would join them.
+    """
     m = _STEM.fullmatch(word)
-    if not m or not m[1].isalpha():
+    if not m or not "".join(map(str.lower, unicodedata.normalize("NFC", m[1]))).isalpha():
         return (word,)
     stem = m[1].lower() if m[1].isascii() else m[1]
     return (stem, m[2]) if m[2] else (stem,)
 
 
+def _cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, starts and ends of what is encoded apart, which of these are letters, and how many lie before each text.
+
+    A word between white space that is letters of one or two bytes, and then ASCII signs or
+    nothing, is cut there and its letters are lower-cased in the text; other words stay as they are.
+    """
+    starts, ends = spans(BLANKS[data] != 0, at)
+    letter, sign = _LETTER[data], _SIGN[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    char = (data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63
+    lead, char = lead[_LOW[char] > 0], char[_LOW[char] > 0]
+    letter[lead] = letter[lead + 1] = True
+    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, sign))
+    many = letters[ends] - letters[starts]
+    cut = starts + many
+    plain = (many > 0) & (letters[cut] - letters[starts] == many) & (signs[ends] - signs[cut] == ends - cut)
+
+    text = data.copy()
+    upper = np.flatnonzero(_UPPER[data])
+    text[upper[plain[np.searchsorted(starts, upper, "right") - 1]]] += 32
+    lead, char = lead[_LOW[char] != char], _LOW[char[_LOW[char] != char]]
+    inside = plain[np.searchsorted(starts, lead, "right") - 1]
+    text[lead[inside]], text[lead[inside] + 1] = char[inside] >> 6 | 0xC0, char[inside] & 63 | 0x80
+
+    two = plain & (cut < ends)
+    to = np.arange(len(starts)) + np.cumsum(two) - two
+    begin, end, letters_only = (np.empty(len(starts) + int(two.sum()), t) for t in (np.int64, np.int64, bool))
+    begin[to], end[to], letters_only[to] = starts, np.where(two, cut, ends), plain
+    begin[to[two] + 1], end[to[two] + 1], letters_only[to[two] + 1] = cut[two], ends[two], False
+    return text, begin, end, letters_only, np.searchsorted(begin, at)
+
+
+def _put(array: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` from ``used`` on, made longer if need be."""
+    if used + len(values) > len(array):
+        array = np.concatenate([array, np.zeros(max(len(values), len(array)), array.dtype)])
+    array[used : used + len(values)] = values
+    return array
+
+
 class _Encoder:
     """Ids of many texts at once.
 
-    Where the vocabulary drops white space, lower-cases and ends words with a mark, each
-    different word between ASCII white space is encoded once: its 64-bit code is looked up in
-    a sorted table that says where its ids lie in one buffer. Any other vocabulary encodes
-    whole texts.
+    Where the vocabulary drops white space, lower-cases and ends words with a mark, words are
+    cut into letters and signs and each different part is encoded once: its 64-bit code (bytes
+    are not compared) is looked up in a sorted table that names a slot, which says where the ids
+    lie in one buffer. When the table is full, parts that were not met again are dropped. Any
+    other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        norms, splits = (said.get("normalizer") or {}).get("normalizers"), ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        apart = norms == _WORD_NORMALIZERS and (splits.get("pattern") or {}).get("Regex") == _WORD_SPLIT and splits.get("behavior") == "Removed" and splits.get("invert")
-        spaced = any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in said.get("added_tokens") or [])
-        self.by_word = bool(apart and said["model"].get("end_of_word_suffix") == "</w>" and not spaced)
+        norms, splits = (said.get("normalizer") or {}).get("normalizers"), (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        bytewise = len(splits) == 2 and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        apart = norms == _WORD_NORMALIZERS and (splits[0].get("pattern") or {}).get("Regex") == _WORD_SPLIT and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+        added = said.get("added_tokens") or []
+        mixed = any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) or _IN_WORD.fullmatch(t["content"]) for t in added)
+        self.by_word = bool(apart and bytewise and said["model"].get("end_of_word_suffix") == "</w>" and not mixed)
+        if self.by_word:  # for lower-case letters between blanks, which nothing else would change
+            self.lower = Tokenizer(self.tokenizer.model)
+            self.lower.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), self.tokenizer.pre_tokenizer[1]])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes, self.at, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used, self.stems = np.zeros(1 << 16, np.uint32), 1, {}
-
-    def _encoded(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Each word's ids. Words of letters are encoded many at a time and cut where a token ends a word."""
-        plain = [w for w in words if w.isalpha()]
-        out: dict[str, np.ndarray] = {}
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group):  # else some word became several
-                out.update((w, ids[i:j]) for w, i, j in zip(group, [0, *cuts], cuts))
-        rest = [w for w in words if w not in out]
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            out.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return out
-
-    def _learn(self, codes: np.ndarray, words: list[str]) -> None:
-        """Adds words, given by their sorted new codes, to the table."""
-        parts = [_parts(w) for w in words]
-        self.stems.update(self._encoded(list({p for both in parts for p in both} - self.stems.keys())))
-        each = [self.stems[p] for both in parts for p in both]
-        pieces = np.fromiter(map(len, each), np.int64, len(each))
-        of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        many = np.bincount(of, pieces, len(parts)).astype(np.int64)
-        total = int(pieces.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(each)
+        self.codes, self.slot, self.stems = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+        self.at, self.many, self.met, self.slots = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool), 1
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 1  # slot 0 is the end of a text
+
+    def _make_room(self, new: int) -> None:
+        """Drops what was not met again since the last time, if ``new`` more would be too many; all, if that isn't enough."""
+        if len(self.codes) + new <= KNOWN:
+            return
+        keep = self.met[self.slot]
+        if 2 * int(keep.sum()) + new > KNOWN:
+            keep[:] = False
+        slots = self.slot[keep]
+        at, many = self.at[slots], self.many[slots]
+        flat = self.flat[_within(at, many)]
+        self.codes, self.slot = self.codes[keep], np.arange(1, len(slots) + 1, dtype=np.int32)
+        self.at, self.many, self.met = np.concatenate([[0], 1 + np.cumsum(many) - many]), np.concatenate([[1], many]), np.zeros(len(slots) + 1, bool)
+        self.flat, self.used, self.slots = np.concatenate([self.flat[:1], flat]), 1 + len(flat), len(slots) + 1
+
+    def _learn(self, codes: np.ndarray, flat: np.ndarray, many: np.ndarray) -> None:
+        """Adds parts, given by their sorted new codes, all their ids and how many each has."""
+        self.at = _put(self.at, self.slots, self.used + np.cumsum(many) - many)
+        self.many, self.met = _put(self.many, self.slots, many), _put(self.met, self.slots, np.zeros(len(many), bool))
+        self.flat = _put(self.flat, self.used, flat)
         where = np.searchsorted(self.codes, codes)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(many) - many)
-        self.many = np.insert(self.many, where, many)
         self.codes = np.insert(self.codes, where, codes)
-        self.used += total
+        self.slot = np.insert(self.slot, where, np.arange(self.slots, self.slots + len(codes), dtype=np.int32))
+        self.slots, self.used = self.slots + len(codes), self.used + len(flat)
+
+    def _of_letters(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches of lower-case letters, many encoded at a time and cut where a token ends a word."""
+        sizes = ends - starts + 1
+        raw = text[np.minimum(_within(starts, sizes), len(text) - 1)]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        raw[at[1:] - 1] = 32
+        raw, bounds = raw.tobytes(), [*at[:-1:500].tolist(), int(at[-1])]
+        groups = [raw[i:j].decode() for i, j in zip(bounds, bounds[1:])]
+        each = [np.array(e.ids, np.uint32) for e in self.lower.encode_batch_fast(groups, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *each])
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) == len(starts):
+            return flat, np.diff(cuts, prepend=0)
+        return self._of_words(raw.decode().split(" ")[:-1])  # a word without a last token
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of any words without white space."""
+        parts = [_parts(w) for w in words]
+        if len(self.stems) > CACHED_STEMS:
+            self.stems = {}
+        new = list({p for both in parts for p in both} - self.stems.keys())
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.stems.update((w, np.array(e.ids, np.uint32)) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        each = [[self.stems[p] for p in both] for both in parts]
+        many = np.array([sum(map(len, both)) for both in each], np.int64)
+        return np.concatenate([np.zeros(0, np.uint32), *(x for both in each for x in both)]), many
 
     def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and each text's start, with the end as last."""
@@ -114,24 +198,34 @@ class _Encoder:
             own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.fromiter((i for ids in own for i in ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         data, text_at = joined(column)
-        codes, starts, ends, first = words(data, text_at, BLANKS)
-        unique, example, which = np.unique(codes, return_index=True, return_inverse=True)
-        if len(self.codes) + len(unique) > CACHED_WORDS:
-            self._forget()
+        text, starts, ends, letters_only, first = _cut(data, text_at)
+        unique, example, which = np.unique(word_codes(BLANKS[text], starts, ends), return_index=True, return_inverse=True)
+        self._make_room(len(unique))
         place = np.searchsorted(self.codes, unique)
         new = np.ones(len(unique), bool)
         inside = place < len(self.codes)
         new[inside] = self.codes[place[inside]] != unique[inside]
+        self.met[self.slot[place[~new]]] = True
         if new.any():
-            raw = data.tobytes()
-            self._learn(unique[new], [raw[i:j].decode() for i, j in zip(starts[example[new]].tolist(), ends[example[new]].tolist())])
+            codes, example = unique[new], example[new]
+            easy = letters_only[example]
+            if easy.any():
+                self._learn(codes[easy], *self._of_letters(text, starts[example[easy]], ends[example[easy]]))
+            if not easy.all():
+                raw, example = text.tobytes(), example[~easy]
+                self._learn(codes[~easy], *self._of_words([raw[i:j].decode() for i, j in zip(starts[example].tolist(), ends[example].tolist())]))
             place = np.searchsorted(self.codes, unique)
-        place = place[which]
-        self.flat[0] = end_id  # the end is one more word of each text
-        at, many = np.insert(self.at[place], first[1:], 0), np.insert(self.many[place], first[1:], 1)
+        self.flat[0] = end_id
+        slots = np.insert(self.slot[place][which], first[1:], 0)  # the end is one more part of each text
+        many = self.many[slots]
         before = np.concatenate([[0], np.cumsum(many)])
-        ids = self.flat[np.repeat(at - before[:-1], many) + np.arange(before[-1])]
-        return ids, before[first + np.arange(len(first))]
+        return self.flat[_within(self.at[slots], many)], before[first + np.arange(len(first))]
+
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of stretches of ``sizes`` from ``starts`` on, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 def _encoder(path: str) -> _Encoder:

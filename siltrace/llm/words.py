@@ -78,13 +78,8 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """codes, starts and ends of all words, and for each text the number of words before it.
-
-    ``ends`` are exclusive; ``starts`` and ``ends`` are offsets in ``data``.
-    """
-    low = table[data]
-    inside = low != 0
+def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """starts and (exclusive) ends of all words, where ``inside`` says which bytes are in one."""
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     firsts = at[:-1][at[:-1] < at[1:]]
@@ -93,7 +88,11 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     last[:-1] &= ~inside[1:]
     finals = at[1:][at[:-1] < at[1:]] - 1
     last[finals] = inside[finals]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
+def word_codes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of the words from ``starts`` to ``ends``, which are in order and apart."""
     codes = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):  # blocks that end with a word; a longer word gets its own powers
@@ -110,4 +109,14 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
         s, e = starts[i:j] - base, ends[i:j] - base
         codes[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
-    return codes, starts, ends, np.searchsorted(starts, at)
+    return codes
+
+
+def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """codes, starts and ends of all words, and for each text the number of words before it.
+
+    ``ends`` are exclusive; ``starts`` and ``ends`` are offsets in ``data``.
+    """
+    low = table[data]
+    starts, ends = spans(low != 0, at)
+    return word_codes(low, starts, ends), starts, ends, np.searchsorted(starts, at)

@@ -215,6 +215,30 @@ def test_token_ids_of_odd_texts(name):
     assert [x.tolist() for x in packing.token_ids(texts, path, 5)] == [[*t.encode(x or "", add_special_tokens=False).ids, 5] for x in texts]
 
 
+def test_words_are_encoded_once_for_all_their_forms(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), packing._Encoder(path)
+    ids = lambda texts: np.concatenate([[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]).tolist()
+    texts = [f"{w}{s}" for w in ("haus", "Haus", "HAUS", "\u00fcber", "\u00dcBER", "\u00dcber") for s in ("", ".", ",", "!?", ";")]
+    assert e.ids(pa.array(texts), 0)[0].tolist() == ids(texts)
+    assert len(e.codes) == 2 + 4
+    letters = [f"a{chr(c)}B {chr(c)}, {chr(c)}{chr(c)}. x{chr(c)}; '{chr(c)}" for c in range(0x80, 0x3400)]
+    assert e.ids(pa.array(letters), 0)[0].tolist() == ids(letters)
+
+    e = packing._Encoder(path)  # a full table keeps what was met again
+    monkeypatch.setattr(packing, "KNOWN", 100)
+    rng, common = random.Random(2), "one two, three. it's 42"
+    for _ in range(30):
+        texts = [common, " ".join("".join(rng.choices("abcde\u00e9", k=6)) + rng.choice(["", ".", "!!"]) for _ in range(20)), common]
+        known = len(e.codes)
+        assert e.ids(pa.array(texts), 0)[0].tolist() == ids(texts)
+        assert not known or len(e.codes) <= known + 22  # at most the new words and two signs
+        assert len(e.codes) <= 100
+    assert e.slots < 110
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_packing(spark, name):
     rng = random.Random(1)
