@@ -113,13 +113,16 @@ def _whole(batch: pa.RecordBatch, k: int, wanted: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([some.column(0), pa.array(code), _lists(h, sizes)], names=["i", "k", "s"])
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join: a broadcast takes a job, a thread and blocks of 4 MB of the driver, however small its table."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``x, y`` whose whole sets reach ``percent`` of their union."""
-    sx, sy = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"), F.size("s").alias(f"n{c}")) for c in "xy")
-    near = pairs.join(sx.select("x", "nx"), "x").join(sy.select("y", "ny"), "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).select("x", "y")
-    both = near.join(sx, "x").join(sy, "y")
+    sx, sy = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
     shared = F.size(F.array_intersect("sx", "sy"))
-    return both.where(shared * 100 >= (F.col("nx") + F.col("ny") - shared) * percent).select("x", "y")
+    return _joined(_joined(pairs, sx, "x"), sy, "y").where(shared * 100 >= (F.size("sx") + F.size("sy") - shared) * percent).select("x", "y")
 
 
 def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +141,7 @@ def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     p = percent
     star = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    met = rows.join(sets.select(F.col("id").alias("x"), "s"), "x").join(star, "b")
+    met = _joined(_joined(rows, sets.select(F.col("id").alias("x"), "s"), "x"), star, "b")
     known = met.select("b", "x", "c", F.size("s").alias("n"), F.array_except("s", "sb").alias("own"), "s").withColumn("u", F.size("own")).withColumn("m", F.col("n") - F.ceil(F.col("n") * p / 100) + 1)
     inside = F.when(F.col("u") < F.col("m"), F.array_except("s", "own")).otherwise(F.array().cast("array<bigint>"))
     tagged = F.concat(F.transform("own", lambda t: F.struct(F.lit(0).alias("g"), t.alias("t"))), F.transform(inside, lambda t: F.struct(F.lit(1).alias("g"), t.alias("t"))))
@@ -146,7 +149,7 @@ def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     code = known.select("b", "x", "c", "n", "u", "m", F.explode("codes").alias("e")).select("b", "x", "c", "n", "u", "m", "e.g", "e.t")
     open_codes = code.groupBy("b", "t").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("many")).where("c0 < c1").select("b", "t", "many")
     by_set = W.partitionBy("b", "x")
-    placed = code.join(open_codes, ["b", "t"]).withColumn("nth", F.row_number().over(by_set.orderBy("g", "many", "t"))).withColumn("o", F.count_if(F.col("g") == 0).over(by_set)).withColumn("i", F.count("*").over(by_set) - F.col("o"))
+    placed = _joined(code, open_codes, ["b", "t"]).withColumn("nth", F.row_number().over(by_set.orderBy("g", "many", "t"))).withColumn("o", F.count_if(F.col("g") == 0).over(by_set)).withColumn("i", F.count("*").over(by_set) - F.col("o"))
     # places among all codes of the set: those of one component come first on either side of the pivot
     own_place, inside_place = F.col("u") - F.col("o") + F.col("nth"), F.col("n") - F.col("i") + F.col("nth") - F.col("o")
     first = placed.withColumn("at", F.when(F.col("g") == 0, own_place).otherwise(inside_place)).where("at <= m").select("b", "t", "x", "c", "n", "u", "at")
@@ -155,13 +158,13 @@ def _beside_pivot(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alike = F.least("n", "k") * 100 >= F.greatest("n", "k") * p
     after = (F.least(F.col("n") - F.col("at"), F.col("k") - F.col("bt")) + 1) * (100 + p) >= least
     outside = (F.least(F.col("n") - F.col("u"), F.col("k") - F.col("v")) + F.least("u", "v")) * (100 + p) >= least
-    both = first.join(other, ["b", "t"]).where((F.col("x") < F.col("y")) & (F.col("c") != F.col("d")) & alike & after & outside)
+    both = _joined(first, other, ["b", "t"]).where((F.col("x") < F.col("y")) & (F.col("c") != F.col("d")) & alike & after & outside)
     return both.select("x", "y").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     named = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
-    return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
+    return _joined(rows, named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
 def _as_links(labels: DataFrame) -> DataFrame:
@@ -190,52 +193,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = two.schema["id"].dataType.simpleString()
     found = stored(two.mapInArrow(in_text_parts(lambda b: _signature(b, shingle, m, r), "t", most=SMALL), f"id {kind}, n bigint, hi bigint, lo bigint, a array<bigint>, b array<bigint>"), "near-sig")
     some = found.where("n > 0 and id is not null")
-    # a class of equal sets is named by its smallest id and the set's code, as one id may hold several sets;
+    # a class of equal sets is named by its smallest id and the set's code, as one id may hold several sets, and the set's size;
     # rows meet their class by a salt, so a large group of copies lies in SALTS tasks
     salted = some.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     part = salted.groupBy("hi", "lo", "n", "salt").agg(F.min("id").alias("i"))
-    classes = stored(part.groupBy("hi", "lo", "n").agg(F.min("i").alias("i"), F.collect_set("salt").alias("salts")).select(F.struct("i", F.col("hi").alias("k")).alias("x"), "hi", "lo", "n", "salts"), "near-classes")
+    classes = stored(part.groupBy("hi", "lo", "n").agg(F.min("i").alias("i"), F.collect_set("salt").alias("salts")).select(F.struct("i", F.col("hi").alias("k"), "n").alias("x"), "hi", "lo", "n", "salts"), "near-classes")
     spread = classes.select("x", "hi", "lo", "n", F.explode("salts").alias("salt"))
-    member = stored(salted.join(spread, ["hi", "lo", "n", "salt"]).select("id", "x", "salt", F.expr("if(id = x.i, a, null) a"), F.expr("if(id = x.i, b, null) b")), "near-member")
+    member = stored(_joined(salted, spread, ["hi", "lo", "n", "salt"]).select("id", "x", "salt", F.expr("if(id = x.i, a, null) a"), F.expr("if(id = x.i, b, null) b")), "near-member")
     reps = member.where("a is not null").select("x", "a", "b")
     # keys of either collection that two rows share; then the rows left with keys of both
     single = reps.select("x", F.explode(F.concat("a", "b")).alias("key"))
     shared = single.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("key")
-    left = single.join(shared, "key").groupBy("x").agg(F.collect_set("key").alias("keys"))
-    kept = stored(reps.join(left, "x").select("x", F.array_intersect("a", "keys").alias("a"), F.array_intersect("b", "keys").alias("b")).where("size(a) > 0 and size(b) > 0"), "near-keys")
-    table = kept.select("x", F.explode(F.expr("flatten(transform(a, p -> transform(b, q -> xxhash64(p, q))))")).alias("key"))
+    left = _joined(single, shared, "key").groupBy("x").agg(F.collect_set("key").alias("keys"))
+    kept = stored(_joined(reps, left, "x").select("x", F.array_intersect("a", "keys").alias("a"), F.array_intersect("b", "keys").alias("b")).where("size(a) > 0 and size(b) > 0"), "near-keys")
+    met = F.explode(F.expr("flatten(transform(a, p -> transform(b, q -> xxhash64(p, q))))")).alias("key")
+    table = kept.select("x", met)
     first = table.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("key", "y")
-    stars = stored(table.join(first, "key").where("x <> y").select("x", "y").distinct(), "near-stars")
-    ids = stars.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids.select("id.i").withColumnRenamed("i", "id")))
+    stars = stored(_joined(table, first, "key").where("x <> y").select("x", "y").distinct(), "near-stars")
+    ids = stars.select(F.explode(F.array("x", "y")).alias("id"))
+    wanted = two.sparkSession.sparkContext.broadcast(_bitmap(ids.select(F.col("id.i").alias("id"))))
     hashed = two.where("id is not null").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))
     whole = hashed.mapInArrow(in_text_parts(lambda b: _whole(b, shingle, wanted.value), "t", most=SMALL), f"i {kind}, k bigint, s array<bigint>")
-    sets = stored(whole.select(F.struct("i", "k").alias("id"), "s").join(ids, "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
+    named = F.struct("i", "k", F.size("s").cast("bigint").alias("n")).alias("id")
+    sets = stored(_joined(whole.select(named, "s"), ids.distinct(), "id", "left_semi").groupBy("id").agg(F.max("s").alias("s")), "near-sets")
     wanted.destroy()
 
-    links = stored(_confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "near-links")
-    labels = stored(connected_components(links, "x", "y"), "near-labels")
-    apart = _labelled(_labelled(stars, labels, "x", "cx"), labels, "y", "cy").where("cx <> cy").select("x", "y")
+    near = stars.where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    labels = stored(connected_components(_confirmed(near.groupBy("x").agg(F.min("y").alias("y")), sets, percent), "x", "y"), "near-labels")
+    apart = _labelled(_labelled(near, labels, "x", "cx"), labels, "y", "cy").where("cx <> cy").select("x", "y")
     # components so far are stars, so rounds are only spent on what the new links join
-    old, links = (links, labels), stored(_as_links(labels).union(_confirmed(apart, sets, percent)), "near-links")
-    labels = stored(connected_components(links, "x", "y"), "near-labels")
-    discard(*old)
-    split = _labelled(table, labels, "x", "c")
+    old, labels = labels, stored(connected_components(_as_links(labels).union(_confirmed(apart, sets, percent)), "x", "y"), "near-labels")
+    discard(old)
+    split = _labelled(kept, labels, "x", "c").select("x", "c", met)
     open_keys = split.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    common = split.join(open_keys, "key").groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("b"))
-    rest = stored(split.join(common, "key").select("b", "x", "c").distinct(), "near-rest")
-    open_stars = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
-    cross = _beside_pivot(rest.join(open_stars, "b"), sets, percent)
-    old, links = links, stored(_as_links(labels).union(_confirmed(cross.join(stars, ["x", "y"], "left_anti"), sets, percent)), "near-links")
-    discard(old, labels, rest, stars, sets, kept)
+    common = _joined(split, open_keys, "key").groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("b"))
+    # every pivot has several components, as each of its keys has
+    rest = stored(_joined(split, common, "key").select("b", "x", "c").distinct(), "near-rest")
+    cross = _confirmed(_joined(_beside_pivot(rest, sets, percent), stars, ["x", "y"], "left_anti"), sets, percent)
     # an id with several sets links their classes
-    own = member.select("id", "x").distinct()
+    own = member.select("id", "x")
     several = own.groupBy("id").agg(F.min("x").alias("y"), F.max("x").alias("top")).where("y < top").select("id", "y")
-    labels = connected_components(links.union(own.join(several, "id").select("x", "y").where("x <> y")), "x", "y")
+    old, labels = labels, connected_components(_as_links(labels).union(cross).union(_joined(own, several, "id").select("x", "y").where("x <> y")), "x", "y")
+    discard(old, rest, stars, sets, kept)
 
-    of = classes.join(labels.select(F.col("node").alias("x"), F.col("component.i").alias("c")), "x").select("x", "c", F.explode("salts").alias("salt"))
-    label = member.join(of, ["x", "salt"]).select(F.col("id").alias("_id"), "c").union(own.select("id", "x.i")).groupBy("_id").agg(F.min("c").alias("c"))
-    out = found.select("id", "n").join(label, F.col("id") == F.col("_id"), "left")
+    of = _joined(classes, labels.select(F.col("node").alias("x"), F.col("component.i").alias("c")), "x").select("x", "c", F.explode("salts").alias("salt"))
+    label = _joined(member, of, ["x", "salt"]).select(F.col("id").alias("_id"), "c").union(own.select("id", "x.i")).groupBy("_id").agg(F.min("c").alias("c"))
+    out = found.select("id", "n").join(label.hint("merge"), F.col("id") == F.col("_id"), "left")
     component = F.coalesce("c", "id")
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

@@ -494,6 +494,23 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in near_dup.deduplicated(frame, shingle=2).collect()) == [0, 5, 5, 8, 9]
 
 
+def test_near_duplicates_broadcast_no_table(spark):
+    """A broadcast takes a job, a thread and whole blocks of the driver's memory, so none is made for tables of a few rows."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def plans():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(k).executionId(): found.apply(k).physicalPlanDescription() for k in range(found.size())}
+
+    old = plans()
+    base = [f"w{n}" for n in range(60)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(20)] + [" ".join(base)] * 3
+    assert {r.component_id for r in near_dup.near_duplicates(docs(spark, texts), shingle=2).collect()} == {0}
+    new = [p for k, p in plans().items() if k not in old]
+    assert any("SortMergeJoin" in p for p in new) and not any("Broadcast" in p for p in new)
+
+
 def test_texts_reach_python_in_small_batches(spark):
     """A worker holds a bounded piece of its task's texts, whatever the rows of a batch."""
     from siltrace.session import ARROW_BYTES
