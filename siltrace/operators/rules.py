@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltrace.operators.graph import stretches
 from siltrace.sources.ledger import both_sides, cents, normalised, with_days
 
 
@@ -56,6 +57,25 @@ def approximate_velocity(sketches: DataFrame, threshold: int = 5, days: int = 1)
     return met.where(F.col("active") & (F.col("n") > threshold)).select("account_id", F.col("at").alias("day"), "n")
 
 
+def confirmed_velocity(ledger: DataFrame, sketches: DataFrame, threshold: int = 5, days: int = 1) -> DataFrame:
+    """``account_id, day, n``: the rows that ``approximate_velocity`` stands for, with exact counts.
+
+    Sketches, which err once there are a few hundred counterparties, only say which accounts to count: those with a day
+    of over half the threshold, far beyond any sketch's error. Of these, a counterparty adds one when a run of its days
+    begins and takes it off after the run; running sums of days count without a set of counterparties.
+    """
+    likely = approximate_velocity(sketches, threshold // 2, days).select("account_id").distinct()
+    sides = both_sides(with_days(ledger)).where("account_id is not null and day is not null").join(likely, "account_id", "left_semi")
+    met = sides.select("account_id", "counterparty", "day").distinct()
+    window = ledger.sparkSession.range(1).select(F.lit(days - 1).alias("w"))
+    runs = stretches(met.where("counterparty is not null"), window, "account_id", "counterparty")
+    change = lambda day, d: F.struct(day.alias("day"), F.lit(d).cast("bigint").alias("d"))
+    changes = runs.select("account_id", F.explode(F.array(change(F.col("first"), 1), change(F.col("last") + 1, -1))).alias("e")).select("account_id", "e.*", F.lit(False).alias("active"))
+    per = changes.unionByName(met.select("account_id", "day", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("active"))).groupBy("account_id", "day").agg(F.sum("d").alias("d"), F.max("active").alias("active"))
+    counted = per.withColumn("n", F.sum("d").over(W.partitionBy("account_id").orderBy("day").rowsBetween(W.unboundedPreceding, 0)))
+    return counted.where(F.col("active") & (F.col("n") > threshold)).select("account_id", "day", "n")
+
+
 def sudden_volume_spike(ledger: DataFrame, multiplier: float = 5.0, window_days: int = 30) -> DataFrame:
     """Days on which an account sends over ``multiplier`` times the mean of its active days before.
 
