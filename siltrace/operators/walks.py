@@ -41,8 +41,12 @@ def random_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame | Non
     neighbours and no list travels. Rows are made once for each (account, day) that some walk stands on, and
     each step only adds its own.
     """
-    spark = ledger.sparkSession
-    runs = stored(_runs(ledger, w), "walk-runs")
+    return _joined_walks(targets, stored(_runs(ledger, w), "walk-runs"), illicit, w, n_walks, max_steps, seed)
+
+
+def _joined_walks(targets: DataFrame, runs: DataFrame, illicit: DataFrame | None, w: int, n_walks: int, max_steps: int, seed: int) -> DataFrame:
+    """``random_walks`` over the runs of days in buckets."""
+    spark = runs.sparkSession
     bad = None if illicit is None else illicit.select(F.col("account_id").alias("next"), F.lit(True).alias("bad")).distinct()
     t = targets.select("account_id", "day").distinct()
     now = checkpoint(t.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1)))).withColumn("current", F.col("account_id")))
@@ -94,28 +98,48 @@ def _walked(day: int, edges, targets, n_walks: int, max_steps: int, seed: int):
         hit = bad[edge] & (to[edge] != own)
         out.append(pd.DataFrame({"account_id": names[own[hit]], "day": day, "walk": walk[hit], "length": step, "hit": names[to[edge[hit]]]}))
         own, walk, current = own[~hit], walk[~hit], to[edge[~hit]]
-    return pd.concat(out) if out else pd.DataFrame({"account_id": [], "day": [], "walk": [], "length": [], "hit": []})
+    none = pd.DataFrame({"account_id": pd.Series([], dtype=object), "day": 0, "walk": 0, "length": 0, "hit": pd.Series([], dtype=object)})
+    return pd.concat(out) if out else none  # untyped columns of no rows aren't taken for text
 
 
-def day_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42, largest: int = 2_000_000) -> DataFrame:
+def _snapshot_sizes(runs: DataFrame, days: DataFrame, w: int) -> DataFrame:
+    """``at, n``: edges, seen from both sides, of the snapshot of each of ``days``; no snapshot is made for it."""
+    once = runs.where(F.col("_b") == F.floor(F.col("first") / (w + 1)))
+    change = lambda day, d: F.struct(day.cast("int").alias("at"), F.lit(d).cast("bigint").alias("d"))
+    changes = once.select(F.explode(F.array(change(F.col("first"), 1), change(F.col("last") + 1, -1))).alias("e")).select("e.*", F.lit(False).alias("asked"))
+    per = changes.unionByName(days.select("at", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("asked"))).groupBy("at").agg(F.sum("d").alias("d"), F.max("asked").alias("asked"))
+    return per.select("at", "asked", F.sum("d").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)).alias("n")).where("asked").drop("asked")  # a row a day
+
+
+def day_walks(targets: DataFrame, ledger: DataFrame, illicit: DataFrame, w: int, n_walks: int = 50, max_steps: int = 20, seed: int = 42, largest: int = 2_000_000, join_larger: bool = False) -> DataFrame:
     """The rows of ``random_walks``, by one task for each day that holds the day's whole snapshot.
 
-    For ledgers whose window fits one worker: there it needs no join in each step. A snapshot of over
-    ``largest`` edges, seen from both sides, raises an error before any walk; ``random_walks`` has no such bound.
+    For ledgers whose window fits one worker: there it needs no join in each step. A day whose snapshot has over
+    ``largest`` edges, seen from both sides, raises an error before any walk or, with ``join_larger``, is walked by
+    the joins of ``random_walks``, which have no such bound.
     """
     t = targets.select("account_id", "day").distinct()
-    days = t.select(F.col("day").alias("at")).distinct().withColumn("_b", F.floor(F.col("at") / (w + 1)))
-    live = stored(_runs(ledger, w).join(days, "_b").where(F.col("at").between(F.col("first"), F.col("last"))).select("at", "node", "nbr"), "day-edges")
-    most = live.groupBy("at").count().agg(F.max("count")).first()[0] or 0
-    if most > largest:
-        raise ValueError(f"a day's snapshot has {most} edges, over {largest}; use random_walks")
+    days = t.select(F.col("day").alias("at")).distinct()
+    runs = stored(_runs(ledger, w), "walk-runs")
+    sizes = checkpoint(_snapshot_sizes(runs, days, w))
+    most, over, within = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.count_if(F.col("n") > largest), F.count_if(F.col("n") <= largest)).first()
+    if over and not join_larger:
+        raise ValueError(f"a day's snapshot has {most} edges, over {largest}; use random_walks or join_larger")
+    large = F.broadcast(sizes.where(F.col("n") > largest).select(F.col("at").alias("day")))
+    joined = _joined_walks(t.join(large, "day", "left_semi"), runs, illicit, w, n_walks, max_steps, seed) if over else None
+    if over and not within:
+        return joined
+    small = F.broadcast(sizes.where(F.col("n") <= largest).select("at", F.floor(F.col("at") / (w + 1)).alias("_b")))
+    live = runs.join(small, "_b").where(F.col("at").between(F.col("first"), F.col("last"))).select("at", "node", "nbr")
     bad = illicit.select(F.col("account_id").alias("nbr"), F.lit(True).alias("bad")).distinct()
     edges = live.join(bad, "nbr", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
 
     def one(key, left, right):
         return _walked(int(key[0]), left, right, n_walks, max_steps, seed)
 
-    return edges.groupBy("at").cogroup(t.groupBy("day")).applyInPandas(one, "account_id string, day int, walk int, length int, hit string")
+    asked = t.join(F.broadcast(small.select(F.col("at").alias("day"))), "day", "left_semi")
+    walked = edges.groupBy("at").cogroup(asked.groupBy("day")).applyInPandas(one, "account_id string, day int, walk int, length int, hit string")
+    return walked if joined is None else walked.unionByName(joined)
 
 
 def walk_summary(targets: DataFrame, hits: DataFrame, n_walks: int, prefix: str = "gw", start_counts: DataFrame | None = None) -> DataFrame:

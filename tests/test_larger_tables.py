@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from siltrace.jobs.oracles import oracle_sql
 from siltrace.jobs.queries import REGISTRY
+from siltrace.operators import walks
+from siltrace.sources.ledger import LEDGER
 
 
 def _sql(folder, name, columns):
@@ -25,3 +31,18 @@ def test_velocity_of_a_week_stays_exact_for_a_hub(spark, tmp_path):
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(tuple(r) for r in REGISTRY["r3_approximate_velocity"](spark, str(tmp_path)).select("account_id", "day", "n").collect())
     assert got == _sql(tmp_path, "r3_approximate_velocity", "account_id, day, n") and max(r[2] for r in got) > 1000
+
+
+def test_days_too_large_for_a_worker_are_walked_by_joins(spark):
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(f"T{k}", f"A{rng.randrange(9)}", f"A{rng.randrange(9)}", 5.0, t0 + dt.timedelta(days=min(rng.randrange(60), 30)), False, None, None) for k in range(300)]
+    ledger = spark.createDataFrame(rows, LEDGER).cache()
+    targets = spark.createDataFrame([(f"A{k}", day) for k in range(9) for day in (6, 25, 31)] + [("A1", 90)], "account_id string, day int")
+    bad = spark.createDataFrame([("A3",), ("A4",)], "account_id string")
+    plain = lambda df: sorted(tuple(r) for r in df.select("account_id", "day", "walk", "length", "hit").collect())
+    want = plain(walks.random_walks(targets, ledger, bad, 2, 6, 5))
+    assert len({r[1] for r in want}) == 3
+    with pytest.raises(ValueError, match="random_walks"):  # day 31 holds most edges
+        walks.day_walks(targets, ledger, bad, 2, 6, 5, largest=50)
+    for largest in (0, 50, 2_000_000):
+        assert plain(walks.day_walks(targets, ledger, bad, 2, 6, 5, largest=largest, join_larger=True)) == want
