@@ -6,11 +6,13 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltrace.jobs.oracles import oracle_sql
 from siltrace.jobs.queries import REGISTRY
+from siltrace.llm import ann
 from siltrace.operators import walks
 from siltrace.sources.ledger import LEDGER
 
@@ -46,3 +48,26 @@ def test_days_too_large_for_a_worker_are_walked_by_joins(spark):
         walks.day_walks(targets, ledger, bad, 2, 6, 5, largest=50)
     for largest in (0, 50, 2_000_000):
         assert plain(walks.day_walks(targets, ledger, bad, 2, 6, 5, largest=largest, join_larger=True)) == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_shards_and_blocks_meet_without_a_shuffle_of_pairs(spark, monkeypatch, kind):
+    """40 shards by 15 blocks, which were 600 copies of graphs in a shuffle, find what brute force finds."""
+    monkeypatch.setattr(ann, "SHARD", 75)
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    x = np.random.default_rng(1).normal(size=(3000, 8)).astype(np.float32 if kind == "float" else np.float64)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)] + [(9000, [1.0] * 5), (9001, [2.0] * 5)]
+    found = ann.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), F.col("id") % 20 == 0, k=20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    got: dict[int, list] = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got.pop(9000)] == [9001] and len(got) == 150
+    right = 0
+    for q, near in got.items():
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        assert all(abs(s[i] - v) < 1e-9 for i, v in near)
+        right += len({i for i, _ in near} & {i for i in np.argsort(-s) if i != q and s[i] >= near[-1][1] - 1e-12})
+        assert sorted(s[[i for i in range(3000) if i != q]])[-20:][0] <= near[-1][1] + 1e-9
+    assert right == 3000
