@@ -172,17 +172,27 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
 def ablation(splits: dict[str, DataFrame], sets: dict[str, list[str]], kind: str = "boosted", trials: int = 5, target_fpr: float = 0.2, timeout: float | None = None, parallel: int = 4) -> DataFrame:
     """``name, recall`` on the test split for each named list of columns, each tuned by ``trials`` draws.
 
-    Fits of all sets share the ``parallel`` threads and the time limit.
+    Fits of all sets share the ``parallel`` threads and the time limit. Nulls are filled and rows weighted once for all
+    fits (medians are those of the training split), and a split is kept in tasks of ``ROWS_A_TASK`` rows, since each
+    step of a fit runs them all again.
     """
     spark, draws = splits["train"].sparkSession, drawn(kind, trials)
-    held = {k: v.persist() for k, v in splits.items()}
+    names = list(dict.fromkeys(c for features in sets.values() for c in features))
+    ready = {k: _without_nulls(v.where("label is not null").select("label", *[F.col(c).cast("double").alias(c) for c in names]), kind, names) for k, v in splits.items()}
+    if kind == "glm":
+        medians = Imputer(inputCols=names, outputCols=[f"_f_{c}" for c in names], strategy="median").fit(ready["train"])
+        ready = {k: medians.transform(v).select("label", *[F.col(f"_f_{c}").alias(c) for c in names]) for k, v in ready.items()}
+    n = {r["label"]: r["count"] for r in splits["train"].where("label is not null").groupBy("label").count().collect()}
+    total = sum(n.values())
+    weight = F.when(F.col("label"), total / (2 * n.get(True, 1))).otherwise(total / (2 * n.get(False, 1)))
+    held = {k: stored(v.withColumns({"_y": F.col("label").cast("double"), "_weight": weight}), f"ablation-{k}").coalesce(max(1, -(-total // ROWS_A_TASK))).persist() for k, v in ready.items()}
 
-    def recall(model, features, split):
-        return recall_at_fpr(roc_points(scored(model, held[split], features)), target_fpr).first()[0]
+    def cell(features, split):
+        return VectorAssembler(inputCols=features, outputCol="_x").transform(held[split]).select("label", "_y", "_weight", "_x")
 
     def fit(features, params):
-        model = train(held["train"], features, kind, params)
-        return model, recall(model, features, "validation")
+        model = _stages(kind, [], params, total)[-1].fit(cell(features, "train"))
+        return model, _recall(model, cell(features, "validation"), target_fpr)
 
     try:
         fits = [(name, lambda f=f, p=p: fit(f, p)) for name, f in sets.items() for p in draws]
@@ -191,7 +201,7 @@ def ablation(splits: dict[str, DataFrame], sets: dict[str, list[str]], kind: str
         for name in sets:
             tried = [o.value for (n, _), o in zip(fits, ended) if n == name and not o.late] or [fit(sets[name], draws[0])]
             best[name] = max(tried, key=lambda x: x[1] or 0.0)[0]
-        out = run_together(spark, [lambda n=n: recall(best[n], sets[n], "test") for n in sets], parallel, name="ablation")
+        out = run_together(spark, [lambda n=n: _recall(best[n], cell(sets[n], "test"), target_fpr) for n in sets], parallel, name="ablation")
     finally:
         for df in held.values():
             df.unpersist()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltrace.jobs.oracles import oracle_sql
 from siltrace.jobs.queries import REGISTRY
 from siltrace.llm import ann
-from siltrace.operators import walks
+from siltrace.operators import metrics, models, walks
 from siltrace.sources.ledger import LEDGER
 
 
@@ -71,3 +71,22 @@ def test_shards_and_blocks_meet_without_a_shuffle_of_pairs(spark, monkeypatch, k
         right += len({i for i, _ in near} & {i for i in np.argsort(-s) if i != q and s[i] >= near[-1][1] - 1e-12})
         assert sorted(s[[i for i in range(3000) if i != q]])[-20:][0] <= near[-1][1] + 1e-9
     assert right == 3000
+
+
+@pytest.mark.parametrize("kind", ["glm", "boosted"])
+def test_ablation_prepares_its_rows_once(spark, monkeypatch, kind):
+    """Recalls are those of models trained one by one on rows of their own, but medians are taken once for all fits."""
+    rng = random.Random(2)
+    made = [(k % 3 == 0, ("train", "validation", "test")[k // 3 % 3], k % 3 + rng.uniform(0, 3), rng.random(), None if k % 4 else 1.0) for k in range(360)]
+    rows = spark.createDataFrame(made, "label boolean, split string, told double, noise double, holes double").cache()
+    splits = {s: rows.where(F.col("split") == s) for s in ("train", "validation", "test")}
+    draw = {"glm": {"regularisation": "l2", "c": 0.09}, "boosted": {"depth": 2, "rounds": 2, "leaf": 5}}[kind]
+    monkeypatch.setattr(models, "drawn", lambda kind, n: [draw, draw][:n])
+    sets, fits, fit = {"a": ["told", "holes"], "b": ["noise", "told"]}, [], models.Imputer.fit
+    want = {}
+    for name, features in sets.items():
+        found = models.scored(models.train(splits["train"], features, kind, draw), splits["test"], features)
+        want[name] = metrics.recall_at_fpr(metrics.roc_points(found)).first()[0]
+    monkeypatch.setattr(models.Imputer, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    got = {r.name: r.recall for r in models.ablation(splits, sets, kind, trials=2).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()} and len(fits) == (kind == "glm")
