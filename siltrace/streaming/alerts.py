@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltrace.operators.graph import degrees, incident
 from siltrace.operators.rules import large_single_txn, round_amount_near_threshold
-from siltrace.session import shared_dir
+from siltrace.session import discard, shared_dir, stored
 from siltrace.sources.ledger import BASE_DATE, LEDGER, both_sides, cents, with_days
 
 _DAY_MS = 86_400_000
@@ -100,6 +101,54 @@ def sliding_degrees(stream: DataFrame, w: int, delay: str = "1 day") -> DataFram
     return sums.where(F.col("until") == F.col("window.end")).select("account_id", day.alias("day"), "in_degree", "out_degree", "in_weight", "out_weight")
 
 
+def closed_degrees(stream: DataFrame, w: int, delay: str = "1 day", name: str = "degrees") -> DataFrame:
+    """The rows of ``sliding_degrees`` over what is there, with tables instead of state.
+
+    A batch adds its cents by day, neighbour and way to a table, once each. Days that the batches before it have closed
+    (those that end by the newest time less ``delay``) are then asked of that table by the sums of ``graph.degrees``,
+    which read only the ``w`` days before them; rows of days asked before are late and left out. So nothing is held
+    ``w + 1`` times or in memory. Batches overwrite their own folders, so a repeated batch changes nothing.
+    """
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    day = lambda time: F.datediff(F.to_date(time), F.lit(BASE_DATE).cast("date"))
+    ledger = "sender_id string, receiver_id string, amount double, timestamp timestamp"
+    measures = "account_id string, day int, in_degree bigint, out_degree bigint, in_weight double, out_weight double"
+
+    def open_from(n: int) -> int | None:
+        """The first day that batches before the n-th leave open."""
+        if n < 1:
+            return None
+        newest = spark.read.schema("b bigint, newest timestamp").parquet(f"{at}/newest").where(F.col("b") < n)
+        return newest.select(day(F.max("newest") - F.expr(f"INTERVAL {delay}"))).first()[0]
+
+    def close(n: int) -> None:
+        first, until = open_from(n - 1), open_from(n)
+        if until is None or until == first:
+            spark.createDataFrame([], measures).write.mode("overwrite").parquet(f"{at}/rows/b={n}")
+            return
+        parts = spark.read.schema("node string, nbr string, out boolean, day int, c bigint, b bigint").parquet(f"{at}/edges").where((F.col("b") <= n) & (F.col("day") < until))
+        parts = parts if first is None else parts.where(F.col("day") >= first - w)
+        known = stored(parts.groupBy("node", "nbr", "out", "day").agg(F.sum("c").alias("c")), "degrees-known")
+        asked = known if first is None else known.where(F.col("day") >= first)
+        got = degrees(asked.select("node", F.col("day").alias("at"), F.lit(w).alias("w")).distinct(), known)
+        got.select(F.col("node").alias("account_id"), F.col("at").alias("day"), "in_degree", "out_degree", "in_weight", "out_weight").write.mode("overwrite").parquet(f"{at}/rows/b={n}")
+        discard(known)
+
+    def take(batch: DataFrame, n: int) -> None:
+        batch.select("sender_id", "receiver_id", "amount", "timestamp").where("timestamp is not null").write.mode("overwrite").parquet(f"{at}/came/b={n}")
+        came = spark.read.schema(ledger).parquet(f"{at}/came/b={n}")  # free of the stream's plan
+        first = open_from(n - 1)
+        incident(came if first is None else came.where(day("timestamp") >= first)).write.mode("overwrite").partitionBy("day").parquet(f"{at}/edges/b={n}")
+        came.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{at}/newest/b={n}")
+        discard(came)
+        close(n)
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    close(1 + spark.read.schema("newest timestamp, b bigint").parquet(f"{at}/newest").agg(F.max("b")).first()[0])  # what the last batch closed
+    return spark.read.schema(measures).parquet(f"{at}/rows").drop("b")  # a folder of each batch
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Runs a streaming DataFrame over what is there, and reads the sink."""
     spark = stream.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -11,10 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltrace.jobs.oracles import oracle_sql
+from siltrace.jobs import queries
 from siltrace.jobs.queries import REGISTRY
 from siltrace.llm import ann
 from siltrace.operators import metrics, models, walks
 from siltrace.sources.ledger import LEDGER
+from siltrace.streaming import alerts
 
 
 def _sql(folder, name, columns):
@@ -90,3 +93,28 @@ def test_ablation_prepares_its_rows_once(spark, monkeypatch, kind):
     monkeypatch.setattr(models.Imputer, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
     got = {r.name: r.recall for r in models.ablation(splits, sets, kind, trials=2).collect()}
     assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()} and len(fits) == (kind == "glm")
+
+
+def test_degrees_by_tables_equal_those_by_state(spark, tmp_path):
+    """Three batches whose days overlap, with rows for days that are closed, against one state row for each window."""
+    rng, t0 = random.Random(8), dt.datetime(2024, 1, 1)
+    for n, days in enumerate(([0, 1, 2, 3], [0, 2, 3, 4, 6], [5, 6, 9, 12])):
+        rows = [(f"T{n}-{k}", f"A{rng.randrange(5)}", f"A{rng.randrange(5)}", round(rng.uniform(1, 9), 2), t0 + dt.timedelta(days=rng.choice(days), minutes=rng.randrange(1440)), False, None, None) for k in range(60)]
+        spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(str(tmp_path / "came"))
+        time.sleep(1.1)
+    source = lambda: alerts.ledger_stream(spark, str(tmp_path / "came"), 1)
+    plain = lambda df: sorted(tuple(r) for r in df.select("account_id", "day", "in_degree", "out_degree", F.round("in_weight", 2), F.round("out_weight", 2)).collect())
+    want = plain(alerts.run_to_table(alerts.sliding_degrees(source(), 2), "state"))
+    assert plain(alerts.closed_degrees(source(), 2)) == want and {r[1] for r in want} == {0, 1, 2, 3, 4, 5, 6, 9}
+
+
+@pytest.mark.parametrize("name", ["s2_velocity_stream", "s4_sliding_degrees_stream", "s5_late_rows"])
+def test_stretches_of_many_files_are_one_trigger_each(spark, monkeypatch, name):
+    monkeypatch.setattr(queries, "ROWS_A_FILE", 300)
+    sf = "/root/testdata/sf0.001"
+    found = REGISTRY[name](spark, sf)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    columns = ", ".join(found.columns)
+    rows = lambda got: sorted(tuple(round(v, 2) if isinstance(v, float) else v for v in r) for r in got)
+    assert rows(found.collect()) == rows(con.sql(f"SELECT {columns} FROM ({oracle_sql()[name]})").fetchall())
